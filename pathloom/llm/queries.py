@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing
 
 QUERIES = {
+    "op4_pack_windows": packing.pack_query,
     "op9_mix_sources": mixing.mix_query,
 }
 
