@@ -195,8 +195,8 @@ def solve(docs: DataFrame, doc_id: str = "doc_id", size: str = "size", membershi
     edge = cut(edge)
     held = F.broadcast(edge.select("key", "b", F.col("u").alias("cu"), F.col("t").alias("ct"), "gap")) if len(need) <= 20_000 else edge.select("key", "b", F.col("u").alias("cu"), F.col("t").alias("ct"), "gap")
     left = base.join(held, "key").where((at > F.col("b")) | ((at == F.col("b")) & (F.col("cu").isNull() | (F.col("u") > F.col("cu")) | ((F.col("u") == F.col("cu")) & (F.col("t") > F.col("ct"))))))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("u", "t"))
-    fill = left.where("size > 0 and gap > 0").withColumn("nth", nth).where(f"nth <= {FILLERS}").select("key", "t", "size", "gap")
+    part = F.pmod(F.shiftright("u", 20), F.lit(FILLERS))
+    fill = left.where("size > 0 and gap > 0").groupBy("key", part.alias("part")).agg(F.min_by(F.struct("t", "size", "gap"), F.struct("u", "t")).alias("f")).select("key", "f.t", "f.size", "f.gap")
     extra = fill.groupBy("key").applyInPandas(_fill, "key string, extra array<string>")
     chosen = {r["key"]: r for r in edge.join(extra, "key", "left").collect()}
     rows = [(k, full, *((c["b"], c["u"], c["t"], c["extra"]) if (c := chosen.get(k)) else (None,) * 4)) for k, full, _ in need]
