@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import mixing, packing, sharding
 
 QUERIES = {
+    "op2_hilbert_shards": sharding.shard_query,
     "op4_pack_windows": packing.pack_query,
     "op9_mix_sources": mixing.mix_query,
 }
