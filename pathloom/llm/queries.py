@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, quality, sharding
+from . import jaccard, langid, mixing, packing, quality, sharding
 
 QUERIES = {
+    "op6_ngram_jaccard": jaccard.jaccard_query,
     "op10_quality_classifier": quality.quality_query,
     "op1_language_id": langid.language_query,
     "op2_hilbert_shards": sharding.shard_query,
