@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, packing, quality, sharding
+from . import forest, jaccard, langid, mixing, packing, pivots, quality, sharding
 
 QUERIES = {
+    "op3_prefix_forest": forest.nearest_query,
+    "op5_pivot_near_duplicates": pivots.near_query,
     "op6_ngram_jaccard": jaccard.jaccard_query,
     "op10_quality_classifier": quality.quality_query,
     "op1_language_id": langid.language_query,
