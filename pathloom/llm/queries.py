@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import forest, jaccard, langid, mixing, packing, pivots, quality, sharding
+from . import forest, jaccard, langid, licences, mixing, packing, pivots, quality, sharding, urls
 
 QUERIES = {
+    "op7_temporal_url_list": urls.url_query,
+    "op8_licence_scan": licences.licence_query,
     "op3_prefix_forest": forest.nearest_query,
     "op5_pivot_near_duplicates": pivots.near_query,
     "op6_ngram_jaccard": jaccard.jaccard_query,
@@ -15,4 +17,6 @@ QUERIES = {
     "op9_mix_sources": mixing.mix_query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_temporal_url_list": urls.URL_SQL,
+}
