@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import connected_components, cut, drop
 
@@ -301,6 +302,18 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     return named.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
 
 
+def one_of_each(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component; of rows with one id and one text a single one.
+
+    Rows with a null id stay.
+    """
+    found = join(docs, width=width, threshold=threshold)
+    kept = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct())
+    mark = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("_text"))
+    rows = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").withColumn("_text", F.xxhash64("text"))
+    return rows.withColumn("_mark", mark).where("_mark = 1").select(*docs.columns).union(docs.where("doc_id is null"))
+
+
 def jaccard_query(spark, sf_dir: str) -> DataFrame:
     """op6: components of three-word shingle sets at a Jaccard similarity of 0.9."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, threshold=Fraction(9, 10))

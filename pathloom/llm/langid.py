@@ -26,6 +26,7 @@ VOCABULARY = "piece_bpe_32k.model"
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 600_000
 PASSES, SMOOTH, LONGEST = 3, 0.02, 16
 KEPT_WORDS = 300_000
+UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -192,51 +193,76 @@ def _ready(key, model: Model):
     return _READY
 
 
+def scorer(spark, model: Model):
+    """A function of a list of texts for use in tasks: (language, posterior) of each."""
+    shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def score(texts: list[str | None]) -> list[tuple[str, float]]:
+        model = shared.value
+        state = _ready(key, model)
+        pieces, known = state["pieces"], state["words"]
+        counts = [Counter(split(t)) if t and model.languages and LETTER.search(t) else None for t in texts]
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        new = [w for w in set().union(*(c for c in counts if c)) if w not in known]
+        begin = len(known)
+        while len(state["table"]) < begin + len(new):
+            state["table"] = np.vstack([state["table"], np.zeros_like(state["table"])])
+        new.sort(key=len)
+        for a in range(0, len(new), 4000):
+            part = new[a : a + 4000]
+            state["table"][begin + a : begin + a + len(part)] = word_logs(pieces, part, model.logs)
+        known.update(zip(new, range(begin, begin + len(new))))
+        table, out = state["table"], []
+        for c in counts:
+            if c is None:
+                out.append((UNKNOWN, 0.0))
+                continue
+            ids = np.fromiter((known[w] for w in c), np.int64, len(c))
+            total = np.fromiter(c.values(), float, len(c)) @ table[ids]
+            best = int(np.argmax(total))
+            out.append((model.languages[best], float(1.0 / np.exp(total - total[best]).sum())))
+        return out
+
+    return score
+
+
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row: the likeliest language of the whole text and its posterior probability.
 
     A text that is null or has no letter, and any text if nothing was learned, gets ``und`` and score 0. Ties go to the
     language that is first in order. Rows are independent: repeated ids or texts are scored alike.
     """
-    spark = docs.sparkSession
-    shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    score = scorer(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        state = _ready(key, model)
-        pieces, known = state["pieces"], state["words"]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                counts = [Counter(split(t)) if t and model.languages and LETTER.search(t) else None for t in some.column(1).to_pylist()]
-                if len(known) > KEPT_WORDS:
-                    known.clear()
-                new = [w for w in set().union(*(c for c in counts if c)) if w not in known]
-                begin = len(known)
-                if new:
-                    while len(state["table"]) < begin + len(new):
-                        state["table"] = np.vstack([state["table"], np.zeros_like(state["table"])])
-                    new.sort(key=len)
-                    for a in range(0, len(new), 4000):
-                        part = new[a : a + 4000]
-                        state["table"][begin + a : begin + a + len(part)] = word_logs(pieces, part, model.logs)
-                    known.update(zip(new, range(begin, begin + len(new))))
-                preds, scores, table = [], [], state["table"]
-                for c in counts:
-                    if c is None:
-                        preds.append("und")
-                        scores.append(0.0)
-                        continue
-                    ids = np.fromiter((known[w] for w in c), np.int64, len(c))
-                    total = np.fromiter(c.values(), float, len(c)) @ table[ids]
-                    best = int(np.argmax(total))
-                    preds.append(model.languages[best])
-                    scores.append(float(1.0 / np.exp(total - total[best]).sum()))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                found = score(some.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def known_language(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose language is told with a posterior of ``least`` at least.
+
+    Texts without a letter go. If nothing was learned, only these go.
+    """
+    score, at, learned = scorer(docs.sparkSession, model), docs.columns.index(text), bool(model.languages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                texts = some.column(at).to_pylist()
+                keep = [x != UNKNOWN and p >= least for x, p in score(texts)] if learned else [bool(t and LETTER.search(t)) for t in texts]
+                yield some.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 

@@ -119,41 +119,67 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 _READY: dict = {}
 
 
-def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score of every row: the probability of label 1 for the whole text. Null and empty texts get the bias alone.
+def scorer(spark, model: Model):
+    """A function of a list of texts for use in tasks: the probability of label 1 of each.
 
     The text's vector is a mean and the layer is linear, so a worker keeps one number for each word.
     """
-    shared, key = docs.sparkSession.sparkContext.broadcast((model.by_bucket(), float(model.bias[1] - model.bias[0]))), uuid.uuid4().hex
+    shared, key = spark.sparkContext.broadcast((model.by_bucket(), float(model.bias[1] - model.bias[0]))), uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(texts: list[str | None]) -> list[float]:
         table, bias = shared.value
         if _READY.get("key") != key:
             _READY.clear()
             _READY.update(key=key, known={})
         known = _READY["known"]
+        counts = [Counter(split(t or "")) for t in texts]
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        new = [w for w in set().union(*counts) if w not in known]
+        if new:
+            ids = [parts(w) for w in new]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            values = table[np.fromiter((i for own in ids for i in own), np.int64, int(lengths.sum()))]
+            known.update(zip(new, (np.add.reduceat(values, np.concatenate(([0], np.cumsum(lengths)[:-1]))) / lengths).tolist()))
+        out = []
+        for c in counts:
+            n = sum(c.values())
+            total = sum(known[w] * k for w, k in c.items()) / n if n else 0.0
+            out.append(float(1 / (1 + np.exp(-(total + bias)))))
+        return out
+
+    return score
+
+
+def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, score of every row: the probability of label 1 for the whole text. Null and empty texts get the bias alone.
+
+    Rows are independent: repeated ids or texts are scored alike. An empty table gives no rows.
+    """
+    score = scorer(docs.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                counts = [Counter(split(t or "")) for t in some.column(1).to_pylist()]
-                if len(known) > KEPT_WORDS:
-                    known.clear()
-                new = [w for w in set().union(*counts) if w not in known]
-                if new:
-                    ids = [parts(w) for w in new]
-                    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-                    values = table[np.fromiter((i for own in ids for i in own), np.int64, int(lengths.sum()))]
-                    known.update(zip(new, (np.add.reduceat(values, np.concatenate(([0], np.cumsum(lengths)[:-1]))) / lengths).tolist()))
-                scores = []
-                for c in counts:
-                    n = sum(c.values())
-                    total = sum(known[w] * k for w, k in c.items()) / n if n else 0.0
-                    scores.append(float(1 / (1 + np.exp(-(total + bias)))))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(score(some.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def good(docs: DataFrame, model: Model, text: str = "text", least: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, unchanged, with a score of ``least`` at least."""
+    score, at = scorer(docs.sparkSession, model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                yield some.filter(pa.array([x >= least for x in score(some.column(at).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_query(spark, sf_dir: str) -> DataFrame:
     """op10: the quality of every document, learned outside the held-out fifth."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
