@@ -102,16 +102,14 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 
 
 class SignatureTree:
-    """A tree over sets ordered by component, then by size and bitmap; ``low`` and ``high`` bound a node's members."""
-
-    def __init__(self, sets: list[np.ndarray], groups: list[int]):
-        self.sets, n = sets, len(sets)
-        self.sizes = np.fromiter(map(len, sets), np.int64, n)
-        self.maps = np.stack([bitmap(s) for s in sets])
-        self.over = self.sizes - np.bitwise_count(self.maps).sum(axis=1)  # shingles that share a bit
-        self.order = np.lexsort((self.maps[:, 0], self.sizes, np.asarray(groups)))
+    """A tree over sets ordered by component, then by size and bitmap. A node has the OR of its bitmaps and size bounds."""
+
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray, groups: list[int]):
+        self.sizes, self.maps, n = sizes, maps, len(sizes)
+        self.over = sizes - np.bitwise_count(maps).sum(axis=1)  # shingles that share a bit
+        order = np.lexsort((maps[:, 0], sizes, np.asarray(groups)))
         self.nodes: list[tuple] = []  # (members or None, children, OR, least size, most size, most shared bits)
-        level = [self._node(self.order[i : i + LEAF].tolist(), ()) for i in range(0, n, LEAF)]
+        level = [self._node(order[i : i + LEAF].tolist(), ()) for i in range(0, n, LEAF)]
         while len(level) > 1:
             level = [self._node(None, tuple(level[i : i + FANOUT])) for i in range(0, len(level), FANOUT)]
         self.root = level[0]
@@ -127,9 +125,13 @@ class SignatureTree:
         return len(self.nodes) - 1
 
 
-def traverse(sets: list[np.ndarray], components: list[int], threshold: Fraction) -> list[tuple[int, int]]:
-    """Links that join all linked sets which ``components`` doesn't join yet: a spanning set, not all pairs."""
-    tree = SignatureTree(sets, components)
+def traverse(sizes: np.ndarray, maps: np.ndarray, components: list[int], threshold: Fraction, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Pairs of members in different components that may be linked.
+
+    With ``sets`` each pair is verified at once and joins its components, so that the links span all linked sets and are
+    fewer than the members. Without, all pairs that the signatures allow are given.
+    """
+    tree = SignatureTree(sizes, maps, components)
     parent: dict[int, int] = {c: c for c in components}
 
     def find(c: int) -> int:
@@ -138,7 +140,7 @@ def traverse(sets: list[np.ndarray], components: list[int], threshold: Fraction)
         return c
 
     num, den = threshold.numerator, threshold.denominator
-    one: list[int | None] = []  # a node's component while all its members share one
+    one: list[int | None] = []  # a node's component if all its members share one
 
     def single(x: int) -> int | None:
         members, children = tree.nodes[x][:2]
@@ -151,10 +153,10 @@ def traverse(sets: list[np.ndarray], components: list[int], threshold: Fraction)
     while stack:
         x, y = stack.pop()
         a, b = tree.nodes[x], tree.nodes[y]
-        if one[x] is None:
-            one[x] = single(x)
-        if one[y] is None:
-            one[y] = single(y)
+        if sets is not None:
+            for z in (x, y):
+                if one[z] is None:
+                    one[z] = single(z)
         if one[x] is not None and one[y] is not None and find(one[x]) == find(one[y]):
             continue
         if x != y:
@@ -163,18 +165,22 @@ def traverse(sets: list[np.ndarray], components: list[int], threshold: Fraction)
             if most * (num + den) < least or den * a[4] < num * b[3] or den * b[4] < num * a[3]:
                 continue
         if a[0] is not None and b[0] is not None:
-            for p, i in enumerate(a[0]):
-                for j in b[0][p + 1 :] if x == y else b[0]:
-                    if find(components[i]) == find(components[j]):
-                        continue
-                    m, n = int(tree.sizes[i]), int(tree.sizes[j])
-                    need = -(-num * (m + n) // (num + den))
-                    if need > min(m, n) or m - int(np.bitwise_count(tree.maps[i] & ~tree.maps[j]).sum()) < need or n - int(np.bitwise_count(tree.maps[j] & ~tree.maps[i]).sum()) < need:
-                        continue
-                    both = m + n - len(np.unique(np.concatenate((sets[i], sets[j]))))
-                    if both >= need:
-                        links.append((i, j))
-                        parent[find(components[i])] = find(components[j])
+            left, right = np.array(a[0]), np.array(b[0])
+            m, n = sizes[left][:, None], sizes[right][None, :]
+            need = -(-num * (m + n) // (num + den))
+            p, q = maps[left][:, None, :], maps[right][None, :, :]
+            may = (need <= np.minimum(m, n)) & (m - np.bitwise_count(p & ~q).sum(axis=2) >= need) & (n - np.bitwise_count(q & ~p).sum(axis=2) >= need)
+            if x == y:
+                may = np.triu(may, 1)
+            for i, j in zip(*np.nonzero(may)):
+                u, v = int(left[i]), int(right[j])
+                if find(components[u]) == find(components[v]):
+                    continue
+                if sets is None:
+                    links.append((u, v))
+                elif int(sizes[u] + sizes[v]) - len(np.unique(np.concatenate((sets[u], sets[v])))) >= need[i, j]:
+                    links.append((u, v))
+                    parent[find(components[u])] = find(components[v])
         elif x == y:
             kids = a[1]
             stack += [(kids[p], kids[q]) for p in range(len(kids)) for q in range(p, len(kids))]
@@ -199,20 +205,40 @@ def thinned(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(words), word(F.col(column)) == F.col("_w")).where(hit).drop("_w", "_m")
 
 
-def _linked(threshold: Fraction):
-    """A grouped map over (node, component, hashes): the links that a traversal finds, by node."""
+def _pairs(threshold: Fraction, exact: bool):
+    """A grouped map over (node, component, n, map, and hashes if ``exact``): the pairs that a traversal finds, by node."""
 
     def run(table: pa.Table) -> pa.Table:
-        nodes, groups, blobs = table.column("node").to_pylist(), table.column("component").to_pylist(), table.column("hashes").to_pylist()
-        first = {n: i for i, n in reversed(list(enumerate(nodes)))}
-        rows = sorted(first.values(), key=lambda i: nodes[i])
-        nodes, groups, sets = [nodes[i] for i in rows], [groups[i] for i in rows], [np.frombuffer(blobs[i], np.uint64) for i in rows]
-        links = traverse(sets, groups, threshold) if len(rows) > 1 else []
-        return pa.table({"u": pa.array([nodes[i] for i, _ in links], pa.int64()), "v": pa.array([nodes[j] for _, j in links], pa.int64())})
+        nodes = table.column("node").to_pylist()
+        rows = sorted({n: i for i, n in enumerate(nodes)}.values(), key=lambda i: nodes[i])
+        pick = lambda c: [v for v in table.column(c).take(rows).to_pylist()]
+        nodes, found = [nodes[i] for i in rows], []
+        if len(rows) > 1:
+            maps = np.stack([np.frombuffer(m, np.uint64) for m in pick("map")])
+            sets = [np.frombuffer(h, np.uint64) for h in pick("hashes")] if exact else None
+            found = traverse(np.array(pick("n"), np.int64), maps, pick("component"), threshold, sets)
+        pairs = [sorted((nodes[i], nodes[j])) for i, j in found]
+        return pa.table({"u": pa.array([u for u, _ in pairs], pa.int64()), "v": pa.array([v for _, v in pairs], pa.int64())})
 
     return run
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, component: DataFrame | None, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Links among each leader ``u`` and its ``v``, in blocks that all hold the leader; and (node, leader, block) of each v.
+
+    A block is compared whole. ``component`` (node, component) tells what is joined already.
+    """
+    sized = pairs.join(pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "u")
+    sized = sized.select(F.col("u").alias("leader"), F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), F.col("v").alias("node"))
+    heads = sized.select("leader", "block").distinct().select("leader", "block", F.col("leader").alias("node"))
+    groups = sized.union(heads).join(sets, "node")
+    if component is None:
+        groups = groups.withColumn("component", F.col("node"))
+    else:
+        groups = groups.join(component.withColumnRenamed("component", "c"), "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
+    return cut(groups.groupBy("leader", "block").applyInArrow(_pairs(threshold, True), "u long, v long")), sized
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest id reachable by links of Jaccard >= ``threshold``.
 
@@ -245,8 +271,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                blobs = [shingles(t, width).tobytes() for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(blobs, pa.binary())], names=["node", "hashes"])
+                own = [shingles(t, width) for t in some.column(1).to_pylist()]
+                blobs, maps = [h.tobytes() for h in own], [bitmap(h).tobytes() for h in own]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(map(len, own)), pa.int64()), pa.array(maps, pa.binary()), pa.array(blobs, pa.binary())], names=["node", "n", "map", "hashes"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = cut(rows.mapInArrow(described, "doc_id long, node long, n long, keys array<long>"))
@@ -258,29 +285,22 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     pick = members.select("node").distinct().join(found.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first")), "node")
     pick = cut(pick)
     texts = thinned(rows, "doc_id", pick.select("first")).join(pick, F.col("doc_id") == F.col("first")).select("node", "text")
-    sets = cut(texts.mapInArrow(hashed, "node long, hashes binary").dropDuplicates(["node"]))
+    sets = cut(texts.mapInArrow(hashed, "node long, n long, map binary, hashes binary"))
 
-    # First each node with its smallest leader, in blocks that all hold the leader.
-    led = members.where("node <> lo").groupBy("node").agg(F.min("lo").alias("leader"))
-    sized = led.join(led.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "leader")
-    sized = sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    heads = sized.select("leader", "block").distinct().select("leader", "block", F.col("leader").alias("node"))
-    groups = sized.select("leader", "block", "node").union(heads).join(sets, "node").withColumn("component", F.col("node"))
-    links = cut(groups.groupBy("leader", "block").applyInArrow(_linked(threshold), "u long, v long"))
+    # First each node with its smallest leader.
+    led = members.where("node <> lo").groupBy("node").agg(F.min("lo").alias("leader")).select(F.col("leader").alias("u"), F.col("node").alias("v"))
+    links, placed = _verified(cut(led), sets, None, threshold)
     parts = connected_components(links)
 
-    # Then the groups that still hold several components, each set of members once.
-    now = members.join(parts.select("node", F.col("component").alias("c")), "node", "left").select("key", "node", "lo", F.coalesce("c", "node").alias("component"))
-    now = cut(now)
-    open_ = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("same2")).where("a <> b")
-    open_ = open_.groupBy("m", "same", "same2").agg(F.min("key").alias("key")).select("key")
-    # A pair is done if it is a node and its leader: it was compared above.
-    rest = now.join(open_, "key")
-    count = rest.groupBy("key").agg(F.count("*").alias("m"), F.max("node").alias("top"), F.min("node").alias("low"))
-    rest = rest.join(count, "key")
-    top = led.select(F.col("node").alias("top"), F.col("leader").alias("done"))
-    rest = rest.join(top, "top", "left").where("m > 2 or done is null or done <> low").select("key", "node", "component")
-    rest = cut(rest)
+    # Then the groups that still hold several components, but for those whose members were all in one block above, and
+    # each set of members once. Their trees hold signatures alone; what these allow is verified like the first pairs.
+    now = members.join(parts.select("node", F.col("component").alias("c")), "node", "left").join(placed, "node", "left")
+    now = cut(now.select("key", "node", "lo", F.coalesce("c", "node").alias("component"), F.struct("leader", "block").alias("at")))
+    first, led_by = F.col("node") == F.col("lo"), F.when(F.col("node") != F.col("lo"), F.col("at"))
+    open_ = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min(led_by).alias("p"), F.max(led_by).alias("q"), F.max(F.when(first, F.col("at"))).alias("own"), F.max("lo").alias("lo"), F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("same2"))
+    done = (F.col("p") == F.col("q")) & ((F.col("p.leader") == F.col("lo")) | (F.col("p") == F.col("own")))
+    open_ = open_.where("a <> b").where(~F.coalesce(done, F.lit(False))).groupBy("m", "same", "same2").agg(F.min("key").alias("key")).select("key")
+    rest = cut(now.join(open_, "key").select("key", "node", "component"))
     big = rest.groupBy("key", "component").agg(F.count("*").alias("c"))
     units = rest.join(big, ["key", "component"])
     small = F.col("c") <= BLOCK
@@ -291,10 +311,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     other = each.select("key", F.col("unit").alias("unit2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
     pairs = cut(each.join(other, "key").where("unit <= unit2 and not (a = b and a2 = b2 and a = a2)").select("key", "unit", "unit2"))
     sides = units.join(pairs, ["key", "unit"]).select("key", "unit", "unit2", "node", "component").union(units.withColumnRenamed("unit", "unit2").join(pairs.where("unit <> unit2"), ["key", "unit2"]).select("key", "unit", "unit2", "node", "component"))
-    more = cut(sides.join(sets, "node").groupBy("key", "unit", "unit2").applyInArrow(_linked(threshold), "u long, v long"))
-    if not more.isEmpty():
+    maybe = cut(sides.join(sets.select("node", "n", "map"), "node").groupBy("key", "unit", "unit2").applyInArrow(_pairs(threshold, False), "u long, v long").distinct())
+    if not maybe.isEmpty():
+        more, _ = _verified(maybe, sets, parts, threshold)
         parts = connected_components(links.union(more))
-    drop(members, now, rest, units, pairs, sets)
+    drop(members, now, rest, units, pairs, maybe, sets)
 
     named = found.join(parts.withColumnRenamed("node", "pn"), F.col("node") == F.col("pn"), "left").select("doc_id", "n", F.coalesce("component", "node").alias("component"))
     least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
