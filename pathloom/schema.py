@@ -5,20 +5,19 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import types as T
 
 #: Distances and quantised weights stay below this.
 INFINITY = 2**31 - 1
 MAX_ID = 2**32 - 1
 MAX_TRANSITIONS = 12_000_000
 
-NODES = T.StructType.fromDDL("node_id long, x float, y float")
-EDGES = T.StructType.fromDDL("edge_id long, tail long, head long, baseline double")
-TRIPS = T.StructType.fromDDL("sample_id string, edges array<long>")
-TRANSITIONS = T.StructType.fromDDL("coord long, prev long, next long, w0 double, lo double, hi double")
-PATHS = T.StructType.fromDDL("qid long, distance long, nodes array<long>, coords array<long>")
-RECORD = T.StructType.fromDDL("sample_id string, original_edge_ids array<long>")
-PREDICTION = T.StructType.fromDDL("sample_id string, predicted_edge_ids array<long>")
+NODES = "node_id long, x float, y float"
+EDGES = "edge_id long, tail long, head long, baseline double"
+TRIPS = "sample_id string, edges array<long>"
+TRANSITIONS = "coord long, prev long, next long, w0 double, lo double, hi double"
+PATHS = "qid long, distance long, nodes array<long>, coords array<long>"
+RECORD = "sample_id string, original_edge_ids array<long>"
+PREDICTION = "sample_id string, predicted_edge_ids array<long>"
 
 
 @dataclass(frozen=True)
