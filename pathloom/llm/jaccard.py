@@ -26,7 +26,11 @@ from pyspark.sql.window import Window
 
 from .common import connected_components, cut, drop
 
-BITMAP, LEAF, FANOUT, BLOCK = 2048, 8, 4, 256
+LEAF, FANOUT, BLOCK = 8, 4, 256
+#: Bits of a bitmap: a power of two, this many for each shingle or more; a larger one folds to a smaller.
+BITS, FEWEST = 8, 512
+#: Rounds in which nodes of open groups meet new leaders in new blocks, before signatures are compared pair by pair.
+ROUNDS = 3
 #: Bits of the filter that thins rows ahead of a join; a full one lets more rows by, never fewer.
 FILTER_BITS = 1 << 24
 
@@ -96,9 +100,16 @@ def keys_of(hashes: np.ndarray, levels: Levels) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP, np.uint8)
-    bits[(hashes & np.uint64(BITMAP - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+    size = max(FEWEST, 1 << (BITS * len(hashes) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of one size, that of the smallest: bits of one place in it are joined."""
+    size = min(map(len, maps))
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, size), axis=0) for m in maps])
 
 
 class SignatureTree:
@@ -214,7 +225,7 @@ def _pairs(threshold: Fraction, exact: bool):
         pick = lambda c: [v for v in table.column(c).take(rows).to_pylist()]
         nodes, found = [nodes[i] for i in rows], []
         if len(rows) > 1:
-            maps = np.stack([np.frombuffer(m, np.uint64) for m in pick("map")])
+            maps = folded([np.frombuffer(m, np.uint64) for m in pick("map")])
             sets = [np.frombuffer(h, np.uint64) for h in pick("hashes")] if exact else None
             found = traverse(np.array(pick("n"), np.int64), maps, pick("component"), threshold, sets)
         pairs = [sorted((nodes[i], nodes[j])) for i, j in found]
@@ -223,13 +234,13 @@ def _pairs(threshold: Fraction, exact: bool):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, component: DataFrame | None, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+def _verified(pairs: DataFrame, sets: DataFrame, component: DataFrame | None, threshold: Fraction, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Links among each leader ``u`` and its ``v``, in blocks that all hold the leader; and (node, leader, block) of each v.
 
     A block is compared whole. ``component`` (node, component) tells what is joined already.
     """
     sized = pairs.join(pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "u")
-    sized = sized.select(F.col("u").alias("leader"), F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), F.col("v").alias("node"))
+    sized = sized.select(F.col("u").alias("leader"), F.pmod(F.xxhash64("v", F.lit(seed)), F.col("blocks")).cast("int").alias("block"), F.col("v").alias("node"))
     heads = sized.select("leader", "block").distinct().select("leader", "block", F.col("leader").alias("node"))
     groups = sized.union(heads).join(sets, "node")
     if component is None:
@@ -239,6 +250,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, component: DataFrame | None, th
     return cut(groups.groupBy("leader", "block").applyInArrow(_pairs(threshold, True), "u long, v long")), sized
 
 
+def _open_groups(groups: DataFrame, parts: DataFrame, placed: DataFrame) -> DataFrame:
+    """(key, node, lo, component) of groups (key, node, lo) that hold several components and weren't compared whole.
+
+    A group was if its members were all in one block of ``placed``, its first one perhaps as the leader of the block.
+    Of groups with the same members one is kept.
+    """
+    now = groups.join(parts.select("node", F.col("component").alias("c")), "node", "left").join(placed, "node", "left")
+    now = cut(now.select("key", "node", "lo", F.coalesce("c", "node").alias("component"), F.when(F.col("leader").isNotNull(), F.struct("leader", "block")).alias("at")))
+    first, led_by = F.col("node") == F.col("lo"), F.when(F.col("node") != F.col("lo"), F.col("at"))
+    own = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min(led_by).alias("p"), F.max(led_by).alias("q"), F.max(F.when(first, F.col("at"))).alias("own"), F.max("lo").alias("lo"), F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("same2"))
+    done = (F.col("p") == F.col("q")) & ((F.col("p.leader") == F.col("lo")) | (F.col("p") == F.col("own")))
+    own = own.where("a <> b").where(~F.coalesce(done, F.lit(False))).groupBy("m", "same", "same2").agg(F.min("key").alias("key")).select("key")
+    out = cut(now.join(own, "key").select("key", "node", "lo", "component"))
+    drop(now)
+    return out
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest id reachable by links of Jaccard >= ``threshold``.
 
@@ -287,20 +315,20 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     texts = thinned(rows, "doc_id", pick.select("first")).join(pick, F.col("doc_id") == F.col("first")).select("node", "text")
     sets = cut(texts.mapInArrow(hashed, "node long, n long, map binary, hashes binary"))
 
-    # First each node with its smallest leader.
-    led = members.where("node <> lo").groupBy("node").agg(F.min("lo").alias("leader")).select(F.col("leader").alias("u"), F.col("node").alias("v"))
-    links, placed = _verified(cut(led), sets, None, threshold)
-    parts = connected_components(links)
-
-    # Then the groups that still hold several components, but for those whose members were all in one block above, and
-    # each set of members once. Their trees hold signatures alone; what these allow is verified like the first pairs.
-    now = members.join(parts.select("node", F.col("component").alias("c")), "node", "left").join(placed, "node", "left")
-    now = cut(now.select("key", "node", "lo", F.coalesce("c", "node").alias("component"), F.struct("leader", "block").alias("at")))
-    first, led_by = F.col("node") == F.col("lo"), F.when(F.col("node") != F.col("lo"), F.col("at"))
-    open_ = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min(led_by).alias("p"), F.max(led_by).alias("q"), F.max(F.when(first, F.col("at"))).alias("own"), F.max("lo").alias("lo"), F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("same2"))
-    done = (F.col("p") == F.col("q")) & ((F.col("p.leader") == F.col("lo")) | (F.col("p") == F.col("own")))
-    open_ = open_.where("a <> b").where(~F.coalesce(done, F.lit(False))).groupBy("m", "same", "same2").agg(F.min("key").alias("key")).select("key")
-    rest = cut(now.join(open_, "key").select("key", "node", "component"))
+    # Each node with its smallest leader, at first of all its groups, then of those that still hold several components.
+    rest, parts, links = members, None, None
+    for at in range(ROUNDS):
+        led = rest.where("node <> lo").groupBy("node").agg(F.min("lo").alias("leader")).select(F.col("leader").alias("u"), F.col("node").alias("v"))
+        found_links, placed = _verified(cut(led), sets, parts, threshold, at)
+        links = found_links if links is None else links.union(found_links)
+        parts = connected_components(links)
+        new = _open_groups(rest.select("key", "node", "lo"), parts, placed)
+        drop(rest)
+        rest = new
+        if rest.isEmpty():
+            break
+
+    # What is left is compared by signatures alone; what these allow is verified like the first pairs.
     big = rest.groupBy("key", "component").agg(F.count("*").alias("c"))
     units = rest.join(big, ["key", "component"])
     small = F.col("c") <= BLOCK
@@ -315,7 +343,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     if not maybe.isEmpty():
         more, _ = _verified(maybe, sets, parts, threshold)
         parts = connected_components(links.union(more))
-    drop(members, now, rest, units, pairs, maybe, sets)
+    drop(rest, units, pairs, maybe, sets)
 
     named = found.join(parts.withColumnRenamed("node", "pn"), F.col("node") == F.col("pn"), "left").select("doc_id", "n", F.coalesce("component", "node").alias("component"))
     least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -84,7 +84,7 @@ def test_traversal_joins_all_links():
         all_sets.append(np.unique(own))
     t = Fraction(9, 10)
     plain = components(range(80), lambda a, b: len(np.intersect1d(all_sets[a], all_sets[b])) * 19 >= 9 * (len(all_sets[a]) + len(all_sets[b])))
-    sizes, maps = np.array([len(x) for x in all_sets]), np.stack([jaccard.bitmap(x) for x in all_sets])
+    sizes, maps = np.array([len(x) for x in all_sets]), jaccard.folded([jaccard.bitmap(x) for x in all_sets])
     links = set(jaccard.traverse(sizes, maps, list(range(80)), t, all_sets))
     allowed = {frozenset(x) for x in jaccard.traverse(sizes, maps, list(range(80)), t)}
     assert all(frozenset(x) in allowed for x in links)
