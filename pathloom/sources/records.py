@@ -34,8 +34,9 @@ def json_faults(lines: DataFrame, kind: tuple[str, str, int], line: str = "value
     whole = F.forall(ids, lambda v: F.coalesce((F.schema_of_variant(v) == "BIGINT") & F.try_variant_get(v, "$", "bigint").between(0, MAX_ID), F.lit(False)))
     fault = (
         F.when(F.trim(text) == "", "blank_line")
-        .when(value.isNull() | keys.isNull(), "not_an_object")
+        .when(keys.isNull(), "not_an_object")
         .when(keys != wanted, "wrong_keys")
+        .when(value.isNull(), "not_an_object")
         .when(F.coalesce(kind_of(f"$.{name}"), F.lit("VOID")) != "STRING", "id_not_a_string")
         .when(F.trim(raw_id) == "", "blank_id")
         .when(raw_id.rlike(r"[\x00-\x1f\x7f-\x9f]"), "control_character")
