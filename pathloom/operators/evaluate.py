@@ -20,12 +20,17 @@ def misaligned(truth: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def align(truth: DataFrame, predictions: DataFrame) -> DataFrame:
-    """(sample_id, truth, predicted), one row for each id; anything but a one-to-one match is an error, extras first."""
-    order = F.when(F.col("kind").startswith("dup"), 0).when(F.col("kind") == "extra", 1).otherwise(2)
-    bad = misaligned(truth, predictions).orderBy(order, "sample_id").first()
-    if bad:
-        raise ValueError(f"{bad['kind']} id {bad['sample_id']}")
-    return truth.select("sample_id", F.col("edges").alias("truth")).join(predictions.select("sample_id", F.col("edges").alias("predicted")), "sample_id")
+    """(sample_id, truth, predicted), one row for each id; anything but a one-to-one match is an error when it runs.
+
+    Both sides meet in one grouped shuffle that also counts them, so predictions are made once.
+    """
+    none = F.lit(None).cast("array<long>")
+    left = truth.select("sample_id", F.col("edges").alias("truth"), none.alias("predicted"), F.lit(1).alias("t"), F.lit(0).alias("p"))
+    right = predictions.select("sample_id", none.alias("truth"), F.col("edges").alias("predicted"), F.lit(0).alias("t"), F.lit(1).alias("p"))
+    own = left.union(right).groupBy("sample_id").agg(F.first("truth", ignorenulls=True).alias("truth"), F.first("predicted", ignorenulls=True).alias("predicted"), F.sum("t").alias("t"), F.sum("p").alias("p"))
+    fault = F.when(F.col("t") == 0, "extra").when(F.col("p") == 0, "missing").when((F.col("t") > 1) | (F.col("p") > 1), "duplicate")
+    sure = F.when(fault.isNull(), F.col("truth")).otherwise(F.raise_error(F.concat(fault, F.lit(" id "), "sample_id")).cast("array<long>"))
+    return own.select("sample_id", sure.alias("truth"), "predicted")
 
 
 def ratio(a: Column, b: Column) -> Column:
