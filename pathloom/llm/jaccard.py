@@ -234,7 +234,7 @@ def _pairs(threshold: Fraction, exact: bool):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, component: DataFrame | None, threshold: Fraction, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def _verified(pairs: DataFrame, sets: _Sets, component: DataFrame | None, threshold: Fraction, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Links among each leader ``u`` and its ``v``, in blocks that all hold the leader; and (node, leader, block) of each v.
 
     A block is compared whole. ``component`` (node, component) tells what is joined already.
@@ -242,7 +242,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, component: DataFrame | None, th
     sized = pairs.join(pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "u")
     sized = sized.select(F.col("u").alias("leader"), F.pmod(F.xxhash64("v", F.lit(seed)), F.col("blocks")).cast("int").alias("block"), F.col("v").alias("node"))
     heads = sized.select("leader", "block").distinct().select("leader", "block", F.col("leader").alias("node"))
-    groups = sized.union(heads).join(sets, "node")
+    groups = sets.of(sized.union(heads), "n", "map", "hashes")
     if component is None:
         groups = groups.withColumn("component", F.col("node"))
     else:
@@ -250,6 +250,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, component: DataFrame | None, th
     return cut(groups.groupBy("leader", "block").applyInArrow(_pairs(threshold, True), "u long, v long")), sized
 
 
+class _Sets:
+    """Sets by node: (doc_id, node, n, map, hashes), of which the documents of ``pick`` (node, doc_id) count."""
+
+    def __init__(self, pick: DataFrame, rows: DataFrame):
+        self.pick, self.rows = pick, rows
+
+    def of(self, members: DataFrame, *columns: str) -> DataFrame:
+        """``members`` (node, ...) with columns of their sets; rows of other sets are left out ahead of the join."""
+        own = members.join(self.pick, "node")
+        return own.join(thinned(self.rows.select("doc_id", "node", *columns), "doc_id", own.select("doc_id")), ["doc_id", "node"]).drop("doc_id")
+
+
 def _open_groups(groups: DataFrame, parts: DataFrame, placed: DataFrame) -> DataFrame:
     """(key, node, lo, component) of groups (key, node, lo) that hold several components and weren't compared whole.
 
@@ -296,12 +308,15 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), lists], names=["doc_id", "node", "n", "keys"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 own = [shingles(t, width) for t in some.column(1).to_pylist()]
+                nodes = [xxh3_64_intdigest(h.tobytes()) - (1 << 63) for h in own]
                 blobs, maps = [h.tobytes() for h in own], [bitmap(h).tobytes() for h in own]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(map(len, own)), pa.int64()), pa.array(maps, pa.binary()), pa.array(blobs, pa.binary())], names=["node", "n", "map", "hashes"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(nodes, pa.int64()), pa.array(list(map(len, own)), pa.int64()), pa.array(maps, pa.binary()), pa.array(blobs, pa.binary())], names=["doc_id", "node", "n", "map", "hashes"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = cut(rows.mapInArrow(described, "doc_id long, node long, n long, keys array<long>"))
@@ -309,17 +324,17 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     shared = cut(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "lo"))
     members = cut(thinned(keys, "key", shared.select("key")).join(shared, "key").select("key", "node", "lo").distinct())
 
-    # Sets of all documents that share a key with another, one document of each node.
-    pick = members.select("node").distinct().join(found.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first")), "node")
-    pick = cut(pick)
-    texts = thinned(rows, "doc_id", pick.select("first")).join(pick, F.col("doc_id") == F.col("first")).select("node", "text")
-    sets = cut(texts.mapInArrow(hashed, "node long, n long, map binary, hashes binary"))
+    # Sets of the nodes that share a key, each from its first document. The filter may let other documents by; joins are
+    # on node and document, which leaves them out. So no text is shuffled.
+    pick = cut(members.select("node").distinct().join(found.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node"))
+    sets = cut(thinned(rows, "doc_id", pick.select("doc_id")).select("doc_id", "text").mapInArrow(hashed, "doc_id long, node long, n long, map binary, hashes binary"))
+    held = _Sets(pick, sets)
 
     # Each node with its smallest leader, at first of all its groups, then of those that still hold several components.
     rest, parts, links = members, None, None
     for at in range(ROUNDS):
         led = rest.where("node <> lo").groupBy("node").agg(F.min("lo").alias("leader")).select(F.col("leader").alias("u"), F.col("node").alias("v"))
-        found_links, placed = _verified(cut(led), sets, parts, threshold, at)
+        found_links, placed = _verified(cut(led), held, parts, threshold, at)
         links = found_links if links is None else links.union(found_links)
         parts = connected_components(links)
         new = _open_groups(rest.select("key", "node", "lo"), parts, placed)
@@ -339,11 +354,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     other = each.select("key", F.col("unit").alias("unit2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
     pairs = cut(each.join(other, "key").where("unit <= unit2 and not (a = b and a2 = b2 and a = a2)").select("key", "unit", "unit2"))
     sides = units.join(pairs, ["key", "unit"]).select("key", "unit", "unit2", "node", "component").union(units.withColumnRenamed("unit", "unit2").join(pairs.where("unit <> unit2"), ["key", "unit2"]).select("key", "unit", "unit2", "node", "component"))
-    maybe = cut(sides.join(sets.select("node", "n", "map"), "node").groupBy("key", "unit", "unit2").applyInArrow(_pairs(threshold, False), "u long, v long").distinct())
+    maybe = cut(held.of(sides, "n", "map").groupBy("key", "unit", "unit2").applyInArrow(_pairs(threshold, False), "u long, v long").distinct())
     if not maybe.isEmpty():
-        more, _ = _verified(maybe, sets, parts, threshold)
+        more, _ = _verified(maybe, held, parts, threshold)
         parts = connected_components(links.union(more))
-    drop(rest, units, pairs, maybe, sets)
+    drop(rest, units, pairs, maybe, sets, pick)
 
     named = found.join(parts.withColumnRenamed("node", "pn"), F.col("node") == F.col("pn"), "left").select("doc_id", "n", F.coalesce("component", "node").alias("component"))
     least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
