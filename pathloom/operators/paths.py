@@ -132,7 +132,8 @@ def relational_distances(arcs: DataFrame, metric: DataFrame, sources: DataFrame,
     before = None
     for _ in range(rounds):
         more = best.join(w, best.node == w.prev).select("source", F.col("next").alias("node"), (F.col("distance") + F.col("w")).alias("distance"))
-        best = best.union(more).groupBy("source", "node").agg(F.min("distance").alias("distance")).checkpoint() if best.sparkSession.sparkContext.getCheckpointDir() else best.union(more).groupBy("source", "node").agg(F.min("distance").alias("distance")).persist()
+        best = best.union(more).groupBy("source", "node").agg(F.min("distance").alias("distance"))
+        best = best.checkpoint() if best.sparkSession.sparkContext.getCheckpointDir() else best.persist()
         now = tuple(best.agg(F.count("*"), F.sum("distance")).first())
         if now == before:
             return best
