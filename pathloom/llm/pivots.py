@@ -2,6 +2,8 @@
 
 A vector is described by its nearest reference points in order. Inverted lists hold, for each reference point, the
 vectors that have it among these; vectors that share enough of them are candidates, whose cosine is then verified.
+Reference points stand apart from each other, so that a dense group has few of its own, and vectors with the same
+nearest point are all compared.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import connected_components, cut
 from .vectors import matrix, sample, usable
@@ -30,6 +33,34 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors**2).sum(axis=1, keepdims=True))
 
 
+def apart(points: np.ndarray, cosine: float) -> np.ndarray:
+    """The points, of length 1, that no earlier one of these is within twice the angle of ``cosine`` of."""
+    limit, kept, n = max(2 * cosine**2 - 1, cosine / 2), np.zeros_like(points), 0
+    for v in points:
+        if not (kept[:n] @ v >= limit).any():
+            kept[n] = v
+            n += 1
+    return kept[:n]
+
+
+def forest(i: np.ndarray, j: np.ndarray, count: int) -> list[tuple[int, int]]:
+    """Of the links (i, j) between ``count`` nodes some that join the same nodes, without cycles."""
+    root, links = np.arange(count), []
+    while True:
+        p, q = root[i], root[j]
+        apart_yet = p != q
+        if not apart_yet.any():
+            return links
+        i, j, high, low = i[apart_yet], j[apart_yet], np.maximum(p, q)[apart_yet], np.minimum(p, q)[apart_yet]
+        pick = np.full(count, -1)
+        pick[high] = np.arange(len(high))
+        pick = pick[pick >= 0]
+        links += zip(i[pick].tolist(), j[pick].tolist())
+        root[high[pick]] = low[pick]
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _compare(cosine: float, shared: int, count: int):
     """A grouped map over a list's pair of blocks: links of each vector, and links that join what is linked."""
 
@@ -43,28 +74,21 @@ def _compare(cosine: float, shared: int, count: int):
         held = np.zeros((len(ids), len(pivots)), np.float32)
         held[np.arange(len(ids))[:, None], at.reshape(near.shape)] = 1
         before = held[:, pivots < pivot]
-        # A pair is taken in the list of the first reference point that it shares.
-        wanted = (held[a] @ held[b].T >= shared) & (before[a] @ before[b].T == 0)
+        # Pairs with one nearest point are all taken in its list, others in that of the first point that they share.
+        home = near[:, 0]
+        wanted = np.where(home[a][:, None] == home[b][None, :], (home[a] == pivot)[:, None], (held[a] @ held[b].T >= shared) & (before[a] @ before[b].T == 0))
         if left == right:
             wanted &= ids[a][:, None] < ids[b][None, :]
-        i, j = np.nonzero(wanted)
-        score = np.concatenate([np.einsum("ij,ij->i", data[a[i[k : k + 65536]]], data[b[j[k : k + 65536]]]) for k in range(0, len(i), 65536)] or [np.zeros(0)])
-        ok = score >= cosine
-        i, j = a[i[ok]], b[j[ok]]
+        if wanted.sum() * 16 > wanted.size:
+            i, j = np.nonzero(wanted & (data[a] @ data[b].T >= cosine))
+        else:
+            i, j = np.nonzero(wanted)
+            score = np.concatenate([np.einsum("ij,ij->i", data[a[i[k : k + 65536]]], data[b[j[k : k + 65536]]]) for k in range(0, len(i), 65536)] or [np.zeros(0)])
+            ok = score >= cosine
+            i, j = i[ok], j[ok]
+        i, j = a[i], b[j]
         total = np.bincount(i, mult[j], len(ids)) + np.bincount(j, mult[i], len(ids))
-        parent = list(range(len(ids)))
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        links = []
-        for x, y in zip(i.tolist(), j.tolist()):
-            p, q = find(x), find(y)
-            if p != q:
-                parent[p] = q
-                links.append((x, y))
+        links = forest(i, j, len(ids))
         some = np.flatnonzero(total)
         u = [*ids[some].tolist(), *(int(ids[x]) for x, _ in links)]
         v = [*[None] * len(some), *(int(ids[y]) for _, y in links)]
@@ -88,7 +112,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, near: int = NEAR,
     count = min(MOST, max(FEWEST, 1 << max(0, math.ceil(math.log2(max(1, total) / EACH)))))
     _, points = sample(rows, count, SEED)
     size = points.shape[1]
-    points = spark.sparkContext.broadcast(unit(np.unique(points, axis=0)) if len(points) else points)
+    points = spark.sparkContext.broadcast(apart(unit(points), cosine) if len(points) else points)
     hashes = {"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(SEED), "embedding")}
     own = cut(rows.where(F.size("embedding") == size).withColumns(hashes).select("vec_id", "h1", "h2", "embedding"))
     classes = own.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.min_by("embedding", "vec_id").alias("embedding"))
@@ -105,10 +129,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, near: int = NEAR,
 
     kind = dict(rows.dtypes)["embedding"]
     classes = cut(classes.select("rep", "mult", "embedding").mapInArrow(describe, f"rep long, mult long, embedding {kind}, near array<int>"))
-    posted = classes.withColumn("pivot", F.explode("near"))
-    lists = posted.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row for each point
-    posted = posted.join(F.broadcast(lists), "pivot").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    posted = posted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    posted = classes.withColumns({"home": F.get("near", F.lit(0)), "pivot": F.explode("near")})
+    # Many vectors of another point have blocks of their own in a list: their pairs are taken in that point's list.
+    of = posted.groupBy("pivot", "home").agg(F.count("*").alias("n"))
+    of = of.groupBy("pivot", F.when((F.col("pivot") != F.col("home")) & (F.col("n") > BLOCK), F.col("home")).alias("home")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    upto = F.sum("blocks").over(Window.partitionBy("pivot").orderBy(F.col("home").asc_nulls_first()))
+    of = cut(of.withColumns({"first": (upto - F.col("blocks")).cast("int"), "all": F.sum("blocks").over(Window.partitionBy("pivot")).cast("int")}))
+    lists = of.groupBy("pivot").agg(F.first("all").alias("all"), F.coalesce(F.max(F.when(F.col("home").isNull(), F.col("blocks"))), F.lit(1)).alias("mixed"))  # a row for each point
+    many = of.where("home is not null").select("pivot", "home", "first", "blocks")
+    posted = posted.join(F.broadcast(lists), "pivot").join(many, ["pivot", "home"], "left")
+    posted = posted.withColumn("side", (F.coalesce("first", F.lit(0)) + F.pmod(F.xxhash64("rep"), F.coalesce("blocks", "mixed"))).cast("int"))
+    posted = posted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).where("first is null or o < first or o >= first + blocks")
     posted = posted.withColumns({"left": F.least("side", "o"), "right": F.greatest("side", "o")}).select("pivot", "left", "right", "side", "rep", "mult", "embedding", "near")
     enough = min(shared, max(1, count))
     found = cut(posted.groupBy("pivot", "left", "right").applyInArrow(_compare(cosine, enough, count), "u long, v long, n long"))

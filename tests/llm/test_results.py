@@ -174,6 +174,22 @@ def test_vectors(spark):
     assert hits >= 0.9 * len(near) and len(near) == 240
 
 
+@pytest.mark.parametrize("noise", [0.1, 0.26])
+def test_vectors_of_a_dense_group(spark, noise):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(64)
+    group = centre / np.linalg.norm(centre) + noise / 8 * rng.standard_normal((6_700, 64))  # cosines of about 0.99 or 0.94
+    data = pivots.unit(np.concatenate([rng.standard_normal((13_300, 64)), group])).astype(np.float32)
+    lists = pa.ListArray.from_arrays(np.arange(0, data.size + 1, 64, dtype=np.int32), data.reshape(-1))
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(len(data)), "embedding": lists}))
+    found = pivots.near_duplicates(rows).toPandas().set_index("vec_id").n_links.sort_index()
+    exact = pivots.unit(data.astype(float))
+    counts = np.concatenate([(exact[k : k + 2000] @ exact.T >= 0.95).sum(axis=1) - 1 for k in range(0, len(data), 2000)])
+    assert (found.values <= counts).all() and found.sum() >= 0.999 * counts.sum()
+
+
 def test_urls_equal_sql(spark):
     import duckdb
 
