@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from pathloom.plans import more_queries
 
 SF = "/root/testdata/sf0.001"
 ROUTES = sorted(n for n in entry.queries() if not n.startswith("op") and n != "pipeline")
@@ -36,5 +37,14 @@ def test_query(spark, db, name):
     assert sorted(df.columns) == sorted(columns) and plain(rows, df.columns) == plain(found.fetchall(), columns)
 
 
+def test_shortcut_completion_asks_for_all_active_pairs(spark):
+    _, active, found = more_queries._mined(spark, SF)
+    active = [r["edge"] for r in active.collect()]
+    known = {(r["src"], r["dst"]) for r in more_queries.shortcuts.medoids(found).collect()}
+    rows = entry.queries()["shortcut_completion"](spark, SF).collect()
+    assert sorted((r["src"], r["dst"]) for r in rows) == sorted((a, b) for a in active for b in active if a != b and (a, b) not in known)
+    assert max(r["src"] for r in rows) >= 30
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
