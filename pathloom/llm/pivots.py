@@ -21,7 +21,8 @@ from .vectors import matrix, sample, usable
 
 #: Nearest reference points of a vector, and how many two vectors must share.
 NEAR, SHARED = 10, 2
-#: A reference point for so many vectors, within bounds; they come from a sample by a hash of the id.
+#: A reference point for so many vectors, within bounds; they come from a sample of the different
+#: vectors by a hash of the id.
 EACH, FEWEST, MOST = 50, 16, 4096
 #: Rows of a list that one task compares with as many others.
 BLOCK, SEED = 1024, 29
@@ -103,19 +104,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, near: int = NEAR,
 
     Equal vectors are one class with a count, by two 64-bit hashes; other pairs are counted where their lists meet, and
     only links that join components leave a task. Vectors that are null, zero, hold null or non-finite numbers or have
-    another length than most of the sample's link with nothing. A null id keeps a null component. Rows with one id are
+    another length than most link with nothing. A null id keeps a null component. Rows with one id are
     vectors of their own. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
-    total = rows.count()
-    count = min(MOST, max(FEWEST, 1 << max(0, math.ceil(math.log2(max(1, total) / EACH)))))
-    _, points = sample(rows, count, SEED)
-    size = points.shape[1]
-    points = spark.sparkContext.broadcast(apart(unit(points), cosine) if len(points) else points)
+    lengths = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
+    size = lengths[0]["size"] if lengths else 0
     hashes = {"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(SEED), "embedding")}
     own = cut(rows.where(F.size("embedding") == size).withColumns(hashes).select("vec_id", "h1", "h2", "embedding"))
-    classes = own.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.min_by("embedding", "vec_id").alias("embedding"))
+    classes = cut(own.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.min_by("embedding", "vec_id").alias("embedding")))
+    total = classes.count()
+    count = min(MOST, max(FEWEST, 1 << max(0, math.ceil(math.log2(max(1, total) / EACH)))))
+    _, points = sample(classes.select(F.col("rep").alias("vec_id"), "embedding"), count, SEED)
+    points = spark.sparkContext.broadcast(apart(unit(points), cosine) if len(points) else points)
 
     def describe(batches):
         for batch in batches:
@@ -141,7 +143,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, near: int = NEAR,
     posted = posted.withColumn("side", (F.coalesce("first", F.lit(0)) + F.pmod(F.xxhash64("rep"), F.coalesce("blocks", "mixed"))).cast("int"))
     posted = posted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).where("first is null or o < first or o >= first + blocks")
     posted = posted.withColumns({"left": F.least("side", "o"), "right": F.greatest("side", "o")}).select("pivot", "left", "right", "side", "rep", "mult", "embedding", "near")
-    enough = min(shared, max(1, count))
+    enough = min(shared, near, max(1, len(points.value) if total else 1))
     found = cut(posted.groupBy("pivot", "left", "right").applyInArrow(_compare(cosine, enough, count), "u long, v long, n long"))
     parts = connected_components(found.where("v is not null").select("u", "v"))
     sums = found.where("v is null").groupBy("u").agg(F.sum("n").alias("n"))

@@ -190,6 +190,15 @@ def test_vectors_of_a_dense_group(spark, noise):
     assert (found.values <= counts).all() and found.sum() >= 0.999 * counts.sum()
 
 
+def test_vectors_beside_many_copies_of_one(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((1, 32))
+    data = np.concatenate([np.repeat(rng.standard_normal((1, 32)), 3_000, axis=0), base + 0.05 * rng.standard_normal((4, 32))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivots.near_duplicates(rows).collect()}
+    assert all(found[i] == (2_999, 0) for i in range(3_000)) and all(found[i] == (3, 3_000) for i in range(3_000, 3_004))
+
+
 def test_urls_equal_sql(spark):
     import duckdb
 
