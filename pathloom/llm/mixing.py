@@ -2,7 +2,8 @@
 
 Documents are summed by membership pattern (the set of sources that hold them). A flow network routes word capacity
 from patterns to source quotas; a pattern can be used several times over, each further time at a higher cost, so words
-are repeated only where a quota can't be met otherwise. Documents are then picked by a seeded hash, pattern by pattern.
+are repeated only where a quota can't be met otherwise. Documents are then picked by a seeded hash, pattern by pattern:
+large ones are passed over where they don't fit, and the others are cut at one hash.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ COSTS = (0, 1, 4)
 BUCKETS = 1 << 14
 #: Documents after the cut of a pattern that may close what is left of its words.
 FILLERS = 64
+#: Documents above this part of a pattern's words are tried one by one: at most so many a pattern, fewer if patterns are many.
+LARGE, ALL_LARGE = 1024, 1 << 20
+#: Large documents that the last subset sum may take back or add, and the bits of its sums that taking back may cost.
+SWAPS, BITS = 32, 1 << 22
 
 
 def word_count(text: str):
@@ -122,13 +127,14 @@ class Mix:
 
     def apply(self, docs: DataFrame, doc_id: str, membership) -> DataFrame:
         """``docs`` with a column ``_uses``: how many times the mix takes each row. No row is moved between tasks."""
-        plan = docs.sparkSession.createDataFrame(self.rows, "_key string, _full int, _bucket int, _hash long, _id string, _extra array<string>")
+        plan = docs.sparkSession.createDataFrame(self.rows, "_key string, _full int, _bucket int, _hash long, _id string, _extra array<string>, _out array<string>")
         if len(self.rows) <= 20_000:  # about 2 MB; a longer plan is joined by key
             plan = F.broadcast(plan)
         own = docs.withColumns({"_key": _key(membership), "_u": _seeded(self.seed, doc_id), "_t": F.coalesce(F.col(doc_id).cast("string"), F.lit(""))})
         at = F.pmod("_u", F.lit(BUCKETS))
         more = (at < F.col("_bucket")) | ((at == F.col("_bucket")) & ((F.col("_u") < F.col("_hash")) | ((F.col("_u") == F.col("_hash")) & (F.col("_t") <= F.col("_id")))))
-        uses = F.coalesce(F.col("_full") + (F.coalesce(more, F.lit(False)) | F.coalesce(F.array_contains("_extra", F.col("_t")), F.lit(False))).cast("int"), F.lit(0))
+        more = F.coalesce(more, F.lit(False)) & ~F.coalesce(F.array_contains("_out", F.col("_t")), F.lit(False))
+        uses = F.coalesce(F.col("_full") + (more | F.coalesce(F.array_contains("_extra", F.col("_t")), F.lit(False))).cast("int"), F.lit(0))
         return own.join(plan, "_key", "left").select(*docs.columns, uses.alias("_uses"))
 
 
@@ -140,20 +146,43 @@ def _seeded(seed: int, doc_id: str):
     return F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
 
 
+def _try_large(rows):
+    """First fit of a pattern's large documents in order; what the smaller ones before a document take is in ``before``."""
+    rows = rows.sort_values(["b", "u", "t"]).reset_index(drop=True)
+    rest, taken, bits, swap = int(rows["rest"].iloc[0]), [], 0, set()
+    for before, size in zip(rows["before"].tolist(), rows["size"].tolist()):
+        taken.append(before + size <= rest)
+        rest -= size * taken[-1]
+    for i in [i for i, x in enumerate(taken) if x][-SWAPS:][::-1]:
+        if bits + int(rows["size"].iloc[i]) <= BITS:
+            bits += int(rows["size"].iloc[i])
+            swap.add(i)
+    rows["taken"], rows["swap"] = taken, [i in swap or not x for i, x in enumerate(taken)]
+    return rows[["key", "b", "u", "t", "size", "taken", "swap"]]
+
+
 def _fill(rows):
-    """The rows whose sizes come nearest to the gap from below: subset sums as bits of an integer."""
+    """The rows whose sizes come nearest to the gap from below: subset sums as bits of an integer.
+
+    Rows with ``back`` are taken already; their sizes are added to the gap and they may be picked again. Gives the rows
+    whose choice changes.
+    """
     import pandas as pd
 
-    rows = rows.sort_values(["size", "t"], ascending=[False, True])
-    gap, sums = int(rows["gap"].iloc[0]), [1]
+    gap = int(rows["gap"].iloc[0]) + int(rows["size"][rows["back"]].sum())
+    rows = rows[rows["size"] <= gap].sort_values(["u", "t"])
+    more = rows[rows["large"] & ~rows["back"]].head(SWAPS)
+    rows = pd.concat([rows[rows["back"] | ~rows["large"]], more]).sort_values(["size", "t"], ascending=[False, True])
+    sums = [1]
     for n in rows["size"]:
         sums.append((sums[-1] | sums[-1] << int(n)) & ((1 << gap + 1) - 1))
-    at, picked = sums[-1].bit_length() - 1, []
+    at, now = sums[-1].bit_length() - 1, [False] * len(rows)
     for i in range(len(rows) - 1, -1, -1):
         if not sums[i] >> at & 1:
-            picked.append(rows["t"].iloc[i])
+            now[i] = True
             at -= int(rows["size"].iloc[i])
-    return pd.DataFrame({"key": rows["key"].iloc[:1], "extra": [picked]})
+    rows["now"] = now
+    return rows[rows["now"] != rows["back"]][["key", "t", "now"]]
 
 
 def solve(docs: DataFrame, doc_id: str = "doc_id", size: str = "size", membership=None, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: int = 17, max_patterns: int = 200_000) -> Mix:
@@ -181,25 +210,44 @@ def solve(docs: DataFrame, doc_id: str = "doc_id", size: str = "size", membershi
         full = min(taken // n, cap) if n else 0
         need.append((key, int(full), int(taken - full * n)))
     spark = docs.sparkSession
-    ask = F.broadcast(spark.createDataFrame([(k, r) for k, _, r in need if r], "key string, rest long")) if len(need) <= 20_000 else spark.createDataFrame([(k, r) for k, _, r in need if r], "key string, rest long")
+    near = F.broadcast if len(need) <= 20_000 else (lambda df: df)
+    part = max(FILLERS, min(LARGE, ALL_LARGE // max(1, len(need))))
+    words = dict(patterns.values())
+    ask = near(spark.createDataFrame([(k, r, words[k]) for k, _, r in need if r], "key string, rest long, words long"))
     at = F.pmod("u", F.lit(BUCKETS)).cast("int")
-    sums = base.groupBy("key", at.alias("b")).agg(F.sum("size").alias("n"))
+    ids = base.groupBy("key", "u", "t").agg(F.sum("size").alias("size")).join(ask, "key")
+    ids = cut(ids.select("key", at.alias("b"), "u", "t", "size", "rest", (F.col("size") * part > F.col("words")).alias("large")))
+    base = ids.where("not large").drop("rest", "large")
+    sums = base.groupBy("key", "b").agg(F.sum("size").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("key").orderBy("b"))
-    edge = sums.select("key", "b", (upto - F.col("n")).alias("before"), upto.alias("after")).join(ask, "key").where("before <= rest and rest < after").groupBy("key").agg(F.min("b").alias("b"), F.min_by("before", "b").alias("before"), F.first("rest").alias("rest"))
-    edge = cut(edge)  # a row for each pattern
-    held = F.broadcast(edge) if len(need) <= 20_000 else edge
-    inner = base.join(held.withColumnRenamed("b", "eb"), "key").where(at == F.col("eb"))
+    sums = cut(sums.select("key", "b", (upto - F.col("n")).alias("before"), upto.alias("after")))
+    prior = F.max("after").over(Window.partitionBy("key").orderBy("b").rangeBetween(Window.unboundedPreceding, -1))
+    large = ids.where("large").drop("large").unionByName(sums.select("key", "b", "after"), allowMissingColumns=True)
+    large = large.withColumn("before", F.coalesce(prior, F.lit(0)).cast("long")).where("t is not null").select("key", "b", "u", "t", "size", "rest", "before")
+    large = cut(large.groupBy("key").applyInPandas(_try_large, "key string, b int, u long, t string, size long, taken boolean, swap boolean"))  # at most ``part`` a pattern
+    used = large.where("taken").groupBy("key").agg(F.sum("size").alias("used"))
+    wants = cut(ask.join(used, "key", "left").select("key", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest")))
+    whole = sums.groupBy("key").agg(F.max("after").alias("whole"))
+    # Where all the smaller documents fit, the cut stands behind the last bucket.
+    ends = wants.join(whole, "key", "left").where("rest >= coalesce(whole, 0)").select("key", F.lit(BUCKETS).alias("b"), F.coalesce("whole", F.lit(0)).alias("before"), "rest")
+    edge = sums.join(near(wants), "key").where("before <= rest and rest < after").groupBy("key").agg(F.min("b").alias("b"), F.min_by("before", "b").alias("before"), F.first("rest").alias("rest"))
+    edge = cut(edge.union(ends))  # a row for each pattern
+    inner = base.join(near(edge.withColumnRenamed("b", "eb")), "key").where(F.col("b") == F.col("eb"))
     run = F.sum("size").over(Window.partitionBy("key").orderBy("u", "t").rangeBetween(Window.unboundedPreceding, 0)) + F.col("before")
     last = inner.withColumn("run", run).where("run <= rest").groupBy("key").agg(F.max(F.struct("u", "t")).alias("cut"), F.max("run").alias("run"))
-    edge = edge.join(last, "key", "left").select("key", "b", "cut.u", "cut.t", (F.col("rest") - F.coalesce("run", "before")).alias("gap"))
-    edge = cut(edge)
-    held = F.broadcast(edge.select("key", "b", F.col("u").alias("cu"), F.col("t").alias("ct"), "gap")) if len(need) <= 20_000 else edge.select("key", "b", F.col("u").alias("cu"), F.col("t").alias("ct"), "gap")
-    left = base.join(held, "key").where((at > F.col("b")) | ((at == F.col("b")) & (F.col("cu").isNull() | (F.col("u") > F.col("cu")) | ((F.col("u") == F.col("cu")) & (F.col("t") > F.col("ct"))))))
-    part = F.pmod(F.shiftright("u", 20), F.lit(FILLERS))
-    fill = left.where("size > 0 and gap > 0").groupBy("key", part.alias("part")).agg(F.min_by(F.struct("t", "size", "gap"), F.struct("u", "t")).alias("f")).select("key", "f.t", "f.size", "f.gap")
-    extra = fill.groupBy("key").applyInPandas(_fill, "key string, extra array<string>")
+    edge = cut(edge.join(last, "key", "left").select("key", "b", "cut.u", "cut.t", (F.col("rest") - F.coalesce("run", "before")).alias("gap")))
+    held = near(edge.select("key", F.col("b").alias("eb"), F.col("u").alias("cu"), F.col("t").alias("ct"), "gap"))
+    within = (F.col("b") < F.col("eb")) | ((F.col("b") == F.col("eb")) & F.coalesce((F.col("u") < F.col("cu")) | ((F.col("u") == F.col("cu")) & (F.col("t") <= F.col("ct"))), F.lit(False)))
+    left = base.join(held, "key").where(~within).where("size > 0 and size <= gap")
+    fill = left.groupBy("key", F.pmod(F.shiftright("u", 20), F.lit(FILLERS)).alias("part")).agg(F.min_by(F.struct("u", "t", "size", "gap"), F.struct("u", "t")).alias("f")).select("key", "f.*", F.lit(False).alias("back"), F.lit(False).alias("large"))
+    tried = large.join(held, "key").withColumn("within", within)
+    fill = fill.unionByName(tried.where("swap and gap > 0").select("key", "u", "t", "size", "gap", F.col("taken").alias("back"), F.lit(True).alias("large")))
+    changed = fill.groupBy("key").applyInPandas(_fill, "key string, t string, now boolean")
+    final = tried.select("key", "t", "taken", "within").join(changed, ["key", "t"], "full")
+    final = final.select("key", "t", F.coalesce("now", "taken").alias("taken"), F.coalesce("within", F.lit(False)).alias("within")).where("taken <> within")
+    extra = final.groupBy("key").agg(F.collect_list(F.when(F.col("taken"), F.col("t"))).alias("extra"), F.collect_list(F.when(~F.col("taken"), F.col("t"))).alias("out"))
     chosen = {r["key"]: r for r in edge.join(extra, "key", "left").collect()}
-    rows = [(k, full, *((c["b"], c["u"], c["t"], c["extra"]) if (c := chosen.get(k)) else (None,) * 4)) for k, full, _ in need]
+    rows = [(k, full, *((c["b"], c["u"], c["t"], c["extra"], c["out"]) if (c := chosen.get(k)) else (None,) * 5)) for k, full, _ in need]
     return Mix(dict(sizes), wanted, rows, seed)
 
 
