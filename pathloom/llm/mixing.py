@@ -103,9 +103,6 @@ def route(patterns: dict[tuple, int], wanted: dict, costs: Sequence[int] = COSTS
             parts[find(pattern[0])].append(pattern)
     out = {p: {} for p in patterns}
     for group in parts.values():
-        if len(group) == 1 and len(group[0]) == 1:
-            out[group[0]] = {group[0][0]: min(round(wanted[group[0][0]]), len(costs) * patterns[group[0]])}
-            continue
         arcs, where = [], []
         for p in group:
             arcs += [("from", ("p", p), patterns[p], c) for c in costs]

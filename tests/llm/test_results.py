@@ -219,6 +219,13 @@ def test_flow_over_overlapping_sources():
     assert used[("a",)] == 50 and used[("a", "b")] == 100 and used[("b",)] == 10  # every word once before any twice
 
 
+def test_flow_of_single_sources(monkeypatch):
+    solved, flow = [], mixing.min_cost_flow
+    monkeypatch.setattr(mixing, "min_cost_flow", lambda *args: solved.append(args) or flow(*args))
+    found = mixing.route({("a",): 50, ("b",): 10, (None,): 0}, {"a": 60.4, "b": 100, None: 0.0})
+    assert found == {("a",): {"a": 60}, ("b",): {"b": 30}, (None,): {None: 0}} and len(solved) == 3
+
+
 def test_mix(spark):
     found = mixing.mix_query(spark, "/root/testdata/sf0.01").toPandas()
     assert (found.taken <= 3 * found["size"]).all()
