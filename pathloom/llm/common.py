@@ -57,6 +57,17 @@ def _clean() -> None:
             return
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """A name for each of ``names`` that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def hash_bucket(doc_id: str, mod: int):
     """crc32 of the id's text, modulo ``mod``: the folds that the contracts name."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod

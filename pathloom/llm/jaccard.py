@@ -1,38 +1,45 @@
 """N-gram Jaccard self-join by signature trees.
 
-A document is the set of its distinct word shingles. Sets that may reach the threshold are brought together by an exact
-partition argument, and in each group a signature tree is traversed against itself: nodes hold the OR of their members'
-token bitmaps, the range of their sizes and their component, and a pair of nodes goes no further if its greatest possible
-overlap is too small or if both lie in one component already. Pairs of leaves are verified on the sets themselves.
-
-Grouping. Linked sets of sizes a <= b differ in at most D = (a + b) (1 - t) / (1 + t) shingles. Their shingles are dealt
-by hash to D + 1 + W parts, so at least W + 1 parts are equal in both. Each part of two shingles or more is a key; a
-document with more than W smaller parts also has these as keys. So a link always shares a key: either an equal part is
-large, or W + 1 equal parts are small in both documents. D is that of the pair's size level; a document's keys are made
-for its own level and the one below.
+A document is the set of its distinct word shingles, as sorted 64-bit hashes. Sets that can't be linked are put aside by
+two exact counts, the others meet in groups by a shared shingle, and in a group a signature tree is traversed against
+itself: nodes hold the OR of their members' token bitmaps, the range of their sizes and their component, and a pair of
+nodes goes no further if its greatest possible overlap is too small or if both lie in one component already. Pairs of
+leaves are verified on the sets themselves.
+
+Counts. A set of n shingles lacks at most n - ceil(t n) of them in any set that it is linked to. So with
+p = n - ceil(t n) + 1, at least 1 + e of its first p + e shingles by hash are among the first of the other set, too. A
+set of whose first p + e shingles fewer are held by any other set has no link. The first count takes e = p / 2 of every
+document, the second takes all shingles of what remains, and each remaining set's first p shingles are its groups.
+Shingles are counted as 32-bit numbers in buckets, each once for a chunk of documents, so that a shingle of very many
+documents is no load for its bucket; numbers that clash let more sets by, never fewer.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, cut, drop
+from .common import connected_components, cut, drop, free_names
 
 LEAF, FANOUT, BLOCK = 8, 4, 256
 #: Bits of a bitmap: a power of two, this many for each shingle or more; a larger one folds to a smaller.
 BITS, FEWEST = 8, 512
 #: Rounds in which nodes of open groups meet new leaders in new blocks, before signatures are compared pair by pair.
 ROUNDS = 3
-#: Bits of the filter that thins rows ahead of a join; a full one lets more rows by, never fewer.
-FILTER_BITS = 1 << 24
+#: Members of a block whose signatures are compared with another block's.
+UNIT = 1024
+#: Most bits of a filter that thins rows ahead of a join; beyond a quarter as many ids the rows are joined instead.
+FILTER_BITS = 1 << 26
+#: Documents and shingles of a chunk of postings, and the bytes of a table for each of their buckets.
+CHUNK_DOCS, CHUNK_TOKENS, BUCKET_BYTES = 1 << 16, 1 << 21, 1 << 26
+FOUND = "doc_id long, hash long, node long, n long, need long, chunk long, place int, own long, bucket int, keys binary, owners binary, many binary"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -58,45 +65,131 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(total)
 
 
-class Levels:
-    """Sizes by powers of 1 / t, and the number of parts of a level's pairs."""
-
-    def __init__(self, threshold: Fraction):
-        self.t, self.step, self.known = threshold, -math.log(float(threshold)), {}
-
-    def of(self, n: int) -> int:
-        """The level of a size: linked sizes are at most one level apart (a level's bounds are made a little wider)."""
-        return int(math.log(n) / self.step + 1e-9)
-
-    def parts(self, level: int) -> tuple[int, int]:
-        """(parts, W) for pairs whose smaller set is of ``level``; (0, 0) if such sets are linked only if equal."""
-        if level not in self.known:
-            a = math.ceil(math.exp((level + 1) * self.step) * (1 + 1e-6)) + 1
-            differ = int((a + int(a / self.t)) * (1 - self.t) / (1 + self.t))
-            spare = 1 + differ // 12
-            self.known[level] = (differ + 1 + spare, spare) if differ else (0, 0)
-        return self.known[level]
+def node_of(hashes: np.ndarray) -> int:
+    """A set's number among all sets, by a 64-bit hash of it."""
+    from xxhash import xxh3_64_intdigest
 
+    return xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def first_shingles(n: int, threshold: Fraction) -> int:
+    """How many of a set's first shingles hold one at least of any linked set's first ones."""
+    return n + threshold.numerator * -n // threshold.denominator + 1
+
+
+class Chunk:
+    """The shingles of a run of documents: which of them they share, and the others by bucket."""
+
+    def __init__(self, number: int, buckets: int):
+        self.number, self.buckets = number, buckets
+        self.docs: list[tuple] = []  # (doc_id, hash of the text, node, n, need, place or None)
+        self.tokens: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, doc: int | None, text_hash: int | None, node: int | None, n: int, need: int, tokens: np.ndarray | None) -> None:
+        self.docs.append((doc, text_hash, node, n, need, None if tokens is None else len(self.tokens)))
+        if tokens is not None:
+            self.tokens.append(tokens)
+            self.size += len(tokens)
+
+    def full(self) -> bool:
+        return len(self.docs) >= CHUNK_DOCS or self.size >= CHUNK_TOKENS
+
+    def batch(self) -> pa.RecordBatch:
+        """A row for each document, with how many of its shingles others of the chunk hold, and one for each bucket."""
+        count = len(self.tokens)
+        h = mixed(np.concatenate(self.tokens) if count else np.zeros(0, np.uint64))
+        owner = np.repeat(np.arange(count, dtype=np.uint16), np.fromiter(map(len, self.tokens), np.int64, count))
+        at = (h % np.uint64(self.buckets)) << np.uint64(32) | h >> np.uint64(32)
+        order = np.argsort(at, kind="stable")
+        at, owner = at[order], owner[order]
+        same = at[1:] == at[:-1]
+        alone = ~(np.append(same, False) | np.append(False, same))
+        own = np.bincount(owner[~alone], minlength=count)
+        many = at[~alone]
+        many = many[np.append(True, many[1:] != many[:-1])] if len(many) else many
+        at, owner = at[alone], owner[alone]
+        edges = np.arange(self.buckets + 1, dtype=np.uint64) << np.uint64(32)
+        a, b = np.searchsorted(at, edges), np.searchsorted(many, edges)
+        keys, many = at.astype(np.uint32), many.astype(np.uint32)
+        some = np.flatnonzero((a[1:] > a[:-1]) | (b[1:] > b[:-1])).tolist()
+        none, docs = [None] * len(self.docs), [None] * len(some)
+        place = [d[5] for d in self.docs]
+        columns = {
+            **{c: pa.array([d[k] for d in self.docs] + docs, pa.int64()) for k, c in enumerate(("doc_id", "hash", "node", "n", "need"))},
+            "chunk": pa.array([self.number] * (len(none) + len(some)), pa.int64()),
+            "place": pa.array(place + docs, pa.int32()),
+            "own": pa.array([None if p is None else int(own[p]) for p in place] + docs, pa.int64()),
+            "bucket": pa.array(none + some, pa.int32()),
+            "keys": pa.array(none + [keys[a[k] : a[k + 1]].tobytes() for k in some], pa.binary()),
+            "owners": pa.array(none + [owner[a[k] : a[k + 1]].tobytes() for k in some], pa.binary()),
+            "many": pa.array(none + [many[b[k] : b[k + 1]].tobytes() for k in some], pa.binary()),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Of a bucket's chunks the owners of shingles that other chunks hold, too."""
+    keys = [np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()]
+    many = [np.frombuffer(k, np.uint32) for k in table.column("many").to_pylist()]
+    every, count = np.unique(np.concatenate([*keys, *many, *many]), return_counts=True)
+    shared, out = every[count > 1], [[], []]
+    for chunk, own, k in zip(table.column("chunk").to_pylist(), table.column("owners").to_pylist(), keys):
+        hit = shared[np.minimum(np.searchsorted(shared, k), len(shared) - 1)] == k if len(shared) else np.zeros(len(k), bool)
+        if hit.any():
+            out[0].append(chunk)
+            out[1].append(np.frombuffer(own, np.uint16)[hit].tobytes())
+    return pa.table({"chunk": pa.array(out[0], pa.int64()), "owners": pa.array(out[1], pa.binary())})
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """How many shingles of each document of a chunk other chunks hold."""
+    count = np.bincount(np.frombuffer(b"".join(table.column("owners").to_pylist()), np.uint16))
+    place = np.flatnonzero(count)
+    return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(place), pa.int64()), "place": pa.array(place, pa.int32()), "others": pa.array(count[place], pa.int64())})
+
+
+def _postings(rows: DataFrame, width: int, threshold: Fraction, whole: bool) -> DataFrame:
+    """FOUND: a row for each of ``rows`` (doc_id, hash, text), and rows for the buckets of each chunk of them.
+
+    A set that a task has seen before has no place in a chunk: its first document stands for it.
+    """
+    spark = rows.sparkSession
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 17, size // BUCKET_BYTES))
 
-def keys_of(hashes: np.ndarray, levels: Levels) -> np.ndarray:
-    """The keys of a set at its level and the one below."""
-    out, at = [], levels.of(len(hashes))
-    for level in (at, at - 1):
-        parts, spare = levels.parts(level) if level >= 0 else (0, 0)
-        if not parts:
-            continue
-        h = mixed(hashes + np.uint64(level + 1))
-        part = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        counts = np.bincount(part, minlength=parts)
-        starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        total = np.zeros(parts, np.uint64)
-        full = counts > 0
-        total[full] = np.add.reduceat(h[order], starts[full])
-        key = mixed(total + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(level << 32)))
-        small = counts < 2
-        out.append(key if small.sum() > spare else key[~small])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        chunk, seen = Chunk(number, buckets), set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                for doc, text_hash, text in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns)):
+                    h = shingles(text, width)
+                    n, node, need, tokens = len(h), None, 0, None
+                    if n:
+                        node = node_of(h)
+                        p = first_shingles(n, threshold)
+                        more = n - p if whole else min((p + 1) // 2, n - p)
+                        if node not in seen:
+                            seen.add(node)
+                            need, tokens = 1 + more, h[: p + more]
+                    chunk.add(doc, text_hash, node, n, need, tokens)
+                    if chunk.full():
+                        yield chunk.batch()
+                        number += 1
+                        chunk = Chunk(number, buckets)
+        if chunk.docs:
+            yield chunk.batch()
+
+    return cut(rows.mapInArrow(run, FOUND))
+
+
+def _may_link(found: DataFrame) -> DataFrame:
+    """(node) of the sets with enough shingles that others hold."""
+    met = found.where("bucket is not null").select("chunk", "bucket", "keys", "owners", "many").groupBy("bucket").applyInArrow(_meet, "chunk long, owners binary")
+    counts = met.groupBy("chunk").applyInArrow(_counted, "chunk long, place int, others long")
+    own = found.where("place is not null").select("chunk", "place", "node", "need", "own")
+    return own.join(counts, ["chunk", "place"], "left").where("own + coalesce(others, 0) >= need").select("node").distinct()
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -202,18 +295,39 @@ def traverse(sizes: np.ndarray, maps: np.ndarray, components: list[int], thresho
     return links
 
 
-def thinned(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose ``column`` may be among ``wanted`` (one column of longs): a superset, by a filter of fixed size.
+def thinned(rows: DataFrame, column: Column, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``column`` may be among ``wanted`` (one column of longs): a superset, by a filter of bounded size.
 
-    The filter is a bitmap of FILTER_BITS bits made by a grouped OR; as a table of words it is broadcast whatever the
-    input, at most FILTER_BITS / 64 rows of it.
+    The filter is a bitmap made by a grouped OR; as a table of words it is broadcast, at most FILTER_BITS / 64 rows of
+    it. Where the wanted are too many for it, the rows are joined with them.
     """
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    word, bit = (lambda c: F.shiftright(at(c), 6).cast("int")), (lambda c: at(c).bitwiseAND(F.lit(63)).cast("int"))
-    own = F.col(wanted.columns[0])
-    words = wanted.groupBy(word(own).alias("_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(own))).alias("_m"))
-    hit = F.call_function("shiftright", F.col("_m"), bit(F.col(column))).bitwiseAND(F.lit(1)) == 1
-    return rows.join(F.broadcast(words), word(F.col(column)) == F.col("_w")).where(hit).drop("_w", "_m")
+    wanted = wanted.toDF("_wanted")
+    count = wanted.count()
+    if count > FILTER_BITS // 4:
+        return rows.join(wanted, column == F.col("_wanted"), "left_semi")
+    own = Filter(wanted, "_wanted", count)
+    return rows.join(own.words, own.word(column) == F.col("_word")).where(own.holds(column)).drop("_word", "_bits")
+
+
+class Filter:
+    """A bitmap of the numbers in a column, 16 bits for each, as a table of words to join by ``word``."""
+
+    def __init__(self, wanted: DataFrame, column: str, count: int, names: tuple[str, str] = ("_word", "_bits")):
+        self.size, self.bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * count).bit_length())), F.col(names[1])
+        own = F.col(column)
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), self._place(own).bitwiseAND(F.lit(63)).cast("int"))
+        self.words = F.broadcast(wanted.groupBy(self.word(own).alias(names[0])).agg(F.bit_or(mask).alias(names[1])))
+
+    def _place(self, c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.size))
+
+    def word(self, c: Column) -> Column:
+        return F.shiftright(self._place(c), 6).cast("int")
+
+    def holds(self, c: Column) -> Column:
+        """Whether the number may be among those of the filter, on a row that is joined with its word or with none."""
+        bit = F.call_function("shiftright", self.bits, self._place(c).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+        return F.coalesce(bit == 1, F.lit(False))
 
 
 def _pairs(threshold: Fraction, exact: bool):
@@ -234,39 +348,30 @@ def _pairs(threshold: Fraction, exact: bool):
     return run
 
 
-def _verified(pairs: DataFrame, sets: _Sets, component: DataFrame | None, threshold: Fraction, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def _with_component(members: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """``members`` (node, ...) with ``component``: that of ``parts`` (node, component), or the node itself."""
+    if parts is None:
+        return members.withColumn("component", F.col("node"))
+    return members.join(parts.withColumnRenamed("component", "_c"), "node", "left").withColumn("component", F.coalesce("_c", "node")).drop("_c")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, parts: DataFrame | None, threshold: Fraction, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Links among each leader ``u`` and its ``v``, in blocks that all hold the leader; and (node, leader, block) of each v.
 
-    A block is compared whole. ``component`` (node, component) tells what is joined already.
+    A block is compared whole. ``parts`` (node, component) tells what is joined already.
     """
     sized = pairs.join(pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "u")
     sized = sized.select(F.col("u").alias("leader"), F.pmod(F.xxhash64("v", F.lit(seed)), F.col("blocks")).cast("int").alias("block"), F.col("v").alias("node"))
     heads = sized.select("leader", "block").distinct().select("leader", "block", F.col("leader").alias("node"))
-    groups = sets.of(sized.union(heads), "n", "map", "hashes")
-    if component is None:
-        groups = groups.withColumn("component", F.col("node"))
-    else:
-        groups = groups.join(component.withColumnRenamed("component", "c"), "node", "left").withColumn("component", F.coalesce("c", "node")).drop("c")
+    groups = _with_component(sized.union(heads), parts).join(sets.select("node", "n", "map", "hashes"), "node")
     return cut(groups.groupBy("leader", "block").applyInArrow(_pairs(threshold, True), "u long, v long")), sized
 
 
-class _Sets:
-    """Sets by node: (doc_id, node, n, map, hashes), of which the documents of ``pick`` (node, doc_id) count."""
-
-    def __init__(self, pick: DataFrame, rows: DataFrame):
-        self.pick, self.rows = pick, rows
-
-    def of(self, members: DataFrame, *columns: str) -> DataFrame:
-        """``members`` (node, ...) with columns of their sets; rows of other sets are left out ahead of the join."""
-        own = members.join(self.pick, "node")
-        return own.join(thinned(self.rows.select("doc_id", "node", *columns), "doc_id", own.select("doc_id")), ["doc_id", "node"]).drop("doc_id")
-
-
 def _open_groups(groups: DataFrame, parts: DataFrame, placed: DataFrame) -> DataFrame:
     """(key, node, lo, component) of groups (key, node, lo) that hold several components and weren't compared whole.
 
-    A group was if its members were all in one block of ``placed``, its first one perhaps as the leader of the block.
-    Of groups with the same members one is kept.
+    A group was if its members were all in one block of ``placed``, its first one perhaps as the leader of the block. Of
+    groups with the same members one is kept, and none whose members all have one other group as their first.
     """
     now = groups.join(parts.select("node", F.col("component").alias("c")), "node", "left").join(placed, "node", "left")
     now = cut(now.select("key", "node", "lo", F.coalesce("c", "node").alias("component"), F.when(F.col("leader").isNotNull(), F.struct("leader", "block")).alias("at")))
@@ -274,67 +379,58 @@ def _open_groups(groups: DataFrame, parts: DataFrame, placed: DataFrame) -> Data
     own = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min(led_by).alias("p"), F.max(led_by).alias("q"), F.max(F.when(first, F.col("at"))).alias("own"), F.max("lo").alias("lo"), F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("same2"))
     done = (F.col("p") == F.col("q")) & ((F.col("p.leader") == F.col("lo")) | (F.col("p") == F.col("own")))
     own = own.where("a <> b").where(~F.coalesce(done, F.lit(False))).groupBy("m", "same", "same2").agg(F.min("key").alias("key")).select("key")
-    out = cut(now.join(own, "key").select("key", "node", "lo", "component"))
-    drop(now)
+    left = cut(now.join(own, "key").select("key", "node", "lo", "component"))
+    least = left.groupBy("node").agg(F.min("key").alias("first"))
+    inner = left.join(least, "node").groupBy("key").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a = b and a <> key").select("key")
+    out = cut(left.join(inner, "key", "left_anti"))
+    drop(now, left)
     return out
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the smallest id reachable by links of Jaccard >= ``threshold``.
+def _labelled(docs: DataFrame, doc_id: str, text: str, width: int, threshold: Fraction) -> DataFrame:
+    """(doc_id, hash, n, component, component_id) of every row; ``hash`` is of the text, ``component`` a set's number.
 
-    Rows with null or wordless texts have no shingles and stay alone. Rows with equal sets are one node of the join, by
-    a 64-bit hash of the set; rows with equal ids are told apart only by their texts. Ids must not be null to be linked:
-    a null id keeps a null component of its own. An empty table gives no rows.
+    Both components are null for rows without an id or without shingles.
     """
-    levels = Levels(threshold)
-
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
+    value = F.col(text).cast("string")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(value).alias("hash"), value.alias("text"))
+    found = _postings(rows, width, threshold, False)
+    named = cut(found.where("bucket is null").select("doc_id", "hash", "node", "n"))
+    firsts = cut(named.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    pick = cut(firsts.join(_may_link(found), "node").select("node", "doc_id"))
+    drop(found)
+
+    # Every row is read again, but only texts of documents that may be linked are cut into shingles; no text is shuffled.
+    again = _postings(thinned(rows, F.col("doc_id"), pick.select("doc_id")).select("doc_id", "hash", "text"), width, threshold, True)
+    fewer = cut(pick.join(_may_link(again), "node").select("node", "doc_id"))
+    drop(again, pick)
 
-        seen: set[int] = set()  # the nodes of this task
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                nodes, counts, keys = [], [], []
-                for t in some.column(1).to_pylist():
-                    h = shingles(t, width)
-                    node = xxh3_64_intdigest(h.tobytes()) - (1 << 63) if len(h) else None
-                    nodes.append(node)
-                    counts.append(len(h))
-                    keys.append(keys_of(h, levels).view(np.int64) if len(h) and node not in seen else np.zeros(0, np.int64))
-                    seen.add(node)
+            for at in range(0, batch.num_rows, 200):
+                out: dict[int, np.ndarray] = {}
+                for t in batch.column(0).slice(at, 200).to_pylist():
+                    if len(h := shingles(t, width)) and (node := node_of(h)) not in seen:
+                        seen.add(node)
+                        out[node] = h
+                own = list(out.values())
+                keys = [h[: first_shingles(len(h), threshold)].view(np.int64) for h in own]
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), lists], names=["doc_id", "node", "n", "keys"])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(map(len, own)), pa.int64()), lists, pa.array([bitmap(h).tobytes() for h in own], pa.binary()), pa.array([h.tobytes() for h in own], pa.binary())], names=["node", "n", "keys", "map", "hashes"])
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                own = [shingles(t, width) for t in some.column(1).to_pylist()]
-                nodes = [xxh3_64_intdigest(h.tobytes()) - (1 << 63) for h in own]
-                blobs, maps = [h.tobytes() for h in own], [bitmap(h).tobytes() for h in own]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(nodes, pa.int64()), pa.array(list(map(len, own)), pa.int64()), pa.array(maps, pa.binary()), pa.array(blobs, pa.binary())], names=["doc_id", "node", "n", "map", "hashes"])
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = cut(rows.mapInArrow(described, "doc_id long, node long, n long, keys array<long>"))
-    keys = found.select("node", F.explode("keys").alias("key"))
+    sets = cut(thinned(rows, F.col("doc_id"), fewer.select("doc_id")).select("text").mapInArrow(hashed, "node long, n long, keys array<long>, map binary, hashes binary"))
+    keys = sets.select("node", F.explode("keys").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "lo"))
-    members = cut(thinned(keys, "key", shared.select("key")).join(shared, "key").select("key", "node", "lo").distinct())
-
-    # Sets of the nodes that share a key, each from its first document. The filter may let other documents by; joins are
-    # on node and document, which leaves them out. So no text is shuffled.
-    pick = cut(members.select("node").distinct().join(found.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node"))
-    sets = cut(thinned(rows, "doc_id", pick.select("doc_id")).select("doc_id", "text").mapInArrow(hashed, "doc_id long, node long, n long, map binary, hashes binary"))
-    held = _Sets(pick, sets)
+    members = cut(keys.join(shared, "key").select("key", "node", "lo").distinct())
+    drop(shared)
 
     # Each node with its smallest leader, at first of all its groups, then of those that still hold several components.
     rest, parts, links = members, None, None
     for at in range(ROUNDS):
         led = rest.where("node <> lo").groupBy("node").agg(F.min("lo").alias("leader")).select(F.col("leader").alias("u"), F.col("node").alias("v"))
-        found_links, placed = _verified(cut(led), held, parts, threshold, at)
+        found_links, placed = _verified(cut(led), sets, parts, threshold, at)
         links = found_links if links is None else links.union(found_links)
         parts = connected_components(links)
         new = _open_groups(rest.select("key", "node", "lo"), parts, placed)
@@ -346,36 +442,66 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     # What is left is compared by signatures alone; what these allow is verified like the first pairs.
     big = rest.groupBy("key", "component").agg(F.count("*").alias("c"))
     units = rest.join(big, ["key", "component"])
-    small = F.col("c") <= BLOCK
-    units = units.join(units.where(small).groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("s")), "key", "left")
-    unit = F.when(small, F.pmod(F.xxhash64("component"), F.col("s"))).otherwise(F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK))))
+    small = F.col("c") <= UNIT
+    units = units.join(units.where(small).groupBy("key").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("s")), "key", "left")
+    unit = F.when(small, F.pmod(F.xxhash64("component"), F.col("s"))).otherwise(F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / UNIT))))
     units = cut(units.select("key", "node", "component", unit.alias("unit")))
     each = units.groupBy("key", "unit").agg(F.min("component").alias("a"), F.max("component").alias("b"))
     other = each.select("key", F.col("unit").alias("unit2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
     pairs = cut(each.join(other, "key").where("unit <= unit2 and not (a = b and a2 = b2 and a = a2)").select("key", "unit", "unit2"))
     sides = units.join(pairs, ["key", "unit"]).select("key", "unit", "unit2", "node", "component").union(units.withColumnRenamed("unit", "unit2").join(pairs.where("unit <> unit2"), ["key", "unit2"]).select("key", "unit", "unit2", "node", "component"))
-    maybe = cut(held.of(sides, "n", "map").groupBy("key", "unit", "unit2").applyInArrow(_pairs(threshold, False), "u long, v long").distinct())
+    maybe = cut(sides.join(sets.select("node", "n", "map"), "node").groupBy("key", "unit", "unit2").applyInArrow(_pairs(threshold, False), "u long, v long").distinct())
     if not maybe.isEmpty():
-        more, _ = _verified(maybe, held, parts, threshold)
+        more, _ = _verified(maybe, sets, parts, threshold)
         parts = connected_components(links.union(more))
-    drop(rest, units, pairs, maybe, sets, pick)
+    drop(rest, units, pairs, maybe, sets)
+
+    own = parts.join(firsts, "node")
+    least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    joined = own.select("node", "component").join(least, "component")
+    labels = cut(firsts.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    linked = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
+    out = named.where(linked).join(labels, "node").select("doc_id", "hash", "n", "component", "component_id")
+    none = F.lit(None).cast("long")
+    return out.union(named.where(~linked).select("doc_id", "hash", "n", none, none))
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: the smallest id reachable by links of Jaccard >= ``threshold``.
 
-    named = found.join(parts.withColumnRenamed("node", "pn"), F.col("node") == F.col("pn"), "left").select("doc_id", "n", F.coalesce("component", "node").alias("component"))
-    least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    alone = named.where("component is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return named.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
+    Rows with null or wordless texts have no shingles and stay alone. Rows with equal sets are one node of the join, by
+    a 64-bit hash of the set; rows with equal ids are told apart only by their texts. Ids must not be null to be linked:
+    a null id keeps a null component of its own. Texts of any length are taken whole. Other columns of ``docs`` are not
+    read, whatever their names. An empty table gives no rows.
+    """
+    found = _labelled(docs, doc_id, text, width, threshold)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; of rows with one id and one text a single one.
+    """The rows of ``docs``, unchanged, less all but one of each component: the one with the smallest id and, where ids
+    recur, the smallest hash of its text.
 
-    Rows with a null id stay.
+    Of rows with one id and one text a single one stays, whatever their other columns hold; rows without shingles or
+    without an id are components of their own. Columns of any name are handed on with their values.
     """
-    found = join(docs, width=width, threshold=threshold)
-    kept = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct())
-    mark = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("_text"))
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").withColumn("_text", F.xxhash64("text"))
-    return rows.withColumn("_mark", mark).where("_mark = 1").select(*docs.columns).union(docs.where("doc_id is null"))
+    found = cut(_labelled(docs, "doc_id", "text", width, threshold))
+    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "hash")).alias("f")).select("component", "f.doc_id", "f.hash")
+    pairs = found.where("doc_id is not null").groupBy("doc_id", "hash").agg(F.max("component").alias("component"), F.count("*").alias("rows"))
+    kept = first.select("doc_id", "hash", F.lit(True).alias("first"))
+    pairs = pairs.join(kept, ["doc_id", "hash"], "left").select("doc_id", "hash", "rows", (F.col("component").isNull() | F.coalesce("first", F.lit(False))).alias("stays"))
+    # Only rows that may go or recur are joined and ranked; all others are kept where they are.
+    pairs = cut(pairs.where("not stays or rows > 1"))
+    i, h, mark, stays, word, bits = free_names(docs, "id", "hash", "mark", "stays", "word", "bits")
+    suspect = pairs.select(F.col("doc_id").alias(i), F.col("hash").alias(h), F.col("stays").alias(stays))
+    key = F.xxhash64(F.col(i), F.col(h))
+    own = Filter(suspect.select(key.alias("key")), "key", suspect.count(), (word, bits))
+    rows = docs.withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64(F.col("text").cast("string"))})
+    rows = rows.join(own.words, own.word(key) == F.col(word), "left")
+    hit = own.holds(key) & F.col("doc_id").isNotNull()
+    asked = rows.where(hit).drop(word, bits).join(suspect, [i, h], "left").where(F.coalesce(F.col(stays), F.lit(True)))
+    asked = asked.withColumn(mark, F.row_number().over(Window.partitionBy(i, h).orderBy(h))).where(F.col(mark) == 1)
+    return rows.where(~hit).select(*docs.columns).union(asked.select(*docs.columns))
 
 
 def jaccard_query(spark, sf_dir: str) -> DataFrame:

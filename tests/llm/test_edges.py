@@ -62,6 +62,16 @@ def test_jaccard(docs, none):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 8]
+    assert kept.exceptAll(docs).count() == 0
+
+
+def test_jaccard_keeps_clashing_columns(spark):
+    names = ["id", "hash", "mark", "stays", "word", "bits", "_text", "_mark", "component"]
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "p q r s t u v"), (3, "a b c d e f g h"), (3, "a b c d e f g"), (4, None), (4, None), (None, "a b c d e f g")]
+    docs = spark.createDataFrame([(*r, *[f"{n}{k}" for n in names]) for k, r in enumerate(rows)], ["doc_id", "text", *names])
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect()), key=str) == sorted([(0, "a b c d e f g"), (1, "a b c d e f g"), (3, "a b c d e f g h"), (3, "p q r s t u v"), (4, None)], key=str)
 
 
 def test_mixing(docs, none, spark):
