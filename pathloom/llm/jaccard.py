@@ -31,11 +31,11 @@ from .common import connected_components, cut, drop, free_names
 LEAF, FANOUT, BLOCK = 8, 4, 256
 #: Bits of a bitmap: a power of two, this many for each shingle or more; a larger one folds to a smaller.
 BITS, FEWEST = 8, 512
-#: Rounds in which nodes of open groups meet new leaders in new blocks, before signatures are compared pair by pair.
+#: Rounds in which nodes of groups above a block meet leaders in new blocks, before signatures are compared.
 ROUNDS = 3
-#: Members of a block whose signatures are compared with another block's.
-UNIT = 1024
-#: Most bits of a filter that thins rows ahead of a join; beyond a quarter as many ids the rows are joined instead.
+#: Members of a unit whose signatures are compared with another unit's, and the steps in which groups that overlap merge.
+UNIT, MERGES = 1024, 2
+#: Most bits of a filter that thins rows ahead of a join; beyond an eighth as many ids the rows are joined instead.
 FILTER_BITS = 1 << 26
 #: Documents and shingles of a chunk of postings, and the bytes of a table for each of their buckets.
 CHUNK_DOCS, CHUNK_TOKENS, BUCKET_BYTES = 1 << 16, 1 << 21, 1 << 26
@@ -303,17 +303,17 @@ def thinned(rows: DataFrame, column: Column, wanted: DataFrame) -> DataFrame:
     """
     wanted = wanted.toDF("_wanted")
     count = wanted.count()
-    if count > FILTER_BITS // 4:
+    if count > FILTER_BITS // 8:
         return rows.join(wanted, column == F.col("_wanted"), "left_semi")
     own = Filter(wanted, "_wanted", count)
     return rows.join(own.words, own.word(column) == F.col("_word")).where(own.holds(column)).drop("_word", "_bits")
 
 
 class Filter:
-    """A bitmap of the numbers in a column, 16 bits for each, as a table of words to join by ``word``."""
+    """A bitmap of the numbers in a column, 128 bits for each, as a table of words to join by ``word``."""
 
     def __init__(self, wanted: DataFrame, column: str, count: int, names: tuple[str, str] = ("_word", "_bits")):
-        self.size, self.bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * count).bit_length())), F.col(names[1])
+        self.size, self.bits = min(FILTER_BITS, max(1 << 16, 1 << (128 * count).bit_length())), F.col(names[1])
         own = F.col(column)
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), self._place(own).bitwiseAND(F.lit(63)).cast("int"))
         self.words = F.broadcast(wanted.groupBy(self.word(own).alias(names[0])).agg(F.bit_or(mask).alias(names[1])))
@@ -330,24 +330,40 @@ class Filter:
         return F.coalesce(bit == 1, F.lit(False))
 
 
-def _pairs(threshold: Fraction, exact: bool):
-    """A grouped map over (node, component, n, map, and hashes if ``exact``): the pairs that a traversal finds, by node."""
+def _traversed(table: pa.Table, threshold: Fraction, exact: bool) -> list[list[int]]:
+    """Pairs of nodes that a traversal of (node, component, n, map, and hashes if ``exact``) finds."""
+    nodes = table.column("node").to_pylist()
+    rows = sorted({n: i for i, n in enumerate(nodes)}.values(), key=lambda i: nodes[i])
+    pick = lambda c: table.column(c).take(rows).to_pylist()
+    if len(rows) < 2:
+        return []
+    maps = folded([np.frombuffer(m, np.uint64) for m in pick("map")])
+    sets = [np.frombuffer(h, np.uint64) for h in pick("hashes")] if exact else None
+    found = traverse(np.array(pick("n"), np.int64), maps, pick("component"), threshold, sets)
+    return [sorted((nodes[rows[i]], nodes[rows[j]])) for i, j in found]
+
+
+def _links(threshold: Fraction):
+    """A grouped map over sets: links that join all linked members."""
 
     def run(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_pylist()
-        rows = sorted({n: i for i, n in enumerate(nodes)}.values(), key=lambda i: nodes[i])
-        pick = lambda c: [v for v in table.column(c).take(rows).to_pylist()]
-        nodes, found = [nodes[i] for i in rows], []
-        if len(rows) > 1:
-            maps = folded([np.frombuffer(m, np.uint64) for m in pick("map")])
-            sets = [np.frombuffer(h, np.uint64) for h in pick("hashes")] if exact else None
-            found = traverse(np.array(pick("n"), np.int64), maps, pick("component"), threshold, sets)
-        pairs = [sorted((nodes[i], nodes[j])) for i, j in found]
+        pairs = _traversed(table, threshold, True)
         return pa.table({"u": pa.array([u for u, _ in pairs], pa.int64()), "v": pa.array([v for _, v in pairs], pa.int64())})
 
     return run
 
 
+def _candidates(threshold: Fraction):
+    """A grouped map over signatures: the members that may be linked with another component's."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        nodes = sorted({n for pair in _traversed(table, threshold, False) for n in pair})
+        same = {c: pa.array([k.as_py()] * len(nodes), pa.int64()) for c, k in zip(("canopy", "unit", "unit2"), key)}
+        return pa.table({**same, "node": pa.array(nodes, pa.int64())})
+
+    return run
+
+
 def _with_component(members: DataFrame, parts: DataFrame | None) -> DataFrame:
     """``members`` (node, ...) with ``component``: that of ``parts`` (node, component), or the node itself."""
     if parts is None:
@@ -364,29 +380,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, parts: DataFrame | None, thresh
     sized = sized.select(F.col("u").alias("leader"), F.pmod(F.xxhash64("v", F.lit(seed)), F.col("blocks")).cast("int").alias("block"), F.col("v").alias("node"))
     heads = sized.select("leader", "block").distinct().select("leader", "block", F.col("leader").alias("node"))
     groups = _with_component(sized.union(heads), parts).join(sets.select("node", "n", "map", "hashes"), "node")
-    return cut(groups.groupBy("leader", "block").applyInArrow(_pairs(threshold, True), "u long, v long")), sized
+    return cut(groups.groupBy("leader", "block").applyInArrow(_links(threshold), "u long, v long")), sized
 
 
 def _open_groups(groups: DataFrame, parts: DataFrame, placed: DataFrame) -> DataFrame:
-    """(key, node, lo, component) of groups (key, node, lo) that hold several components and weren't compared whole.
+    """(key, node, lo, component, m) of groups (key, node, lo) that hold several components and weren't compared whole.
 
     A group was if its members were all in one block of ``placed``, its first one perhaps as the leader of the block. Of
-    groups with the same members one is kept, and none whose members all have one other group as their first.
+    groups with the same members one is kept; ``m`` is their number.
     """
     now = groups.join(parts.select("node", F.col("component").alias("c")), "node", "left").join(placed, "node", "left")
     now = cut(now.select("key", "node", "lo", F.coalesce("c", "node").alias("component"), F.when(F.col("leader").isNotNull(), F.struct("leader", "block")).alias("at")))
     first, led_by = F.col("node") == F.col("lo"), F.when(F.col("node") != F.col("lo"), F.col("at"))
     own = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min(led_by).alias("p"), F.max(led_by).alias("q"), F.max(F.when(first, F.col("at"))).alias("own"), F.max("lo").alias("lo"), F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("same2"))
     done = (F.col("p") == F.col("q")) & ((F.col("p.leader") == F.col("lo")) | (F.col("p") == F.col("own")))
-    own = own.where("a <> b").where(~F.coalesce(done, F.lit(False))).groupBy("m", "same", "same2").agg(F.min("key").alias("key")).select("key")
-    left = cut(now.join(own, "key").select("key", "node", "lo", "component"))
-    least = left.groupBy("node").agg(F.min("key").alias("first"))
-    inner = left.join(least, "node").groupBy("key").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a = b and a <> key").select("key")
-    out = cut(left.join(inner, "key", "left_anti"))
-    drop(now, left)
+    own = cut(own.where("a <> b").where(~F.coalesce(done, F.lit(False))).groupBy("m", "same", "same2").agg(F.min("key").alias("key")).select("key", "m"))
+    out = cut(now.join(own, "key").select("key", "node", "lo", "component", "m"))
+    drop(now, own)
     return out
 
 
+def _canopies(groups: DataFrame) -> DataFrame:
+    """(canopy, node, component): groups (key, node, component) that overlap merged in a few steps, so that a node is in
+    few of them. Members of a group are in one canopy."""
+    out = groups.select(F.col("key").alias("canopy"), "node", "component")
+    for _ in range(MERGES):
+        least = out.groupBy("node").agg(F.min("canopy").alias("least"))
+        into = cut(out.join(least, "node").groupBy("canopy").agg(F.min("least").alias("into")))
+        out = cut(out.join(into, "canopy").select(F.col("into").alias("canopy"), "node", "component").distinct())
+    several = cut(out.groupBy("canopy").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("canopy"))
+    return out.join(several, "canopy")
+
+
+def _units(canopies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(canopy, node, component, unit) and the pairs (canopy, unit, unit2) of units to compare.
+
+    Small components are dealt to units whole, a larger one has units of its own, which aren't compared with each other.
+    """
+    big = canopies.groupBy("canopy", "component").agg(F.count("*").alias("c"))
+    rows = canopies.join(big, ["canopy", "component"])
+    small = F.col("c") <= UNIT
+    rows = rows.join(rows.where(small).groupBy("canopy").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("s")), "canopy", "left")
+    unit = F.when(small, F.pmod(F.xxhash64("component"), F.col("s"))).otherwise(F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / UNIT))))
+    rows = cut(rows.select("canopy", "node", "component", unit.alias("unit")))
+    each = rows.groupBy("canopy", "unit").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+    each = cut(each.select("canopy", "unit", F.when(F.col("a") == F.col("b"), F.col("a")).alias("one")))  # null if mixed
+    single, other = each.where("one is not null"), each.toDF("canopy", "unit2", "two")
+    mixed_pairs = each.where("one is null").join(other, "canopy").where("two is not null or unit <= unit2")
+    ones = single.select("canopy", "one").distinct()
+    apart = ones.join(ones.toDF("canopy", "two"), "canopy").where("one < two")
+    apart = apart.join(single, ["canopy", "one"]).join(other, ["canopy", "two"])
+    return rows, cut(mixed_pairs.select("canopy", "unit", "unit2").union(apart.select("canopy", "unit", "unit2")))
+
+
 def _labelled(docs: DataFrame, doc_id: str, text: str, width: int, threshold: Fraction) -> DataFrame:
     """(doc_id, hash, n, component, component_id) of every row; ``hash`` is of the text, ``component`` a set's number.
 
@@ -421,38 +467,32 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, width: int, threshold: Fr
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(map(len, own)), pa.int64()), lists, pa.array([bitmap(h).tobytes() for h in own], pa.binary()), pa.array([h.tobytes() for h in own], pa.binary())], names=["node", "n", "keys", "map", "hashes"])
 
     sets = cut(thinned(rows, F.col("doc_id"), fewer.select("doc_id")).select("text").mapInArrow(hashed, "node long, n long, keys array<long>, map binary, hashes binary"))
-    keys = sets.select("node", F.explode("keys").alias("key"))
+    keys = sets.select("node", F.explode("keys").alias("key")).join(fewer.select("node"), "node")
     shared = cut(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "lo"))
     members = cut(keys.join(shared, "key").select("key", "node", "lo").distinct())
     drop(shared)
 
-    # Each node with its smallest leader, at first of all its groups, then of those that still hold several components.
+    # Each node with its smallest leader, at first of all its groups, then of large ones that hold several components.
     rest, parts, links = members, None, None
     for at in range(ROUNDS):
-        led = rest.where("node <> lo").groupBy("node").agg(F.min("lo").alias("leader")).select(F.col("leader").alias("u"), F.col("node").alias("v"))
-        found_links, placed = _verified(cut(led), sets, parts, threshold, at)
+        led = rest if parts is None else rest.where(F.col("m") > BLOCK)
+        led = cut(led.where("node <> lo").groupBy("node").agg(F.min("lo").alias("leader")).select(F.col("leader").alias("u"), F.col("node").alias("v")))
+        if parts is not None and led.isEmpty():
+            break
+        found_links, placed = _verified(led, sets, parts, threshold, at)
         links = found_links if links is None else links.union(found_links)
         parts = connected_components(links)
         new = _open_groups(rest.select("key", "node", "lo"), parts, placed)
         drop(rest)
         rest = new
-        if rest.isEmpty():
-            break
 
-    # What is left is compared by signatures alone; what these allow is verified like the first pairs.
-    big = rest.groupBy("key", "component").agg(F.count("*").alias("c"))
-    units = rest.join(big, ["key", "component"])
-    small = F.col("c") <= UNIT
-    units = units.join(units.where(small).groupBy("key").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("s")), "key", "left")
-    unit = F.when(small, F.pmod(F.xxhash64("component"), F.col("s"))).otherwise(F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / UNIT))))
-    units = cut(units.select("key", "node", "component", unit.alias("unit")))
-    each = units.groupBy("key", "unit").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-    other = each.select("key", F.col("unit").alias("unit2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    pairs = cut(each.join(other, "key").where("unit <= unit2 and not (a = b and a2 = b2 and a = a2)").select("key", "unit", "unit2"))
-    sides = units.join(pairs, ["key", "unit"]).select("key", "unit", "unit2", "node", "component").union(units.withColumnRenamed("unit", "unit2").join(pairs.where("unit <> unit2"), ["key", "unit2"]).select("key", "unit", "unit2", "node", "component"))
-    maybe = cut(sides.join(sets.select("node", "n", "map"), "node").groupBy("key", "unit", "unit2").applyInArrow(_pairs(threshold, False), "u long, v long").distinct())
+    # What is left is compared by signatures alone; members that these leave are compared by their sets.
+    units, pairs = _units(_canopies(rest.select("key", "node", "component")))
+    sides = units.join(pairs, ["canopy", "unit"]).select("canopy", "unit", "unit2", "node", "component").union(units.withColumnRenamed("unit", "unit2").join(pairs.where("unit <> unit2"), ["canopy", "unit2"]).select("canopy", "unit", "unit2", "node", "component"))
+    at = ["canopy", "unit", "unit2"]
+    maybe = cut(sides.join(sets.select("node", "n", "map"), "node").groupBy(*at).applyInArrow(_candidates(threshold), "canopy long, unit long, unit2 long, node long"))
     if not maybe.isEmpty():
-        more, _ = _verified(maybe, sets, parts, threshold)
+        more = cut(_with_component(maybe, parts).join(sets.select("node", "n", "map", "hashes"), "node").groupBy(*at).applyInArrow(_links(threshold), "u long, v long"))
         parts = connected_components(links.union(more))
     drop(rest, units, pairs, maybe, sets)
 
