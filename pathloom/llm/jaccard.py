@@ -9,7 +9,8 @@ leaves are verified on the sets themselves.
 Counts. A set of n shingles lacks at most n - ceil(t n) of them in any set that it is linked to. So with
 p = n - ceil(t n) + 1, at least 1 + e of its first p + e shingles by hash are among the first of the other set, too. A
 set of whose first p + e shingles fewer are held by any other set has no link. The first count takes e = p / 2 of every
-document, the second takes all shingles of what remains, and each remaining set's first p shingles are its groups.
+document, the second takes all shingles of what remains. It tells in how many of these sets a shingle is; in that order
+a remaining set's first p shingles are its groups, less those that no other set has.
 Shingles are counted as 32-bit numbers in buckets, each once for a chunk of documents, so that a shingle of very many
 documents is no load for its bucket; numbers that clash let more sets by, never fewer.
 """
@@ -33,13 +34,13 @@ LEAF, FANOUT, BLOCK = 8, 4, 256
 BITS, FEWEST = 8, 512
 #: Rounds in which nodes of groups above a block meet leaders in new blocks, before signatures are compared.
 ROUNDS = 3
-#: Members of a unit whose signatures are compared with another unit's, and the steps in which groups that overlap merge.
-UNIT, MERGES = 1024, 2
+#: Members of a unit whose signatures are compared with another unit's.
+UNIT = 1024
 #: Most bits of a filter that thins rows ahead of a join; beyond an eighth as many ids the rows are joined instead.
 FILTER_BITS = 1 << 26
 #: Documents and shingles of a chunk of postings, and the bytes of a table for each of their buckets.
 CHUNK_DOCS, CHUNK_TOKENS, BUCKET_BYTES = 1 << 16, 1 << 21, 1 << 26
-FOUND = "doc_id long, hash long, node long, n long, need long, chunk long, place int, own long, bucket int, keys binary, owners binary, many binary"
+FOUND = "doc_id long, hash long, node long, n long, need long, chunk long, place int, bucket int, keys binary, owners binary, many binary, times binary"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -96,7 +97,7 @@ class Chunk:
         return len(self.docs) >= CHUNK_DOCS or self.size >= CHUNK_TOKENS
 
     def batch(self) -> pa.RecordBatch:
-        """A row for each document, with how many of its shingles others of the chunk hold, and one for each bucket."""
+        """A row for each document, one for each bucket and, as bucket -1, one with the shared shingles and their owners."""
         count = len(self.tokens)
         h = mixed(np.concatenate(self.tokens) if count else np.zeros(0, np.uint64))
         owner = np.repeat(np.arange(count, dtype=np.uint16), np.fromiter(map(len, self.tokens), np.int64, count))
@@ -105,48 +106,76 @@ class Chunk:
         at, owner = at[order], owner[order]
         same = at[1:] == at[:-1]
         alone = ~(np.append(same, False) | np.append(False, same))
-        own = np.bincount(owner[~alone], minlength=count)
-        many = at[~alone]
-        many = many[np.append(True, many[1:] != many[:-1])] if len(many) else many
+        common, own = at[~alone], owner[~alone]
+        many, times = np.unique(common, return_counts=True)
         at, owner = at[alone], owner[alone]
         edges = np.arange(self.buckets + 1, dtype=np.uint64) << np.uint64(32)
         a, b = np.searchsorted(at, edges), np.searchsorted(many, edges)
-        keys, many = at.astype(np.uint32), many.astype(np.uint32)
+        keys, many, times = at.astype(np.uint32), many.astype(np.uint32), times.astype(np.uint32)
         some = np.flatnonzero((a[1:] > a[:-1]) | (b[1:] > b[:-1])).tolist()
-        none, docs = [None] * len(self.docs), [None] * len(some)
-        place = [d[5] for d in self.docs]
+        none, rest = [None] * len(self.docs), [None] * (1 + len(some))
+        blob = lambda first, x, cuts: pa.array([*none, first, *(x[cuts[k] : cuts[k + 1]].tobytes() for k in some)], pa.binary())
         columns = {
-            **{c: pa.array([d[k] for d in self.docs] + docs, pa.int64()) for k, c in enumerate(("doc_id", "hash", "node", "n", "need"))},
-            "chunk": pa.array([self.number] * (len(none) + len(some)), pa.int64()),
-            "place": pa.array(place + docs, pa.int32()),
-            "own": pa.array([None if p is None else int(own[p]) for p in place] + docs, pa.int64()),
-            "bucket": pa.array(none + some, pa.int32()),
-            "keys": pa.array(none + [keys[a[k] : a[k + 1]].tobytes() for k in some], pa.binary()),
-            "owners": pa.array(none + [owner[a[k] : a[k + 1]].tobytes() for k in some], pa.binary()),
-            "many": pa.array(none + [many[b[k] : b[k + 1]].tobytes() for k in some], pa.binary()),
+            **{c: pa.array([d[k] for d in self.docs] + rest, pa.int64()) for k, c in enumerate(("doc_id", "hash", "node", "n", "need"))},
+            "chunk": pa.array([self.number] * (len(none) + len(rest)), pa.int64()),
+            "place": pa.array([d[5] for d in self.docs] + rest, pa.int32()),
+            "bucket": pa.array([*none, -1, *some], pa.int32()),
+            "keys": blob(common.tobytes(), keys, a),
+            "owners": blob(own.tobytes(), owner, a),
+            "many": blob(None, many, b),
+            "times": blob(None, times, b),
         }
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Of a bucket's chunks the owners of shingles that other chunks hold, too."""
-    keys = [np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()]
-    many = [np.frombuffer(k, np.uint32) for k in table.column("many").to_pylist()]
-    every, count = np.unique(np.concatenate([*keys, *many, *many]), return_counts=True)
-    shared, out = every[count > 1], [[], []]
-    for chunk, own, k in zip(table.column("chunk").to_pylist(), table.column("owners").to_pylist(), keys):
-        hit = shared[np.minimum(np.searchsorted(shared, k), len(shared) - 1)] == k if len(shared) else np.zeros(len(k), bool)
-        if hit.any():
-            out[0].append(chunk)
-            out[1].append(np.frombuffer(own, np.uint16)[hit].tobytes())
-    return pa.table({"chunk": pa.array(out[0], pa.int64()), "owners": pa.array(out[1], pa.binary())})
+REPLY = "chunk long, keys binary, owners binary, counts binary, many binary, times binary"
+
+
+def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """REPLY to a bucket's chunks: in how many documents their shared shingles are, their own included."""
+    read = lambda c, kind: [np.frombuffer(k, kind) for k in table.column(c).to_pylist()]
+    keys, many, times = read("keys", np.uint32), read("many", np.uint32), read("times", np.uint32)
+    every = np.concatenate([*keys, *many])
+    every, at = np.unique(every, return_inverse=True)
+    count = np.bincount(at, np.concatenate([np.ones(sum(map(len, keys))), *times]), len(every)).astype(np.uint32)
+    high, out = np.uint64(key[0].as_py() << 32), []
+    for chunk, own, k, m in zip(table.column("chunk").to_pylist(), read("owners", np.uint16), keys, many):
+        found = count[np.searchsorted(every, k)]
+        hit = found > 1
+        if hit.any() or len(m):
+            out.append((chunk, (high | k[hit]).tobytes(), own[hit].tobytes(), found[hit].tobytes(), (high | m).tobytes(), count[np.searchsorted(every, m)].tobytes()))
+    columns = list(zip(*out)) if out else [()] * 6
+    return pa.table({c: pa.array(x, pa.int64() if c == "chunk" else pa.binary()) for c, x in zip(("chunk", "keys", "owners", "counts", "many", "times"), columns)})
+
+
+def _judged(threshold: Fraction):
+    """A grouped map over a chunk's documents and the replies to it: (node, keys) of sets with enough shared shingles."""
+
+    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        read = lambda c, kind: np.frombuffer(b"".join(replies.column(c).to_pylist()), kind)
+        place, node, n, need = (docs.column(c).to_pylist() for c in ("place", "node", "n", "need"))
+        out = [[], []]
+        own = next((i for i, x in enumerate(place) if x is None), None)
+        if own is not None:
+            common, owner = np.frombuffer(docs.column("keys")[own].as_py(), np.uint64), np.frombuffer(docs.column("owners")[own].as_py(), np.uint16)
+            many, times = read("many", np.uint64), read("times", np.uint32)
+            order = np.argsort(many)
+            times = times[order][np.searchsorted(many[order], common)] if len(common) else np.zeros(0, np.uint32)
+            keys, owner, count = np.append(read("keys", np.uint64), common), np.append(read("owners", np.uint16), owner), np.append(read("counts", np.uint32), times)
+            order = np.lexsort((keys, count, owner))
+            keys, owner = keys[order], owner[order]
+            for k, i in enumerate(place):
+                if i is not None:
+                    a, b = np.searchsorted(owner, [i, i + 1])
+                    if b - a >= need[k]:
+                        alone = n[k] - int(b - a)
+                        out[0].append(node[k])
+                        out[1].append(keys[a : a + max(0, first_shingles(n[k], threshold) - alone)].view(np.int64))
+        ends = np.cumsum([0, *map(len, out[1])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out[1]) if out[1] else np.zeros(0, np.int64)))
+        return pa.table({"node": pa.array(out[0], pa.int64()), "keys": lists})
 
-
-def _counted(table: pa.Table) -> pa.Table:
-    """How many shingles of each document of a chunk other chunks hold."""
-    count = np.bincount(np.frombuffer(b"".join(table.column("owners").to_pylist()), np.uint16))
-    place = np.flatnonzero(count)
-    return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(place), pa.int64()), "place": pa.array(place, pa.int32()), "others": pa.array(count[place], pa.int64())})
+    return run
 
 
 def _postings(rows: DataFrame, width: int, threshold: Fraction, whole: bool) -> DataFrame:
@@ -184,12 +213,11 @@ def _postings(rows: DataFrame, width: int, threshold: Fraction, whole: bool) ->
     return cut(rows.mapInArrow(run, FOUND))
 
 
-def _may_link(found: DataFrame) -> DataFrame:
-    """(node) of the sets with enough shingles that others hold."""
-    met = found.where("bucket is not null").select("chunk", "bucket", "keys", "owners", "many").groupBy("bucket").applyInArrow(_meet, "chunk long, owners binary")
-    counts = met.groupBy("chunk").applyInArrow(_counted, "chunk long, place int, others long")
-    own = found.where("place is not null").select("chunk", "place", "node", "need", "own")
-    return own.join(counts, ["chunk", "place"], "left").where("own + coalesce(others, 0) >= need").select("node").distinct()
+def _may_link(found: DataFrame, threshold: Fraction) -> DataFrame:
+    """(node, keys) of the sets with enough shingles that others hold, and their groups if all shingles were counted."""
+    met = found.where("bucket >= 0").select("chunk", "bucket", "keys", "owners", "many", "times").groupBy("bucket").applyInArrow(_meet, REPLY)
+    own = found.where("place is not null or bucket = -1").select("chunk", "place", "node", "n", "need", "keys", "owners")
+    return own.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_judged(threshold), "node long, keys array<long>")
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -233,7 +261,7 @@ def traverse(sizes: np.ndarray, maps: np.ndarray, components: list[int], thresho
     """Pairs of members in different components that may be linked.
 
     With ``sets`` each pair is verified at once and joins its components, so that the links span all linked sets and are
-    fewer than the members. Without, all pairs that the signatures allow are given.
+    fewer than the members; ``components`` is brought up to date. Without, all pairs that the signatures allow are given.
     """
     tree = SignatureTree(sizes, maps, components)
     parent: dict[int, int] = {c: c for c in components}
@@ -257,7 +285,7 @@ def traverse(sizes: np.ndarray, maps: np.ndarray, components: list[int], thresho
     while stack:
         x, y = stack.pop()
         a, b = tree.nodes[x], tree.nodes[y]
-        if sets is not None:
+        if sets:
             for z in (x, y):
                 if one[z] is None:
                     one[z] = single(z)
@@ -280,7 +308,7 @@ def traverse(sizes: np.ndarray, maps: np.ndarray, components: list[int], thresho
                 u, v = int(left[i]), int(right[j])
                 if find(components[u]) == find(components[v]):
                     continue
-                if sets is None:
+                if not sets:
                     links.append((u, v))
                 elif int(sizes[u] + sizes[v]) - len(np.unique(np.concatenate((sets[u], sets[v])))) >= need[i, j]:
                     links.append((u, v))
@@ -292,6 +320,7 @@ def traverse(sizes: np.ndarray, maps: np.ndarray, components: list[int], thresho
             stack += [(c, y) for c in a[1]]
         else:
             stack += [(x, c) for c in b[1]]
+    components[:] = [find(c) for c in components]
     return links
 
 
@@ -337,10 +366,20 @@ def _traversed(table: pa.Table, threshold: Fraction, exact: bool) -> list[list[i
     pick = lambda c: table.column(c).take(rows).to_pylist()
     if len(rows) < 2:
         return []
-    maps = folded([np.frombuffer(m, np.uint64) for m in pick("map")])
+    sizes, maps, components = np.array(pick("n"), np.int64), [np.frombuffer(m, np.uint64) for m in pick("map")], pick("component")
     sets = [np.frombuffer(h, np.uint64) for h in pick("hashes")] if exact else None
-    found = traverse(np.array(pick("n"), np.int64), maps, pick("component"), threshold, sets)
-    return [sorted((nodes[rows[i]], nodes[rows[j]])) for i, j in found]
+    # Bitmaps are as long as their sets are large, so those of linked sets are folded at most once or twice.
+    length, found = np.fromiter(map(len, maps), np.int64, len(maps)), set()
+    for least in np.unique(length).tolist():
+        own = np.flatnonzero((length >= least) & (length * threshold.numerator <= 2 * least * threshold.denominator)).tolist()
+        if len(own) > 1:
+            some = [components[i] for i in own]
+            for i, j in traverse(sizes[own], folded([maps[i] for i in own]), some, threshold, [sets[i] for i in own] if exact else None):
+                found.add((own[i], own[j]))
+            if exact:
+                joined = dict(zip([components[i] for i in own], some))
+                components = [joined.get(c, c) for c in components]
+    return [sorted((nodes[rows[i]], nodes[rows[j]])) for i, j in sorted(found)]
 
 
 def _links(threshold: Fraction):
@@ -401,13 +440,11 @@ def _open_groups(groups: DataFrame, parts: DataFrame, placed: DataFrame) -> Data
 
 
 def _canopies(groups: DataFrame) -> DataFrame:
-    """(canopy, node, component): groups (key, node, component) that overlap merged in a few steps, so that a node is in
-    few of them. Members of a group are in one canopy."""
-    out = groups.select(F.col("key").alias("canopy"), "node", "component")
-    for _ in range(MERGES):
-        least = out.groupBy("node").agg(F.min("canopy").alias("least"))
-        into = cut(out.join(least, "node").groupBy("canopy").agg(F.min("least").alias("into")))
-        out = cut(out.join(into, "canopy").select(F.col("into").alias("canopy"), "node", "component").distinct())
+    """(canopy, node, component): groups (key, node, component) merged where they overlap with the first group of one of
+    their members, so that a node is in few of them. Members of a group are in one canopy."""
+    least = groups.groupBy("node").agg(F.min("key").alias("least"))
+    into = cut(groups.join(least, "node").groupBy("key").agg(F.min("least").alias("canopy")))
+    out = cut(groups.join(into, "key").select("canopy", "node", "component").distinct())
     several = cut(out.groupBy("canopy").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("canopy"))
     return out.join(several, "canopy")
 
@@ -443,13 +480,15 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, width: int, threshold: Fr
     found = _postings(rows, width, threshold, False)
     named = cut(found.where("bucket is null").select("doc_id", "hash", "node", "n"))
     firsts = cut(named.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    pick = cut(firsts.join(_may_link(found), "node").select("node", "doc_id"))
+    may = cut(_may_link(found, threshold).select("node").distinct())
+    pick = cut(firsts.join(may, "node").select("node", "doc_id"))
     drop(found)
 
     # Every row is read again, but only texts of documents that may be linked are cut into shingles; no text is shuffled.
     again = _postings(thinned(rows, F.col("doc_id"), pick.select("doc_id")).select("doc_id", "hash", "text"), width, threshold, True)
-    fewer = cut(pick.join(_may_link(again), "node").select("node", "doc_id"))
-    drop(again, pick)
+    keyed = cut(_may_link(again, threshold))
+    fewer = cut(pick.join(keyed.select("node").distinct(), "node"))
+    drop(again, pick, may)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -461,16 +500,13 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, width: int, threshold: Fr
                         seen.add(node)
                         out[node] = h
                 own = list(out.values())
-                keys = [h[: first_shingles(len(h), threshold)].view(np.int64) for h in own]
-                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(map(len, own)), pa.int64()), lists, pa.array([bitmap(h).tobytes() for h in own], pa.binary()), pa.array([h.tobytes() for h in own], pa.binary())], names=["node", "n", "keys", "map", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(map(len, own)), pa.int64()), pa.array([bitmap(h).tobytes() for h in own], pa.binary()), pa.array([h.tobytes() for h in own], pa.binary())], names=["node", "n", "map", "hashes"])
 
-    sets = cut(thinned(rows, F.col("doc_id"), fewer.select("doc_id")).select("text").mapInArrow(hashed, "node long, n long, keys array<long>, map binary, hashes binary"))
-    keys = sets.select("node", F.explode("keys").alias("key")).join(fewer.select("node"), "node")
+    sets = cut(thinned(rows, F.col("doc_id"), fewer.select("doc_id")).select("text").mapInArrow(hashed, "node long, n long, map binary, hashes binary"))
+    keys = keyed.join(fewer.select("node"), "node").select("node", F.explode("keys").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "lo"))
     members = cut(keys.join(shared, "key").select("key", "node", "lo").distinct())
-    drop(shared)
+    drop(shared, keyed, fewer)
 
     # Each node with its smallest leader, at first of all its groups, then of large ones that hold several components.
     rest, parts, links = members, None, None
