@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,13 +75,37 @@ def hash_bucket(doc_id: str, mod: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(u, v) links to (node, component), component being the smallest node of each connected part.
+#: Links that one task joins, 16 bytes each; more are joined by rounds on the cluster.
+FEW_LINKS = 1 << 20
 
-    Alternates large-star and small-star steps. Minima are grouped sums with map-side combining and are joined back,
-    so that a hub with very many links is never held by one task. Self links keep their node in the result.
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of the links (u, v), by joining them one after the other."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(parent.setdefault(u, u)), find(parent.setdefault(v, v))
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
+def connected_components(edges: DataFrame, rounds: int = 60, few: int = FEW_LINKS) -> DataFrame:
+    """(u, v) links, no ends null, to (node, component), component being the smallest node of each connected part.
+
+    At most ``few`` links are joined in one task. Others go through alternating large-star and small-star steps: minima
+    are grouped sums with map-side combining and are joined back, so that a hub with very many links is never held by one
+    task. Self links keep their node in the result.
     """
     edges = edges.select("u", "v")
+    if edges.count() <= few:
+        return cut(edges.coalesce(1).mapInArrow(_joined, "node long, component long"))
     nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     nodes = cut(nodes)

@@ -480,15 +480,14 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, width: int, threshold: Fr
     found = _postings(rows, width, threshold, False)
     named = cut(found.where("bucket is null").select("doc_id", "hash", "node", "n"))
     firsts = cut(named.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    may = cut(_may_link(found, threshold).select("node").distinct())
-    pick = cut(firsts.join(may, "node").select("node", "doc_id"))
+    pick = cut(firsts.join(_may_link(found, threshold).select("node").distinct(), "node").select("node", "doc_id"))
     drop(found)
 
     # Every row is read again, but only texts of documents that may be linked are cut into shingles; no text is shuffled.
     again = _postings(thinned(rows, F.col("doc_id"), pick.select("doc_id")).select("doc_id", "hash", "text"), width, threshold, True)
     keyed = cut(_may_link(again, threshold))
     fewer = cut(pick.join(keyed.select("node").distinct(), "node"))
-    drop(again, pick, may)
+    drop(again, pick)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.llm import forest, jaccard, langid, mixing, packing, pivots, quality, sharding, urls
+from pathloom.llm.common import connected_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,6 +75,16 @@ def test_jaccard(spark, docs, width, t):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {i: (len(s[i]), c) for i, c in want.items()}
 
 
+def test_components_by_rounds_and_in_one_task(spark):
+    rng = random.Random(2)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, k) for k in range(1001, 1100)] + [(k, k + 1) for k in range(2000, 2060)] + [(5, 5), (7777, 7777)]
+    want = components({x for p in pairs for x in p}, lambda a, b: (a, b) in pairs or (b, a) in pairs)
+    links = spark.createDataFrame(pairs, "u long, v long").repartition(3)
+    for few in (0, 1 << 20):
+        assert {r["node"]: r["component"] for r in connected_components(links, few=few).collect()} == want
+    assert connected_components(links.where("false")).count() == 0
+
+
 def test_traversal_joins_all_links():
     rng = np.random.default_rng(1)
     base = np.sort(rng.integers(0, 1 << 63, 60).astype(np.uint64))
