@@ -7,7 +7,6 @@ probabilities are learned by expectation maximisation over the same lattices.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -15,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,7 +27,9 @@ SAMPLE_DOCS, SAMPLE_CHARS = 400, 600_000
 PASSES, SMOOTH, LONGEST = 3, 0.02, 16
 KEPT_WORDS = 300_000
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
+#: Ranked ids of a language for each that is wanted: a hash below a bound lets about so many by, whatever the input.
+SPARE = 4
 
 
 class Pieces:
@@ -165,16 +167,20 @@ class Model:
 
 def fit(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Learn from a bounded sample: of each language the ``sample_docs`` first rows by a hash of the id, as far as
-    ``sample_chars`` characters go. Only ids and languages are ranked; the texts of the sample alone are moved."""
+    ``sample_chars`` characters go. Only ids and languages below a bound of the hash are ranked, a fixed number of them
+    whatever the input; the texts of the sample alone are moved. Of rows with one id and language the least text counts.
+    Rows with a null text or language teach nothing."""
     label = F.col(lang).cast("string")
     keys = docs.where(label.isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("i"), label.alias("l"), F.length(text).alias("n"), F.xxhash64(F.lit(5), F.col(doc_id).cast("string")).alias("h"))
+    counts = keys.groupBy("l").agg(F.least(F.lit(1.0), F.lit(float(SPARE * sample_docs)) / F.count("*")).alias("share"))
+    keys = keys.join(F.broadcast(counts), "l").where(F.col("h") / 2.0**64 + 0.5 <= F.col("share")).drop("share")  # a row for each language
     order = Window.partitionBy("l").orderBy("h", "i")
     few = keys.withColumn("k", F.row_number().over(order)).where(f"k <= {sample_docs}")
     few = few.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(f"upto - n < {sample_chars}")
     chosen = few.select("l", "i").collect()  # at most sample_docs ids of a language
     spark = docs.sparkSession
     ids = spark.createDataFrame(chosen, few.select("l", "i").schema)
-    rows = docs.select(F.col(doc_id).alias("i"), label.alias("l"), F.col(text).cast("string").alias("t")).join(F.broadcast(ids), ["i", "l"], "left_semi").toLocalIterator()
+    rows = docs.select(F.col(doc_id).alias("i"), label.alias("l"), F.col(text).cast("string").alias("t")).join(F.broadcast(ids), ["i", "l"], "left_semi").groupBy("l", "i").agg(F.min("t").alias("t")).collect()
     pieces, counts = Pieces(path), {}
     for r in rows:
         counts.setdefault(r["l"], Counter()).update(split(r["t"]))
@@ -230,8 +236,10 @@ def scorer(spark, model: Model):
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row: the likeliest language of the whole text and its posterior probability.
 
-    A text that is null or has no letter, and any text if nothing was learned, gets ``und`` and score 0. Ties go to the
-    language that is first in order. Rows are independent: repeated ids or texts are scored alike.
+    A text that is null or has no letter, and any text if nothing was learned, gets ``und`` and score 0; numerals such as
+    fractions are no letters. Ties go to the language that is first in order. Rows are independent: repeated ids or texts
+    are scored alike, a null id is handed on. Texts of any length are scored whole; other columns, whatever their names,
+    are not read. An empty table gives no rows.
     """
     score = scorer(docs.sparkSession, model)
 
@@ -248,7 +256,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 def known_language(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, unchanged, whose language is told with a posterior of ``least`` at least.
 
-    Texts without a letter go. If nothing was learned, only these go.
+    Texts without a letter go. If nothing was learned, only these go. Columns of any name keep their values.
     """
     score, at, learned = scorer(docs.sparkSession, model), docs.columns.index(text), bool(model.languages)
 
@@ -270,8 +278,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def language_query(spark, sf_dir: str) -> DataFrame:
-    """op1: the language of every document, learned outside the held-out third."""
+    """op1: the language of every document, learned outside the held-out third; ``held_out`` is false for a null id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held = hash_bucket("doc_id", 3) == 1
+    held = F.coalesce(hash_bucket("doc_id", 3) == 1, F.lit(False))
     model = fit(docs.where(~held), vocabulary_path())
     return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
