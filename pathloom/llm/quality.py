@@ -89,27 +89,32 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
             back = out @ p
             out -= now * np.outer(hidden, p)
             bias -= 0.1 * now * p
-            # The mean's gradient is divided among its buckets by weight; weights over their mean keep the step's size.
+            # A bucket's step is its gradient over the greatest weight of the text: long texts, whose weights are small,
+            # move their buckets as far as short ones do.
             if len(ids):
                 vectors[ids] = own - (now * weights / weights.max())[:, None] * back
     return Model(vectors, out, bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """Learn from a bounded sample of labelled documents, chosen by a hash of the id. Without one, all scores are 1/2."""
+    """Learn from a bounded sample of labelled documents, chosen by a hash of the id. Without one, all scores are 1/2.
+
+    Labels other than 0 and 1 and null ids teach nothing; a null text counts as empty. An id with both labels counts with
+    each; of rows with one id the least text counts.
+    """
     spark = docs.sparkSession
     few = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).distinct()
     few = few.orderBy(F.xxhash64(F.lit(SEED), F.col("i").cast("string")), "i", "y").limit(rows)
     chosen = spark.createDataFrame(few.collect(), few.schema)  # at most ``rows`` ids
     taken, texts, marks = 0, [], []
     found = docs.select(F.col(doc_id).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "i").select("i", "t", "y")
-    ids = found.select("i", "y", F.length("t").alias("n")).collect()
+    ids = found.groupBy("i", "y").agg(F.max(F.length("t")).alias("n")).collect()  # at most twice as many as ids
     keep = set()
     for r in sorted(ids, key=lambda r: (zlib.crc32(str(r["i"]).encode()), r["i"], r["y"])):
         if taken < chars:
             keep.add(r["i"])
             taken += r["n"]
-    for r in found.where(F.col("i").isin(sorted(keep)) if len(keep) < len({r["i"] for r in ids}) else F.lit(True)).toLocalIterator():
+    for r in found.where(F.col("i").isin(sorted(keep)) if len(keep) < len({r["i"] for r in ids}) else F.lit(True)).groupBy("i", "y").agg(F.min("t").alias("t")).collect():
         texts.append((r["i"], r["t"], r["y"]))
     texts.sort()
     marks = [y for _, _, y in texts]
@@ -154,7 +159,8 @@ def scorer(spark, model: Model):
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score of every row: the probability of label 1 for the whole text. Null and empty texts get the bias alone.
 
-    Rows are independent: repeated ids or texts are scored alike. An empty table gives no rows.
+    Rows are independent: repeated ids or texts are scored alike, a null id is handed on. Texts of any length are scored
+    whole; other columns, whatever their names, are not read. An empty table gives no rows.
     """
     score = scorer(docs.sparkSession, model)
 
@@ -168,7 +174,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
 
 def good(docs: DataFrame, model: Model, text: str = "text", least: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, unchanged, with a score of ``least`` at least."""
+    """The rows of ``docs``, unchanged, with a score of ``least`` at least. Columns of any name keep their values."""
     score, at = scorer(docs.sparkSession, model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +187,8 @@ def good(docs: DataFrame, model: Model, text: str = "text", least: float = THRES
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:
-    """op10: the quality of every document, learned outside the held-out fifth."""
+    """op10: the quality of every document, learned outside the held-out fifth; ``held_out`` is false for a null id."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    held = hash_bucket("doc_id", 5) == 0
+    held = F.coalesce(hash_bucket("doc_id", 5) == 0, F.lit(False))
     model = fit(docs, labels.where(~held))
     return predict(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
