@@ -41,16 +41,16 @@ def path_of(url):
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """(pattern, start, stop) while a pattern is listed, from (pattern, action, date). Of one date's entries a removal wins."""
-    one = entries.where("pattern is not null and date is not null").groupBy("pattern", "date").agg(F.max(F.when(F.col("action") == "remove", 1).otherwise(0)).alias("off"))
+    """(pattern, start, stop) while a pattern is listed, from (pattern, action, date). Of one date's entries a removal wins; patterns don't tell cases apart."""
+    one = entries.where("pattern is not null and date is not null").groupBy(F.lower("pattern").alias("pattern"), "date").agg(F.max(F.when(F.col("action") == "remove", 1).otherwise(0)).alias("off"))
     stop = F.lead("date").over(Window.partitionBy("pattern").orderBy("date"))
-    return one.withColumn("stop", stop).where("off = 0").select(F.lower("pattern").alias("pattern"), F.col("date").alias("start"), "stop")
+    return one.withColumn("stop", stop).where("off = 0").select("pattern", F.col("date").alias("start"), "stop")
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, key: str, url: str, at: str) -> DataFrame:
     """(key, host, at, active, blocked) of every capture: the sorted patterns that were listed at its time.
 
-    A null, empty or hostless URL and a null time match nothing. Repeated captures are judged one by one. An entry with
+    URLs of any length are read whole; other columns of the captures, whatever their names, are not read. A null, empty or hostless URL and a null time match nothing. Repeated captures are judged one by one. An entry with
     a null pattern or date is left out; an action that isn't ``remove`` adds. An empty list blocks nothing.
     """
     rows = captures.select(F.col(key).alias(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("_path"), F.col(at).alias(at))
