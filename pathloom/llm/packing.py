@@ -26,7 +26,8 @@ VOCABULARY = "word_bpe_49k.json"
 WINDOW, END_ID, OPEN_WINDOWS, LEAST_CUT = 2048, 1, 32, 24
 #: Words whose ids a Python worker keeps; when they are as many, it starts anew. A bound on memory only.
 KEPT_WORDS = 400_000
-#: Partitions whose leftovers are merged together before the last level.
+#: Partitions whose leftovers are merged together, and groups of these that are merged in turn; windows still open then
+#: are closed, a few for so many partitions, and no task grows with the input.
 FAN_IN = 64
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, part int"
 #: Characters that str.split takes as white space and the tokenizer doesn't, and the start of its special tokens.
@@ -218,8 +219,9 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and the closing id 1; a null text counts as empty. Each id lies in one piece, no sequence is
-    over ``size``, offsets of a sequence are gapless from 0. A row with a null id keeps it. Sequence ids of leftovers
-    are negative; they are unique but not dense. An empty table gives no rows.
+    over ``size``, offsets of a sequence are gapless from 0. A row with a null id keeps it; repeated rows
+    are packed each. Texts of any length are packed whole; other columns, whatever their names, are not read. Sequence
+    ids of leftovers are negative; they are unique but not dense. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +250,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     found = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECE))
     few = found.where("open").withColumn("part", (F.col("part") / FAN_IN).cast("int"))
     few = cut(few.groupBy("part").applyInPandas(_merged(0, size, False), PIECE))
-    rest = few.where("open").withColumn("part", F.lit(0)).groupBy("part").applyInPandas(_merged(1 << 62, size, True), PIECE)
+    rest = few.where("open").withColumn("part", (F.col("part") / FAN_IN).cast("int")).groupBy("part").applyInPandas(_merged(1 << 62, size, True), PIECE)
     return found.where("not open").union(few.where("not open")).union(rest).drop("open", "part")
 
 
