@@ -80,13 +80,17 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
     slots of a shard count from 0. Equal texts stand together, with the source and language of the copy that comes
     first by (doc_id, source, lang): only the end of a run can part them. Rows of a cell are ordered by size, checksums
     and id; fully equal rows get places in any order. Null sources and languages have their level after all others,
-    null ids come first. An empty table gives no rows.
+    null ids come first. Texts of any length are described whole; other columns, whatever their names, are not
+    read. An empty table gives no rows.
     """
     text = F.col("text").cast("string")
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.xxhash64(text).alias("text_hash")))
     same = ["size", "text_crc32", "text_hash"]
-    first = rows.groupBy(*same).agg(F.min(F.struct("doc_id", "source", "lang")).alias("_f")).select(*same, "_f.source", "_f.lang")
-    base = cut(rows.select("doc_id", *same).join(first, same))
+    # Only texts that recur are joined, with a row for each: so a text of very many copies is split among tasks.
+    first = rows.groupBy(*same).agg(F.min(F.struct("doc_id", "source", "lang")).alias("f"), F.count("*").alias("c"))
+    first = cut(first.where("c > 1").select(*same, "f"))
+    own = [F.when(F.col("f").isNull(), F.col(c)).otherwise(F.col(f"f.{c}")).alias(c) for c in ("source", "lang")]
+    base = cut(rows.join(first, same, "left").select("doc_id", *same, *own))
     total, ends = base.agg(F.count("*"), F.percentile_approx("size", [i / (1 << bits) for i in range(1, 1 << bits)], 10_000)).first()
     level = sum(((F.col("size") > e).cast("int") for e in ends or []), F.lit(0))
     out = base.withColumn("size_level", level)
