@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, free_names
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Relative cost of a pattern's first, second and third use: convex, so no third use comes before all second uses.
@@ -123,16 +123,22 @@ class Mix:
         self.sizes, self.wanted, self.rows, self.seed = sizes, wanted, rows, seed
 
     def apply(self, docs: DataFrame, doc_id: str, membership) -> DataFrame:
-        """``docs`` with a column ``_uses``: how many times the mix takes each row. No row is moved between tasks."""
-        plan = docs.sparkSession.createDataFrame(self.rows, "_key string, _full int, _bucket int, _hash long, _id string, _extra array<string>, _out array<string>")
+        """``docs`` with a column ``uses``: how many times the mix takes each row. No row is moved between tasks.
+
+        Columns of any name keep their values; ``uses`` gets another name if there is a column of that name.
+        """
+        names = free_names(docs, "uses", "key", "full", "bucket", "hash", "id", "extra", "out", "place", "text")
+        self.uses, key, full, bucket, cut_hash, cut_id, extra, out, place, name = names
+        kinds = ("string", "int", "int", "long", "string", "array<string>", "array<string>")
+        plan = docs.sparkSession.createDataFrame(self.rows, ", ".join(f"`{n}` {k}" for n, k in zip(names[1:8], kinds)))
         if len(self.rows) <= 20_000:  # about 2 MB; a longer plan is joined by key
             plan = F.broadcast(plan)
-        own = docs.withColumns({"_key": _key(membership), "_u": _seeded(self.seed, doc_id), "_t": F.coalesce(F.col(doc_id).cast("string"), F.lit(""))})
-        at = F.pmod("_u", F.lit(BUCKETS))
-        more = (at < F.col("_bucket")) | ((at == F.col("_bucket")) & ((F.col("_u") < F.col("_hash")) | ((F.col("_u") == F.col("_hash")) & (F.col("_t") <= F.col("_id")))))
-        more = F.coalesce(more, F.lit(False)) & ~F.coalesce(F.array_contains("_out", F.col("_t")), F.lit(False))
-        uses = F.coalesce(F.col("_full") + (more | F.coalesce(F.array_contains("_extra", F.col("_t")), F.lit(False))).cast("int"), F.lit(0))
-        return own.join(plan, "_key", "left").select(*docs.columns, uses.alias("_uses"))
+        own = docs.withColumns({key: _key(membership), place: _seeded(self.seed, doc_id), name: F.coalesce(F.col(doc_id).cast("string"), F.lit(""))})
+        u, t, at = F.col(place), F.col(name), F.pmod(place, F.lit(BUCKETS))
+        more = (at < F.col(bucket)) | ((at == F.col(bucket)) & ((u < F.col(cut_hash)) | ((u == F.col(cut_hash)) & (t <= F.col(cut_id)))))
+        more = F.coalesce(more, F.lit(False)) & ~F.coalesce(F.array_contains(out, t), F.lit(False))
+        uses = F.coalesce(F.col(full) + (more | F.coalesce(F.array_contains(extra, t), F.lit(False))).cast("int"), F.lit(0))
+        return own.join(plan, key, "left").select(*docs.columns, uses.alias(self.uses))
 
 
 def _key(membership):
@@ -256,12 +262,13 @@ def mix_query(spark, sf_dir: str) -> DataFrame:
     of = spark.createDataFrame([(s, mix.sizes[s], float(mix.wanted[s])) for s in mix.sizes], "s string, source_size long, target double")
     of = F.broadcast(of) if len(mix.sizes) <= 20_000 else of
     out = mix.apply(base, "doc_id", F.array("source"))
-    return out.join(of, out.source.eqNullSafe(of.s)).select("doc_id", "size", "source_size", "target", (F.col("_uses") * F.col("size")).cast("long").alias("taken"), "source", F.col("_uses").alias("uses"))
+    return out.join(of, out.source.eqNullSafe(of.s)).select("doc_id", "size", "source_size", "target", (F.col("uses") * F.col("size")).cast("long").alias("taken"), "source", "uses")
 
 
 def mixed_documents(spark, docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it, with the columns of ``docs``."""
+    """The documents themselves, each as often as the mix takes it, with the columns of ``docs`` and their values."""
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
     mix = solve(sized, **options)
     out = mix.apply(docs, "doc_id", F.array(F.col("source").cast("string")))
-    return out.where("_uses > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_uses")))).select(*docs.columns)
+    (copy,) = free_names(out, "copy")
+    return out.where(F.col(mix.uses) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(mix.uses)))).select(*docs.columns)
