@@ -81,16 +81,26 @@ class Forest:
         return found
 
 
-def nearest(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and Euclidean distances of the ``k`` nearest vectors but ``own``; ties go to the smaller id."""
-    far = np.sqrt(((vectors - query) ** 2).sum(axis=1))
-    far[ids == own] = np.inf
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances; where squares overflow, those of scaled differences."""
+    with np.errstate(over="ignore"):
+        far = np.sqrt(((vectors - query) ** 2).sum(axis=1))
+        for i in np.flatnonzero(np.isinf(far)):
+            apart = vectors[i] / 2 - query / 2
+            most = np.abs(apart).max()
+            far[i] = most * np.sqrt(((apart / most) ** 2).sum()) * 2
+    return far
+
+
+def nearest(vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and Euclidean distances of the ``k`` nearest vectors but that of row ``own``; ties go to the smaller id."""
+    others = np.flatnonzero(rows != own)
+    far, ids = distances(vectors[others], query), ids[others]
     if len(far) > 4 * k:
         edge = np.partition(far, k)[k]
         near = np.flatnonzero(far <= edge)
         far, ids = far[near], ids[near]
     order = np.lexsort((ids, far))[:k]
-    order = order[np.isfinite(far[order])]
     return ids[order], far[order]
 
 
@@ -105,10 +115,11 @@ def fit(rows: DataFrame, k: int, size: int = SAMPLE, recall: float = RECALL) ->
     planes = Planes(vectors)
     forest, trials = Forest(planes, vectors), range(0, len(ids), max(1, len(ids) // TRIALS))
     strings = planes.strings(vectors[list(trials)])
-    truth = [set(nearest(vectors, ids, vectors[i], ids[i], k)[0].tolist()) for i in trials]
+    places = np.arange(len(ids))
+    truth = [set(nearest(vectors, places, places, vectors[i], i, k)[0].tolist()) for i in trials]
     for share in SHARES:
         found = forest.candidates(strings, max(k + 1, math.ceil(share * len(ids))))
-        hit = sum(len(t.intersection(ids[found[q]].tolist())) for q, t in enumerate(truth))
+        hit = sum(len(t.intersection(found[q].tolist())) for q, t in enumerate(truth))
         if hit >= recall * sum(map(len, truth)):
             break
     return planes, share, vectors.shape[1]
@@ -117,38 +128,43 @@ def fit(rows: DataFrame, k: int, size: int = SAMPLE, recall: float = RECALL) ->
 def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where ``is_query`` holds its ``k`` nearest others by Euclidean distance.
 
-    Vectors that are null, zero or hold null or non-finite numbers take no part, nor do those of another length than
-    most of the sample's. Rows with one id count as one vector, the first by its numbers. Fewer rows than ``k`` give
-    all of them; an empty table gives none.
+    Vectors that are null, zero or hold null or non-finite numbers and rows without an id take no part. A vector is
+    compared with those of its own length; lengths other than most of the sample's have no forest, their vectors are all
+    compared. Rows with one id are vectors of their own and, as queries, have ``k`` rows each. Fewer rows than ``k`` give
+    all of them; an empty table gives none. Other columns, whatever their names, are read by ``is_query`` alone, which
+    sees ``vec_id`` and ``embedding``.
     """
     spark = vectors.sparkSession
-    rows = cut(usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    rows = cut(usable(vectors).withColumns({"row": F.monotonically_increasing_id(), "size": F.size("embedding")}))
     planes, share, size = fit(rows, k)
-    rows = rows.where(F.size("embedding") == size)
     count, asked = rows.agg(F.count("*"), F.coalesce(F.count_if(is_query), F.lit(0))).first()
     shards, blocks = max(1, math.ceil(count / SHARD)), max(1, math.ceil(asked / BLOCK))
     shared = spark.sparkContext.broadcast(planes)
 
     def look(key: tuple[pa.Scalar, ...], queries: pa.Table, own: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        out = [[], [], [], []]
         if queries.num_rows and own.num_rows:
-            ids, data = own.column("vec_id").to_numpy(), matrix(own.column("embedding"))
-            forest, asked = Forest(shared.value, data), matrix(queries.column("embedding"))
-            names = queries.column("vec_id").to_numpy()
-            wanted = max(k + 1, math.ceil(share * len(ids)))
+            ids, own_rows, data = own.column("vec_id").to_numpy(), own.column("row").to_numpy(), matrix(own.column("embedding"))
+            asked, names, asked_rows = matrix(queries.column("embedding")), queries.column("vec_id").to_numpy(), queries.column("row").to_numpy()
+            forest = Forest(shared.value, data) if data.shape[1] == size else None
+            wanted, every = max(k + 1, math.ceil(share * len(ids))), np.arange(len(ids))
             for at in range(0, len(names), 256):
-                for q, places in forest.candidates(shared.value.strings(asked[at : at + 256]), wanted).items():
-                    near, far = nearest(data[places], ids[places], asked[at + q], names[at + q], k)
+                some = asked[at : at + 256]
+                found = forest.candidates(shared.value.strings(some), wanted) if forest else dict.fromkeys(range(len(some)), every)
+                for q, places in found.items():
+                    near, far = nearest(data[places], ids[places], own_rows[places], asked[at + q], asked_rows[at + q], k)
                     out[0] += [int(names[at + q])] * len(near)
                     out[1] += near.tolist()
                     out[2] += far.tolist()
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+                    out[3] += [int(asked_rows[at + q])] * len(near)
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64()), "row": pa.array(out[3], pa.int64())})
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
-    put = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
-    found = put.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(look, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "row"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
+    put = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", "row", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
+    at = ["size", "shard", "block"]
+    found = put.groupBy(*at).cogroup(dealt.groupBy(*at)).applyInArrow(look, "query_id long, vec_id long, score double, row long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
