@@ -103,20 +103,22 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, near: int = NEAR,
     """vec_id, n_links, component_id, kept for every row.
 
     Equal vectors are one class with a count, by two 64-bit hashes; other pairs are counted where their lists meet, and
-    only links that join components leave a task. Vectors that are null, zero, hold null or non-finite numbers or have
-    another length than most link with nothing. A null id keeps a null component. Rows with one id are
-    vectors of their own. An empty table gives no rows.
+    only links that join components leave a task. Vectors that are null, zero or hold null or non-finite numbers link
+    with nothing. Vectors link with those of their own length; those of another length than most have no reference points
+    and are all compared, in one list for each length. A null id keeps a null component. Rows with one id are vectors of
+    their own. Other columns, whatever their names, are not read. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
     lengths = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
     size = lengths[0]["size"] if lengths else 0
     hashes = {"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(SEED), "embedding")}
-    own = cut(rows.where(F.size("embedding") == size).withColumns(hashes).select("vec_id", "h1", "h2", "embedding"))
+    own = cut(rows.withColumns(hashes).select("vec_id", "h1", "h2", "embedding"))
     classes = cut(own.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.min_by("embedding", "vec_id").alias("embedding")))
-    total = classes.count()
+    most = classes.where(F.size("embedding") == size)
+    total = most.count()
     count = min(MOST, max(FEWEST, 1 << max(0, math.ceil(math.log2(max(1, total) / EACH)))))
-    _, points = sample(classes.select(F.col("rep").alias("vec_id"), "embedding"), count, SEED)
+    _, points = sample(most.select(F.col("rep").alias("vec_id"), "embedding"), count, SEED)
     points = spark.sparkContext.broadcast(apart(unit(points), cosine) if len(points) else points)
 
     def describe(batches):
@@ -130,7 +132,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, near: int = NEAR,
                 yield pa.RecordBatch.from_arrays([some.column("rep"), some.column("mult"), some.column("embedding"), lists], names=["rep", "mult", "embedding", "near"])
 
     kind = dict(rows.dtypes)["embedding"]
-    classes = cut(classes.select("rep", "mult", "embedding").mapInArrow(describe, f"rep long, mult long, embedding {kind}, near array<int>"))
+    described = most.select("rep", "mult", "embedding").mapInArrow(describe, f"rep long, mult long, embedding {kind}, near array<int>")
+    classes = cut(described.union(classes.where(F.size("embedding") != size).select("rep", "mult", "embedding", F.array(-F.size("embedding")))))
     posted = classes.withColumns({"home": F.get("near", F.lit(0)), "pivot": F.explode("near")})
     # Many vectors of another point have blocks of their own in a list: their pairs are taken in that point's list.
     of = posted.groupBy("pivot", "home").agg(F.count("*").alias("n"))
@@ -150,9 +153,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, near: int = NEAR,
     named = classes.select("rep", "mult").join(sums, F.col("rep") == F.col("u"), "left").join(parts, F.col("rep") == F.col("node"), "left").select("rep", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     member = own.select("vec_id", "h1", "h2").join(own.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep")), ["h1", "h2"])
     linked = member.join(named, "rep").select("vec_id", "n_links", "component_id")
-    rest = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), (F.col("vec_id").isNotNull() & F.coalesce(F.size("embedding") == size, F.lit(False))).alias("fits"), "embedding")
+    rest = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
-    rest = rest.where(~(F.col("fits") & F.coalesce(fine, F.lit(False)))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rest = rest.where(~(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
