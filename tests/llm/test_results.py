@@ -250,7 +250,7 @@ def test_mix_passes_over_a_long_document(spark):
     rows = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(sizes)], "doc_id long, source string, size long").cache()
     for seed in range(3):
         mix = mixing.solve(rows, weights=(3, 1), seed=seed)
-        found = mix.apply(rows, "doc_id", F.array("source")).groupBy("source").agg(F.sum(F.col("_uses") * F.col("size")).alias("n")).collect()
+        found = mix.apply(rows, "doc_id", F.array("source")).groupBy("source").agg(F.sum(F.col("uses") * F.col("size")).alias("n")).collect()
         assert all(0.99 * mix.wanted[r["source"]] <= r["n"] <= round(mix.wanted[r["source"]]) for r in found)
 
 
