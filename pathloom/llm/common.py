@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +59,20 @@ def _clean() -> None:
             return
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable[[], object]):
+    """What a Python worker keeps for the step that it is at: one value at a time, made anew for another key.
+
+    Workers are used again by later steps; the vocabularies and word caches of several would add up in their memory.
+    """
+    if _HELD.get("key") != key:
+        _HELD.clear()
+        _HELD.update(key=key, value=make())
+    return _HELD["value"]
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """A name for each of ``names`` that no column of ``df`` has, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, cut, drop, free_names
+from .common import connected_components, cut, drop, free_names, held
 
 LEAF, FANOUT, BLOCK = 8, 4, 256
 #: Bits of a bitmap: a power of two, this many for each shingle or more; a larger one folds to a smaller.
@@ -39,7 +39,7 @@ UNIT = 1024
 #: Most bits of a filter that thins rows ahead of a join; beyond an eighth as many ids the rows are joined instead.
 FILTER_BITS = 1 << 26
 #: Documents and shingles of a chunk of postings, and the bytes of a table for each of their buckets.
-CHUNK_DOCS, CHUNK_TOKENS, BUCKET_BYTES = 1 << 16, 1 << 21, 1 << 26
+CHUNK_DOCS, CHUNK_TOKENS, BUCKET_BYTES = 1 << 16, 1 << 20, 1 << 26
 FOUND = "doc_id long, hash long, node long, n long, need long, chunk long, place int, bucket int, keys binary, owners binary, many binary, times binary"
 
 
@@ -188,6 +188,7 @@ def _postings(rows: DataFrame, width: int, threshold: Fraction, whole: bool) ->
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 17, size // BUCKET_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("jaccard", dict)
         number = TaskContext.get().partitionId() << 32
         chunk, seen = Chunk(number, buckets), set()
         for batch in batches:

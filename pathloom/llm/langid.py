@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hash_bucket
+from .common import hash_bucket, held
 
 VOCABULARY = "piece_bpe_32k.model"
 #: The sample that is learned from: documents of a language, in order of a hash, and their characters in all.
@@ -188,15 +188,9 @@ def fit(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     return Model(languages, np.stack([learn(counts[x], pieces) for x in languages], axis=1) if languages else np.zeros((pieces.count, 0)), path)
 
 
-_READY: dict = {}
-
-
-def _ready(key, model: Model):
-    """A worker's pieces and the words that it has scored, for one model at a time."""
-    if _READY.get("key") != key:
-        _READY.clear()
-        _READY.update(key=key, pieces=Pieces(model.path), words={}, table=np.zeros((1024, len(model.languages))))
-    return _READY
+def _ready(key, model: Model) -> dict:
+    """A worker's pieces and the words that it has scored with a model."""
+    return held(key, lambda: {"pieces": Pieces(model.path), "words": {}, "table": np.zeros((1024, len(model.languages)))})
 
 
 def scorer(spark, model: Model):

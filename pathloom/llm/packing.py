@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, held
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW, END_ID, OPEN_WINDOWS, LEAST_CUT = 2048, 1, 32, 24
@@ -124,13 +124,8 @@ class Ids:
         return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 
 
-_IDS: dict[str, Ids] = {}
-
-
 def ids_of(path: str) -> Ids:
-    if path not in _IDS:
-        _IDS[path] = Ids(path)
-    return _IDS[path]
+    return held(("ids", path), lambda: Ids(path))
 
 
 class Windows:

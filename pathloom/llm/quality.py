@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_bucket
+from .common import hash_bucket, held
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 16, 16, 2, 4
 EPOCHS, RATE, SEED = 6, 0.5, 11
@@ -121,9 +121,6 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return train([t for _, t, _ in texts], marks)
 
 
-_READY: dict = {}
-
-
 def scorer(spark, model: Model):
     """A function of a list of texts for use in tasks: the probability of label 1 of each.
 
@@ -133,10 +130,7 @@ def scorer(spark, model: Model):
 
     def score(texts: list[str | None]) -> list[float]:
         table, bias = shared.value
-        if _READY.get("key") != key:
-            _READY.clear()
-            _READY.update(key=key, known={})
-        known = _READY["known"]
+        known = held(key, dict)
         counts = [Counter(split(t or "")) for t in texts]
         if len(known) > KEPT_WORDS:
             known.clear()
