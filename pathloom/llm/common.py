@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,6 +71,10 @@ def held(key, make: Callable[[], object]):
     """
     if _HELD.get("key") != key:
         _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # gives free memory back; glibc alone has it
+            trim(0)
         _HELD.update(key=key, value=make())
     return _HELD["value"]
 

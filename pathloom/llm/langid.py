@@ -25,7 +25,7 @@ VOCABULARY = "piece_bpe_32k.model"
 #: The sample that is learned from: documents of a language, in order of a hash, and their characters in all.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 600_000
 PASSES, SMOOTH, LONGEST = 3, 0.02, 16
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: Ranked ids of a language for each that is wanted: a hash below a bound lets about so many by, whatever the input.

@@ -25,7 +25,7 @@ from .common import cut, held
 VOCABULARY = "word_bpe_49k.json"
 WINDOW, END_ID, OPEN_WINDOWS, LEAST_CUT = 2048, 1, 32, 24
 #: Words whose ids a Python worker keeps; when they are as many, it starts anew. A bound on memory only.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 #: Partitions whose leftovers are merged together, and groups of these that are merged in turn; windows still open then
 #: are closed, a few for so many partitions, and no task grows with the input.
 FAN_IN = 64

@@ -22,7 +22,7 @@ BUCKETS, DIM, SHORTEST, LONGEST = 1 << 16, 16, 2, 4
 EPOCHS, RATE, SEED = 6, 0.5, 11
 #: The sample that is learned from: labelled rows in order of a hash of their id, and their characters in all.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 REPEAT = "\u21ba"
 THRESHOLD = 0.3
 
