@@ -61,6 +61,14 @@ def _clean() -> None:
             return
 
 
+def release() -> None:
+    """Give free memory of this process back."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
 _HELD: dict = {}
 
 
@@ -71,10 +79,7 @@ def held(key, make: Callable[[], object]):
     """
     if _HELD.get("key") != key:
         _HELD.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # gives free memory back; glibc alone has it
-            trim(0)
+        release()
         _HELD.update(key=key, value=make())
     return _HELD["value"]
 

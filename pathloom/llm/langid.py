@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hash_bucket, held
+from .common import hash_bucket, held, release
 
 VOCABULARY = "piece_bpe_32k.model"
 #: The sample that is learned from: documents of a language, in order of a hash, and their characters in all.
@@ -185,7 +185,10 @@ def fit(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     for r in rows:
         counts.setdefault(r["l"], Counter()).update(split(r["t"]))
     languages = sorted(counts)
-    return Model(languages, np.stack([learn(counts[x], pieces) for x in languages], axis=1) if languages else np.zeros((pieces.count, 0)), path)
+    model = Model(languages, np.stack([learn(counts[x], pieces) for x in languages], axis=1) if languages else np.zeros((pieces.count, 0)), path)
+    del rows, counts, pieces
+    release()
+    return model
 
 
 def _ready(key, model: Model) -> dict:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_bucket, held
+from .common import hash_bucket, held, release
 
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 16, 16, 2, 4
 EPOCHS, RATE, SEED = 6, 0.5, 11
@@ -118,7 +118,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         texts.append((r["i"], r["t"], r["y"]))
     texts.sort()
     marks = [y for _, _, y in texts]
-    return train([t for _, t, _ in texts], marks)
+    model = train([t for _, t, _ in texts], marks)
+    del texts, marks, ids
+    release()
+    return model
 
 
 def scorer(spark, model: Model):
