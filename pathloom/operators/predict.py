@@ -73,9 +73,10 @@ class Planner:
             if destination in ways:
                 route.append(destination)
                 break
-            ways = [w for w in ways if w not in used] or ways
-            most = max(self.counts.get((w, destination), 0) for w in ways)
-            best = [w for w in ways if self.counts.get((w, destination), 0) == most]
+            most, best = -1, ways  # an edge again: neither counts nor popularity choose
+            if fresh := [w for w in ways if w not in used]:
+                most = max(self.counts.get((w, destination), 0) for w in fresh)
+                best = [w for w in fresh if self.counts.get((w, destination), 0) == most]
             if len(best) > 1 and self.popularity is not None:
                 if most >= 1:
                     top = max(self.popularity.get(w, 0.0) for w in best)

@@ -218,10 +218,19 @@ def test_planner(spark):
     assert predict.Planner(near, {}, {1: 0.1, 2: 0.9}).leg(0, 5) == [0, 1, 3, 5]
     assert predict.Planner(near, da).leg(0, 5) == [0, 1, 3, 5]
     assert predict.Planner({}, {}).leg(0, 2) == [0]
+    trap = {0: [1], 1: [0, 2], 2: [1]}  # all ways of 1 are used the second time, and the counts name 2
+    assert predict.Planner(trap, {(2, 9): 5}, cap=5).leg(0, 9) == [0, 1, 2, 1, 0]
+    assert predict.Planner(trap, {(2, 9): 5}, {0: 0.1, 2: 0.9}, cap=5).leg(0, 9) == [0, 1, 2, 1, 0]
     assert predict.Planner({0: [1], 1: [2]}, {}, cap=2).via(0, 1, 2) == [0, 1, 2]
 
 
 def test_contraction_and_shortcuts(spark):
+    # Node 0 has fewer arcs than node 1 but for the one to itself, which stays with an active node.
+    active, sparse, order, cuts = shortcuts.contract([[0, 1], [2], [1]], 0.34)
+    assert order == [0] and sparse == [[], [2], [1]] and cuts == []
+    assert shortcuts.contract([[0], [0]], 0.0)[1] == [[0], [0]]
+    with pytest.raises(ValueError):
+        shortcuts.contract([[1], [0]], 1.0)
     active, sparse, order, cuts = shortcuts.contract([[2], [0], []], 0.34)
     assert order == [0] and active == [False, True, True] and sparse == [[], [2], []] and cuts == [(1, 2)]
     on, pair = spark.createDataFrame([(1,), (2,)], "edge long"), spark.createDataFrame([(1, 2)], "prev long, next long")
