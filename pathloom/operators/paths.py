@@ -13,7 +13,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import INFINITY, MAX_TRANSITIONS
@@ -141,11 +141,17 @@ def relational_distances(arcs: DataFrame, metric: DataFrame, sources: DataFrame,
     raise RuntimeError("distances did not settle")
 
 
+def pair_key(a, b) -> Column:
+    """One long for a pair of ids of up to 32 bits each: no two pairs share it."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
+
+
 def edge_queries(trips: DataFrame) -> DataFrame:
     """(qid, sources, targets) of the distinct pairs of first and last edge of trips."""
     e = F.col("edges")
     pairs = trips.select(F.element_at(e, 1).alias("s"), F.element_at(e, -1).alias("t")).distinct()
-    return pairs.select((F.col("s") * (2**31) + F.col("t")).alias("qid"), F.array("s").alias("sources"), F.array("t").alias("targets"))
+    return pairs.select(pair_key("s", "t").alias("qid"), F.array("s").alias("sources"), F.array("t").alias("targets"))
 
 
 def validate_paths(paths: DataFrame, queries: DataFrame, arcs: DataFrame, metric: DataFrame) -> DataFrame:

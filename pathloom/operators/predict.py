@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluate, stats
-from .paths import DijkstraOracle, Graph, edge_queries
+from .paths import DijkstraOracle, Graph, edge_queries, pair_key
 from .validate import quantized
 
 ROUTES = "sample_id string, edges array<long>"
@@ -22,7 +22,7 @@ def predict(trips: DataFrame, arcs: DataFrame, metric: DataFrame, oracle=None) -
     """(sample_id, edges) from each trip's first to its last edge under ``metric`` (coord, w)."""
     paths = (oracle or DijkstraOracle()).shortest_paths(arcs, metric, edge_queries(trips))
     e = F.col("edges")
-    own = trips.select("sample_id", (F.element_at(e, 1) * (2**31) + F.element_at(e, -1)).alias("qid"))
+    own = trips.select("sample_id", pair_key(F.element_at(e, 1), F.element_at(e, -1)).alias("qid"))
     return own.join(paths, "qid").select("sample_id", F.col("nodes").alias("edges"), "distance")
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..schema import INFINITY, MAX_ID
+from ..schema import INFINITY, MAX_ID, MAX_TRANSITIONS
 
-#: Columns that an array of ends needs: (tail, head) by edge id.
+#: Reasons, in the order in which they are looked for.
 ACCEPTED, EMPTY, TOO_SHORT, OUT_OF_BOUNDS, DISCONTINUOUS, CYCLIC = "accepted", "empty", "too_short", "out_of_bounds", "discontinuous", "cyclic"
 
 
@@ -17,30 +20,61 @@ def finite(x) -> Column:
     return ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
 
-def edge_ends(edges: DataFrame) -> DataFrame:
-    """One row with the ends of all edges in id order, for look-ups inside a row: two longs for each edge."""
-    return edges.agg(F.array_sort(F.collect_list(F.struct("edge_id", "tail", "head"))).alias("_ends"))
+def edge_ends(edges: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tails and heads of all edges in id order: two longs for each edge, at most MAX_TRANSITIONS edges."""
+    found = edges.select("edge_id", "tail", "head").limit(MAX_TRANSITIONS + 1).toPandas().sort_values("edge_id")
+    if len(found) > MAX_TRANSITIONS:
+        raise ValueError(f"a network has at most {MAX_TRANSITIONS} edges")
+    return found["tail"].to_numpy(np.int64), found["head"].to_numpy(np.int64)
+
+
+def first_fault(lists: pa.Array, tails: np.ndarray, heads: np.ndarray, min_edges: int, cycles: bool, split_empty: bool) -> pa.Array:
+    """(reason, src, dst) of each list of edge ids, for a batch at once: all hops are compared as one array."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = pc.fill_null(lists.flatten().cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+    trip, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    outside = (ids < 0) | (ids >= len(tails))
+    safe = np.where(outside, 0, ids)
+    if not len(tails):
+        tails = heads = np.zeros(1, np.int64)
+    tail, head = tails[safe], heads[safe]
+
+    def any_of(hops: np.ndarray) -> np.ndarray:
+        return np.bincount(trip[hops], minlength=len(sizes)) > 0
+
+    follows = np.flatnonzero(trip[1:] == trip[:-1]) + 1
+    rules = [(sizes == 0, EMPTY if split_empty else TOO_SHORT), (sizes < min_edges, TOO_SHORT), (any_of(np.flatnonzero(outside)), OUT_OF_BOUNDS), (any_of(follows[head[follows - 1] != tail[follows]]), DISCONTINUOUS)]
+    full = np.flatnonzero(sizes)
+    first, last = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    first[full], last[full] = tail[starts[full]], head[starts[full] + sizes[full] - 1]
+    if not cycles:
+        owner, node = np.concatenate([trip, full]), np.concatenate([head, first[full]])
+        order = np.lexsort((node, owner))
+        owner, node = owner[order], node[order]
+        again = owner[1:][(owner[1:] == owner[:-1]) & (node[1:] == node[:-1])]
+        rules.append((np.bincount(again, minlength=len(sizes)) > 0, CYCLIC))
+    reason = np.select([broken for broken, _ in rules], [name for _, name in rules], ACCEPTED)
+    rejected = reason != ACCEPTED
+    return pa.StructArray.from_arrays([pa.array(reason, pa.string()), pa.array(first, pa.int64(), mask=rejected), pa.array(last, pa.int64(), mask=rejected)], ["reason", "src", "dst"])
 
 
 def classify(trips: DataFrame, edges: DataFrame, min_edges: int = 2, cycles: bool = False, split_empty: bool = True) -> DataFrame:
     """``trips`` with reason, src and dst.
 
     Rules in order: empty, fewer than ``min_edges``, an id outside the network, neighbours that don't meet, a node seen
-    twice (unless ``cycles``). The network travels as one broadcast row of its ends, so trips are not shuffled; ids are
-    dense from 0, as network validation makes sure.
+    twice (unless ``cycles``). The ends of the network's edges are broadcast once to each executor, so trips are neither
+    shuffled nor widened by them; of a trip only its list goes through Arrow. Ids are dense from 0, as network
+    validation makes sure.
     """
-    e, ends = F.col("edges"), F.col("_ends")
-    n = F.size(ends)
-    at = lambda x: F.element_at(ends, (x + 1).cast("int"))
-    inside = F.forall("edges", lambda x: x.isNotNull() & (x >= 0) & (x <= MAX_ID) & (x < n))
-    meets = F.forall(F.zip_with(F.slice(e, F.lit(1), F.size(e) - 1), F.slice(e, F.lit(2), F.size(e) - 1), lambda a, b: at(a)["head"] == at(b)["tail"]), lambda x: x)
-    seen = F.concat(F.array(at(F.element_at(e, 1))["tail"]), F.transform(e, lambda x: at(x)["head"]))
-    reason = F.when(F.coalesce(F.size(e), F.lit(0)) <= 0, EMPTY if split_empty else TOO_SHORT).when(F.size(e) < min_edges, TOO_SHORT).when(~inside, OUT_OF_BOUNDS).when(~meets, DISCONTINUOUS)
-    if not cycles:
-        reason = reason.when(F.size(F.array_distinct(seen)) < F.size(seen), CYCLIC)
-    out = trips.crossJoin(F.broadcast(edge_ends(edges))).withColumn("reason", reason.otherwise(ACCEPTED))
-    ok = F.col("reason") == ACCEPTED
-    return out.withColumns({"src": F.when(ok, at(F.element_at(e, 1))["tail"]), "dst": F.when(ok, at(F.element_at(e, -1))["head"])}).drop("_ends")
+    ends = trips.sparkSession.sparkContext.broadcast(edge_ends(edges))
+
+    @F.arrow_udf("reason string, src long, dst long")
+    def fault(lists: pa.Array) -> pa.Array:
+        return first_fault(lists, *ends.value, min_edges, cycles, split_empty)
+
+    # not deterministic for Catalyst: a filter by the reason would otherwise run it a second time
+    found = trips.withColumn("_fault", fault.asNondeterministic()("edges"))
+    return found.withColumns({c: F.col(f"_fault.{c}") for c in ("reason", "src", "dst")}).drop("_fault")
 
 
 def accepted(trips: DataFrame, edges: DataFrame, min_edges: int = 2) -> DataFrame:

@@ -6,6 +6,7 @@ import pickle
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,55 @@ def test_reject_reasons(spark):
     assert (found[0]["src"], found[0]["dst"]) == (0, 3) and found[1]["src"] is None
 
 
+def test_classify_odd_lists(spark, n1):
+    rows = [("a", None, 7), ("b", [0, None], 8), ("c", [-1, 0], 9), ("d", [0, 1], None), ("d", [0, 1], 1)]
+    found = validate.classify(spark.createDataFrame(rows, "sample_id string, edges array<long>, n long"), n1[1])
+    assert found.columns == ["sample_id", "edges", "n", "reason", "src", "dst"]
+    got = [(r["sample_id"], r["n"], r["reason"], r["src"], r["dst"]) for r in found.collect()]
+    assert sorted(got, key=str) == sorted([("a", 7, "empty", None, None), ("b", 8, "out_of_bounds", None, None), ("c", 9, "out_of_bounds", None, None), ("d", None, "accepted", 0, 2), ("d", 1, "accepted", 0, 2)], key=str)
+    assert validate.classify(trips(spark), n1[1]).count() == 0
+    assert [r["reason"] for r in validate.classify(trips(spark, [0, 1]), n1[1].where("edge_id < 0")).collect()] == ["out_of_bounds"]
+    assert [r["reason"] for r in validate.classify(trips(spark, []), n1[1], split_empty=False).collect()] == ["too_short"]
+
+
+@pytest.mark.parametrize("cycles", [False, True])
+def test_classify_equals_a_loop(cycles):
+    rng = np.random.default_rng(5)
+    tails, heads = rng.integers(0, 6, 24), rng.integers(0, 6, 24)
+    lists = []
+    for _ in range(3000):
+        route = [int(rng.integers(0, 24))] if rng.random() < 0.97 else []
+        while route and rng.random() < 0.7:
+            on = np.flatnonzero(tails == heads[route[-1]])
+            route.append(int(rng.choice(on)) if len(on) and rng.random() < 0.9 else int(rng.integers(0, 24)))
+        if route and rng.random() < 0.1:
+            route[int(rng.integers(0, len(route)))] = 24
+        lists.append(route)
+
+    def one(route):
+        if not route:
+            return "empty"
+        if len(route) < 2:
+            return "too_short"
+        if max(route) >= 24:
+            return "out_of_bounds"
+        if any(heads[a] != tails[b] for a, b in zip(route, route[1:])):
+            return "discontinuous"
+        seen = [tails[route[0]], *heads[route]]
+        return "cyclic" if not cycles and len(set(seen)) < len(seen) else "accepted"
+
+    found = validate.first_fault(pa.array(lists, pa.list_(pa.int64())).slice(500), tails, heads, 2, cycles, True).to_pylist()
+    assert [r["reason"] for r in found] == [one(x) for x in lists[500:]]
+    assert {r["reason"] for r in found} >= {"accepted", "empty", "too_short", "out_of_bounds", "discontinuous"}
+    assert all((r["src"], r["dst"]) == ((tails[x[0]], heads[x[-1]]) if r["reason"] == "accepted" else (None, None)) for r, x in zip(found, lists[500:]))
+
+
+def test_pair_keys(spark):
+    ids = [0, 1, 2**31 - 1, 2**31, 2**32 - 1]
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids], "a long, b long")
+    assert pairs.select(paths.pair_key("a", "b")).distinct().count() == len(ids) ** 2
+
+
 def test_five_edge_filter(spark):
     _, edges = net(spark, [0, 1, 2, 3, 4, 0, 3], [1, 2, 3, 4, 5, 1, 0], [1] * 7)
     found = validate.classify(trips(spark, [], [1, 99], [0, 1, 2, 3, 99], [0, 2, 3, 4, 4], [0, 1, 2, 6, 0], [0, 1, 2, 3, 4]), edges, min_edges=5).orderBy("sample_id").collect()
