@@ -53,9 +53,29 @@ def at_key(document: Column, dotted: str) -> Column:
 
 
 def duration_text(seconds: Column) -> Column:
-    """``1h 02m 03s``."""
+    """``1h 02m 03s``, ``2m 03s`` or ``3s``; less than nothing is ``0s``."""
     s = F.round(seconds).cast("long")
-    return F.format_string("%dh %02dm %02ds", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+    s = F.when(s < 0, F.lit(0)).otherwise(s)
+    h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)
+    return F.when(h > 0, F.format_string("%dh %02dm %02ds", h, m, s % 60)).when(m > 0, F.format_string("%dm %02ds", m, s % 60)).when(s.isNotNull(), F.format_string("%ds", s))
+
+
+def iso_time(text: Column) -> Column:
+    """The moment of an ISO 8601 text, of UTC where it names no zone; null for other texts."""
+    zoned = F.when(text.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), F.try_to_timestamp(zoned))
+
+
+def age_seconds(text: Column, now: Column | None = None) -> Column:
+    """Seconds since an ISO 8601 text, at least 0; null for other texts."""
+    now = F.current_timestamp() if now is None else now
+    age = now.cast("double") - iso_time(text).cast("double")
+    return F.when(age < 0, F.lit(0.0)).otherwise(age)
+
+
+def weighted_bce(logit: Column, label: Column, weight: Column) -> Column:
+    """Weighted binary cross-entropy of a logit, without overflow at either end."""
+    return weight * (F.greatest(logit, F.lit(0.0)) - logit * label + F.log1p(F.exp(-F.abs(logit))))
 
 
 def percent(value: Column, digits: int = 2) -> Column:

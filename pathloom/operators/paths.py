@@ -38,6 +38,7 @@ class Graph:
         count = int(max(self.prev.max(), self.head.max())) + 1 if len(order) else 0
         self.first = np.concatenate(([0], np.cumsum(np.bincount(self.prev, minlength=count)))).astype(np.int64)
         self.count = count
+        self.limit = INFINITY if np.issubdtype(weight.dtype, np.integer) else float("inf")
         self._lists = None
 
     def lists(self):
@@ -64,7 +65,7 @@ class Graph:
                 continue
             for i in range(first[u], first[u + 1]):
                 far, v = d + weight[i], head[i]
-                if far < distance.get(v, INFINITY):
+                if far < distance.get(v, self.limit):
                     distance[v], before[v] = far, (u, coord[i])
                     heapq.heappush(heap, (far, v))
         return {u: distance[u] for u in settled}, before
@@ -125,6 +126,38 @@ class DijkstraOracle:
         return self.on(collect_graph(arcs, metric), queries.repartition(parts, "sources"))
 
 
+def real_cost_paths(arcs: DataFrame, costs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst, distance, nodes) of the distinct ``pairs`` (src, dst) under real costs that depend on the destination.
+
+    ``costs`` (dst, coord, w double) has a cost for every arc and each destination that is asked for; a cost that lacks,
+    is negative or isn't finite is an error. The arcs are broadcast, at most MAX_TRANSITIONS. A task holds one
+    destination's costs and distinct sources, both bounded by the network. What can't be reached has nulls; ties go as in
+    the other searches.
+    """
+    spark = pairs.sparkSession
+    rows = arcs.select("coord", "prev", "next").limit(MAX_TRANSITIONS + 1).toPandas().sort_values("coord")
+    if len(rows) > MAX_TRANSITIONS:
+        raise ValueError("too many transitions")
+    shared = spark.sparkContext.broadcast(tuple(rows[c].to_numpy(np.int64) for c in ("coord", "prev", "next")))
+
+    def run(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked):
+            coord, prev, next_ = shared.value
+            w = own.drop_duplicates("coord").set_index("coord").w.reindex(coord).to_numpy(np.float64)
+            if not (np.isfinite(w) & (w >= 0)).all():
+                raise ValueError(f"destination {asked.dst.iloc[0]}: bad cost of coordinate {coord[~(np.isfinite(w) & (w >= 0))][0]}")
+            graph = Graph(coord, prev, next_, w)
+            for src, dst in zip(asked.src.tolist(), asked.dst.tolist()):
+                far, nodes, _ = graph.path(*graph.search([src], {dst}), [dst])
+                out.append((src, dst, far, nodes))
+        return pd.DataFrame(out, columns=["src", "dst", "distance", "nodes"]).astype({"src": "int64", "dst": "int64", "distance": "float64"})
+
+    asked = pairs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct()
+    own = costs.select(F.col("dst").cast("long").alias("dst"), "coord", F.col("w").cast("double").alias("w"))
+    return asked.groupBy("dst").cogroup(own.groupBy("dst")).applyInPandas(run, "src long, dst long, distance double, nodes array<long>")
+
+
 def relational_distances(arcs: DataFrame, metric: DataFrame, sources: DataFrame, rounds: int = 100) -> DataFrame:
     """(source, node, distance) from each source by repeated joins and minima, until nothing changes; for small graphs."""
     w = arcs.join(metric, "coord").select("prev", "next", "w").persist()

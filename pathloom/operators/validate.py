@@ -155,3 +155,24 @@ def record_faults(records: DataFrame, edges: str, min_edges: int, sample_id: str
     n = F.count("*").over(Window.partitionBy(sample_id))
     fault = F.when(i.isNull() | (F.trim(i) == ""), "blank_id").when(i.rlike(r"[\x00-\x1f\x7f-\x9f]"), "control_character").when(F.coalesce(F.size(e), F.lit(-1)) < min_edges, "too_few_edges").when(F.exists(e, lambda x: x.isNull() | (x < 0) | (x > MAX_ID)), "edge_out_of_range").when(n > 1, "duplicate_id")
     return records.select(i.alias(sample_id), fault.alias("fault")).where("fault is not null")
+
+
+def endpoint_faults(queries: DataFrame, nodes: int) -> DataFrame:
+    """(qid, fault) of queries whose ``sources`` and ``targets``, arrays of (node, offset), can't be routed."""
+    both = F.concat("sources", "targets")
+    empty = F.coalesce((F.size("sources") < 1) | (F.size("targets") < 1), F.lit(True))
+    outside = F.exists(both, lambda x: F.coalesce((x["node"] < 0) | (x["node"] >= nodes), F.lit(True)))
+    moved = F.exists(both, lambda x: F.coalesce(x["offset"] != 0, F.lit(True)))
+    fault = F.when(empty, "empty").when(outside, "out_of_range").when(moved, "nonzero_offset")
+    return queries.select("qid", fault.alias("fault")).where("fault is not null")
+
+
+def artifact_faults(arcs: DataFrame, artifact: DataFrame) -> DataFrame:
+    """(coord, fault) where an artifact (coord, prev, next, initial) differs from the rebuilt line graph (coord, prev, next, w0).
+
+    Baselines must be the same number; one that isn't a number differs from all others.
+    """
+    g = arcs.select("coord", F.struct("prev", "next").alias("g"), F.col("w0").cast("double").alias("w0"))
+    a = artifact.select("coord", F.struct("prev", "next").alias("a"), F.col("initial").cast("double").alias("initial"))
+    fault = F.when(F.col("g").isNull(), "unknown").when(F.col("a").isNull(), "missing").when(F.col("g") != F.col("a"), "transition").when(~F.col("w0").eqNullSafe(F.col("initial")), "baseline")
+    return g.join(a, "coord", "full").select("coord", fault.alias("fault")).where("fault is not null")

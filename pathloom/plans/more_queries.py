@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import archive
-from ..operators import evaluate, fit, graph, paths, predict, shortcuts, stats, validate
+from ..functions import archive, scalar
+from ..operators import evaluate, fit, graph, paths, predict, reports, shortcuts, stats, validate
 from ..schema import FitOptions
 from ..sources import records
 from . import harness
@@ -153,14 +153,19 @@ def random_walks(spark, sf_dir):
     return predict.walks(_edges(spark).select(F.col("edge_id").alias("edge")), _arcs(spark), 10, 2, p=0.5, q=2.0, seed=7).select("walk", F.array_join("edges", ",").alias("edges"))
 
 
-@query()
+# Every least cost: paths of up to 256 arcs, as many as there are edges.
+FAR = DIST + "".join(f", d{i} AS (SELECT x.a, y.b, min(x.w + y.w) AS w FROM d{i - 1} x JOIN d{i - 1} y ON x.b = y.a GROUP BY x.a, y.b)" for i in range(6, 9))
+
+
+@query(FAR + """, v AS (SELECT n.anchor, e.edge_id AS node, coalesce(CAST(1 AS DOUBLE) / (d.w + 1), 0) AS v FROM (SELECT unnest([0, 77, 200]) AS anchor) n CROSS JOIN edges e LEFT JOIN d8 d ON d.a = n.anchor AND d.b = e.edge_id)
+SELECT node, CAST(anchor AS BIGINT) AS anchor, round((v - avg(v) OVER (PARTITION BY anchor)) / stddev_pop(v) OVER (PARTITION BY anchor), 9) AS value FROM v""")
 def anchor_features(spark, sf_dir):
     arcs = _arcs(spark)
     ends = _edges(spark).select(F.col("edge_id").alias("node"))
     asked = spark.createDataFrame([(a * 1000 + t, [a], [t]) for a in (0, 77, 200) for t in range(256)], "qid long, sources array<long>, targets array<long>")
     found = paths.DijkstraOracle().shortest_paths(arcs, predict.length_metric(arcs), asked)
     d = found.select(F.expr("qid div 1000").alias("source"), (F.col("qid") % 1000).alias("node"), "distance")
-    return predict.anchor_features(d, ends)
+    return predict.anchor_features(d, ends).withColumn("value", F.round("value", 9))
 
 
 @query()
@@ -213,7 +218,8 @@ def shortcut_expand(spark, sf_dir):
     return shortcuts.expand(routes, _arcs(spark), shortcuts.medoids(found)).select("sample_id", F.array_join("edges", ",").alias("edges"))
 
 
-@query()
+@query(FAR + SC + """ SELECT d.a AS src, d.b AS dst, CAST(d.w AS BIGINT) AS distance FROM d8 d
+WHERE d.a % 3 = 0 AND d.b % 3 = 0 AND d.a <> d.b AND NOT EXISTS (SELECT 1 FROM var v WHERE v.src = d.a AND v.dst = d.b)""")
 def shortcut_completion(spark, sf_dir):
     _, active, found = _mined(spark, sf_dir)
     arcs = _arcs(spark)
@@ -286,3 +292,89 @@ def weighted_bucket_mean(spark, sf_dir):
 @query(" SELECT count(*) AS faults FROM (SELECT 1) WHERE false")
 def model_validation(spark, sf_dir):
     return validate.model_faults(_arcs(spark).withColumn("weight", F.col("w0"))).agg(F.count("*").alias("faults"))
+
+
+@query(DIST + ENDS + " SELECT DISTINCT fe.s AS src, le.t AS dst, round(d5.w * (1 + le.t % 3 / CAST(2 AS DOUBLE)) / 1000, 6) AS distance FROM fe JOIN le ON fe.k = le.k JOIN d5 ON d5.a = fe.s AND d5.b = le.t")
+def real_cost_distances(spark, sf_dir):
+    """Each destination weighs all arcs by a factor of its own."""
+    e, arcs = F.col("edges"), _arcs(spark)
+    pairs = _good(spark, sf_dir).select(F.element_at(e, 1).alias("src"), F.element_at(e, -1).alias("dst")).distinct()
+    costs = arcs.crossJoin(F.broadcast(_edges(spark).select(F.col("edge_id").alias("dst"))))  # 1,024 arcs, 256 edges
+    costs = costs.select("dst", "coord", (F.col("w0") * (1 + F.col("dst") % 3 / 2) / 1000).alias("w"))
+    return paths.real_cost_paths(arcs, costs, pairs).select("src", "dst", F.round("distance", 6).alias("distance"))
+
+
+@query(""", q AS (SELECT k, max(CASE WHEN pos = 1 THEN edge_id END) AS s, max(CASE WHEN pos = n THEN edge_id END) AS t FROM trip GROUP BY k)
+SELECT k AS qid, CASE WHEN k % 11 = 0 THEN 'empty' WHEN s >= 250 OR t >= 250 THEN 'out_of_range' ELSE 'nonzero_offset' END AS fault FROM q WHERE k % 11 = 0 OR s >= 250 OR t >= 250 OR k % 7 = 0""")
+def endpoint_validation(spark, sf_dir):
+    """Ends of trips in a network said to have 250 nodes; some queries lack targets or start within an edge."""
+    k, e = F.col("k"), F.col("edges")
+    at = lambda node, offset: F.array(F.struct(node.alias("node"), offset.cast("long").alias("offset")))
+    last = at(F.element_at(e, -1), F.lit(0))
+    asked = _good(spark, sf_dir).select(k.alias("qid"), at(F.element_at(e, 1), (k % 7 == 0).cast("int")).alias("sources"), F.when(k % 11 == 0, F.slice(last, 1, 0)).otherwise(last).alias("targets"))
+    return validate.endpoint_faults(asked, 250)
+
+
+@query(""", a AS (SELECT coord, prev, CASE WHEN coord % 31 = 0 THEN next + 1 ELSE next END AS next, CASE WHEN coord % 10 = 0 THEN w0 + 1 ELSE w0 END AS initial FROM arcs WHERE coord % 97 <> 0 UNION ALL SELECT 5000, 1, 2, 1)
+SELECT coalesce(g.coord, a.coord) AS coord, CASE WHEN g.coord IS NULL THEN 'unknown' WHEN a.coord IS NULL THEN 'missing' WHEN a.next <> g.next THEN 'transition' ELSE 'baseline' END AS fault
+FROM arcs g FULL JOIN a ON g.coord = a.coord WHERE g.coord IS NULL OR a.coord IS NULL OR a.next <> g.next OR a.initial <> g.w0""")
+def artifact_validation(spark, sf_dir):
+    """A damaged artifact of the derived network against its line graph."""
+    arcs, c = _arcs(spark), F.col("coord")
+    made = arcs.where(c % 97 != 0).select("coord", "prev", F.when(c % 31 == 0, F.col("next") + 1).otherwise(F.col("next")).alias("next"), F.when(c % 10 == 0, F.col("w0") + 1).otherwise(F.col("w0")).alias("initial"))
+    more = spark.createDataFrame([(5000, 1, 2, 1.0)], "coord long, prev long, next long, initial double")
+    return validate.artifact_faults(arcs, made.unionByName(more))
+
+
+def _attempts(spark, sf_dir):
+    """Each order is an attempt at its customer's task; some are lost."""
+    o, k = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
+    return o.select(F.col("o_custkey").alias("task"), k.alias("attempt"), F.col("o_totalprice").alias("wall"), (F.col("o_totalprice") / 2).alias("user"), (F.col("o_totalprice") / 8).alias("system"), (k % 1000).alias("peak_kib"), (k % 3).cast("int").alias("exit"), (k % 13 == 0).alias("lost"))
+
+
+@query(""", t AS (SELECT o_custkey AS task, o_orderkey AS a, o_totalprice AS w, o_orderkey % 13 = 0 AS lost, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AS last FROM orders),
+s AS (SELECT task, count(*) AS attempts, count(*) FILTER (WHERE lost) AS lost_attempts, coalesce(sum(w) FILTER (WHERE NOT lost), 0) AS known, max(w) FILTER (WHERE last AND NOT lost) AS final, max(a % 1000) FILTER (WHERE NOT lost) AS peak_kib, CAST(max(a % 3) FILTER (WHERE last AND NOT lost) AS INTEGER) AS exit FROM t GROUP BY task)
+SELECT task, attempts, lost_attempts, lost_attempts = 0 AS timing_complete, CASE WHEN lost_attempts = 0 THEN round(known, 2) END AS wall, round(known, 2) AS known_wall, round(final, 2) AS final_wall, round(known - coalesce(final, 0), 2) AS wasted, round(known / 2, 4) AS "user", round(known / 8, 6) AS system, peak_kib, exit FROM s""")
+def attempt_timing(spark, sf_dir):
+    found = reports.attempt_timing(_attempts(spark, sf_dir))
+    return found.withColumns({c: F.round(c, d) for c, d in (("wall", 2), ("known_wall", 2), ("final_wall", 2), ("wasted", 2), ("user", 4), ("system", 6))})
+
+
+@query(" SELECT count(*) AS samples, round(avg(o_totalprice), 6) AS mean_seconds, round(count(*) / sum(o_totalprice), 12) AS per_second, round(avg(o_totalprice / 2), 6) AS mean_user, round(sum(o_totalprice / 2), 2) AS sum_user FROM orders")
+def prediction_throughput(spark, sf_dir):
+    found = reports.throughput(_attempts(spark, sf_dir).withColumnRenamed("wall", "seconds"), ["user"])
+    return found.withColumns({c: F.round(c, d) for c, d in (("mean_seconds", 6), ("per_second", 12), ("mean_user", 6), ("sum_user", 2))})
+
+
+@query(""", s AS (SELECT k % 5 AS run, k // 500 AS shard, count(*) AS n, sum(n) AS seconds FROM good GROUP BY 1, 2), w AS (SELECT run, shard, sum(n) OVER r AS done, sum(n) OVER (PARTITION BY run) AS total, sum(seconds) OVER r AS spent FROM s WINDOW r AS (PARTITION BY run ORDER BY shard))
+SELECT run, shard, CAST(done AS BIGINT) AS done, CAST(total AS BIGINT) AS total, round(CAST(done AS DOUBLE) / total, 9) AS share, round(CAST(spent AS DOUBLE) / done * (total - done), 6) AS remaining FROM w""")
+def shard_progress(spark, sf_dir):
+    shards = _good(spark, sf_dir).groupBy((F.col("k") % 5).alias("run"), F.expr("k div 500").alias("shard")).agg(F.count("*").alias("n"), F.sum(F.size("edges")).alias("seconds"))
+    return reports.progress(shards).withColumns({"share": F.round("share", 9), "remaining": F.round("remaining", 6)})
+
+
+@query(" SELECT k, n FROM good ORDER BY k LIMIT 100")
+def latency_sample(spark, sf_dir):
+    """The hundred trips whose prediction would be timed; the limit is the feature."""
+    return reports.latency_sample(_good(spark, sf_dir).select("k", F.size("edges").cast("long").alias("n")), 100, "k")
+
+
+@query(" SELECT k % 5 AS bucket, count(*) AS n, round(quantile_cont(CAST(n * 10 + k % 7 AS DOUBLE), 0.5), 6) AS median, round(quantile_cont(CAST(n * 10 + k % 7 AS DOUBLE), 0.9), 6) AS p90, round(quantile_cont(CAST(n * 10 + k % 7 AS DOUBLE), 0.99), 6) AS p99 FROM good GROUP BY 1")
+def trip_durations(spark, sf_dir):
+    own = _good(spark, sf_dir).select((F.col("k") % 5).alias("bucket"), (F.size("edges") * 10 + F.col("k") % 7).alias("seconds"))
+    found = reports.percentiles(own, "seconds", {"median": 0.5, "p90": 0.9, "p99": 0.99}, ["bucket"])
+    return found.withColumns({c: F.round(c, 6) for c in ("median", "p90", "p99")})
+
+
+@query(PRED + """, g AS (SELECT k % 4 AS model, k % 7 AS epoch, round(avg(exact_match), 2) AS accuracy, round(1 - avg(edge_f1), 2) AS loss FROM scored GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY accuracy DESC, loss, epoch) AS r FROM g) SELECT model, epoch, accuracy, loss FROM r WHERE r = 1""")
+def checkpoint_choice(spark, sf_dir):
+    own = _metrics(spark, sf_dir).withColumn("k", F.split_part("sample_id", F.lit(":"), F.lit(2)).cast("long"))
+    g = own.groupBy((F.col("k") % 4).alias("model"), (F.col("k") % 7).alias("epoch")).agg(F.round(F.avg("exact_match"), 2).alias("accuracy"), F.round(1 - F.avg("edge_f1"), 2).alias("loss"))
+    return reports.chosen_checkpoint(g, ["model"])
+
+
+@query(", x AS (SELECT CAST(k % 41 - 20 AS DOUBLE) AS x, k % 2 AS y, 1 + k % 3 AS w FROM good) SELECT round(avg(w * (greatest(x, 0) - x * y + ln(1 + exp(-abs(x))))), 6) AS loss FROM x")
+def candidate_loss(spark, sf_dir):
+    k = F.col("k")
+    return _good(spark, sf_dir).agg(F.round(F.avg(scalar.weighted_bce((k % 41 - 20).cast("double"), k % 2, 1 + k % 3)), 6).alias("loss"))

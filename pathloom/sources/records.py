@@ -7,6 +7,7 @@ import io
 import json
 import pickle
 import re
+from functools import reduce
 from pathlib import Path, PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,6 +150,14 @@ def receipt(text: str) -> dict:
     return d
 
 
+def receipt_text(method: str, version: str, dataset_id: str, manifest_sha256: str, configuration: dict, revision: str, environment: dict, schema: str = "run-receipt/v1", records: str = "prediction-record/v1") -> str:
+    """A run's receipt as text that ``receipt`` accepts."""
+    d = {"schema": schema, "method": {"name": method, "version": version}, "dataset_id": dataset_id, "dataset_manifest_sha256": manifest_sha256, "prediction_records_schema": records, "configuration": configuration, "source_revision": revision, "environment": environment}
+    text = json.dumps(d, indent=2, allow_nan=False) + "\n"
+    receipt(text)
+    return text
+
+
 def config(text: str) -> tuple[dict, FitOptions, dict]:
     """(dataset paths, options, runtime) of a training configuration."""
     d = exact(strict_json(text), {"schema_version", "dataset", "fit", "runtime"}, "configuration")
@@ -179,6 +188,36 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def artifact_files(spark: SparkSession, roles: dict[str, str]) -> DataFrame:
+    """(role, path, bytes, sha256) of an artifact's files, given as path by role; files are hashed where they are read."""
+    parts = [file_hashes(spark, path).select(F.lit(role).alias("role"), "path", "bytes", "sha256") for role, path in sorted(roles.items())]
+    if not parts:
+        raise ValueError("an artifact without files")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def expanded(text: str, variables: dict[str, str]) -> str:
+    """``text`` with each ``${NAME}`` replaced, also in what is put in; unknown names and circles are errors."""
+    for _ in range(10):
+        before, text = text, re.sub(r"\$\{([A-Za-z_][A-Za-z0-9_]*)\}", lambda m: variables[m.group(1)], text)
+        if text == before:
+            return text
+    raise ValueError("variables go in a circle")
+
+
+def lacking_fields(document: dict, wanted: dict) -> list[str]:
+    """The dotted keys of ``wanted`` whose values a document lacks or has otherwise."""
+    def at(key):
+        value = document
+        for part in key.split("."):
+            if not isinstance(value, dict) or part not in value:
+                return False, None
+            value = value[part]
+        return True, value
+
+    return [k for k, v in wanted.items() if at(k) != (True, v)]
+
+
 def canonical_sha256(document) -> str:
     return hashlib.sha256(json.dumps(document, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
