@@ -304,6 +304,25 @@ def test_rollout_and_walks(spark):
     assert len(first) == 9 and first == sorted(map(tuple, predict.walks(starts.repartition(2), arcs, 5, 3, seed=1).select("walk", F.array_join("edges", ",")).collect()))
 
 
+def test_rollouts_with_the_same_ends_share_a_walk(spark):
+    arcs = spark.createDataFrame([(-1, 7), (7, 3), (7, 5), (3, 9), (5, 9), (9, -1), (9, 4)], "prev long, next long")
+    asked = spark.createDataFrame([(f"{k}:{s}:{d}", s, d) for k in range(300) for s, d in ((-1, 4), (7, 5), (8, 4), (4, 4))], "sample_id string, src long, dst long")
+
+    def scorer(at, candidate, destination):
+        if len(at) > 50:
+            raise ValueError("a walk is made again for each query")
+        return np.where(candidate == 3, np.nan, np.where(at == 9, 0.0, candidate == destination))
+
+    def found(**options):
+        rows = predict.rollout(asked.coalesce(1), arcs, scorer, **options).collect()
+        assert len(rows) == len({r["sample_id"] for r in rows}) == 1200
+        return {tuple(map(int, r["sample_id"].split(":")[1:])): r["edges"] for r in rows}
+
+    assert found() == {(-1, 4): [-1, 7, 5, 9], (7, 5): [7, 5], (8, 4): [8], (4, 4): [4]}  # -1 ties with 4, and was seen
+    assert found(cap=6, revisit=True)[-1, 4] == [-1, 7, 5, 9, -1, 7]
+    assert found(cap=2)[-1, 4] == [-1, 7] and found(cap=1)[7, 5] == [7]
+
+
 def test_parallel(spark):
     _, edges = net(spark, [0, 0, 1], [1, 1, 2], [5, 2, 3])
     assert {(r["head"], r["tail"]): r["weight"] for r in graph.parallel_minimum(edges).collect()} == {(1, 0): 2, (2, 1): 3}
