@@ -411,15 +411,26 @@ def _with_component(members: DataFrame, parts: DataFrame | None) -> DataFrame:
     return members.join(parts.withColumnRenamed("component", "_c"), "node", "left").withColumn("component", F.coalesce("_c", "node")).drop("_c")
 
 
+def _sets_of(members: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Of ``sets`` the rows whose node may be among ``members`` (node, ...), with ``columns`` or else with all.
+
+    They are picked where they lie: a join by node would shuffle the sets of all nodes to meet a few.
+    """
+    own = sets.select(*(columns or ("node", "n", "map", "hashes")))
+    return thinned(own, F.col("node"), members.select("node").distinct())
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, parts: DataFrame | None, threshold: Fraction, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Links among each leader ``u`` and its ``v``, in blocks that all hold the leader; and (node, leader, block) of each v.
 
-    A block is compared whole. ``parts`` (node, component) tells what is joined already.
+    A block is compared whole. ``parts`` (node, component) tells what is joined already. Of ``sets`` only those of the
+    pairs are shuffled.
     """
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
     sized = pairs.join(pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "u")
     sized = sized.select(F.col("u").alias("leader"), F.pmod(F.xxhash64("v", F.lit(seed)), F.col("blocks")).cast("int").alias("block"), F.col("v").alias("node"))
     heads = sized.select("leader", "block").distinct().select("leader", "block", F.col("leader").alias("node"))
-    groups = _with_component(sized.union(heads), parts).join(sets.select("node", "n", "map", "hashes"), "node")
+    groups = _with_component(sized.union(heads), parts).join(_sets_of(asked, sets), "node")
     return cut(groups.groupBy("leader", "block").applyInArrow(_links(threshold), "u long, v long")), sized
 
 
@@ -526,9 +537,9 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, width: int, threshold: Fr
     units, pairs = _units(_canopies(rest.select("key", "node", "component")))
     sides = units.join(pairs, ["canopy", "unit"]).select("canopy", "unit", "unit2", "node", "component").union(units.withColumnRenamed("unit", "unit2").join(pairs.where("unit <> unit2"), ["canopy", "unit2"]).select("canopy", "unit", "unit2", "node", "component"))
     at = ["canopy", "unit", "unit2"]
-    maybe = cut(sides.join(sets.select("node", "n", "map"), "node").groupBy(*at).applyInArrow(_candidates(threshold), "canopy long, unit long, unit2 long, node long"))
+    maybe = cut(sides.join(_sets_of(units, sets, "node", "n", "map"), "node").groupBy(*at).applyInArrow(_candidates(threshold), "canopy long, unit long, unit2 long, node long"))
     if not maybe.isEmpty():
-        more = cut(_with_component(maybe, parts).join(sets.select("node", "n", "map", "hashes"), "node").groupBy(*at).applyInArrow(_links(threshold), "u long, v long"))
+        more = cut(_with_component(maybe, parts).join(_sets_of(maybe, sets), "node").groupBy(*at).applyInArrow(_links(threshold), "u long, v long"))
         parts = connected_components(links.union(more))
     drop(rest, units, pairs, maybe, sets)
 

@@ -66,6 +66,33 @@ def near_copies():
     return out
 
 
+def test_jaccard_shuffles_only_sets_of_the_pairs(spark):
+    """A round that compares one pair of 4,000 sets moves these two; all would be 5 MB."""
+    store, no_quantiles = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written():
+        stages = store.stageList(None, False, False, no_quantiles, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    rng = np.random.default_rng(5)
+    own = [np.unique(rng.integers(0, 1 << 63, 150, np.uint64)) for _ in range(4000)]
+    own[9] = own[7][1:]
+    rows = [(i, len(h), bytearray(jaccard.bitmap(h).tobytes()), bytearray(h.tobytes())) for i, h in enumerate(own)]
+    stored = jaccard.cut(spark.createDataFrame(rows, "node long, n long, map binary, hashes binary"))
+    pairs = spark.createDataFrame([(7, 9)], "u long, v long")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        links, _ = jaccard._verified(pairs, stored, None, Fraction(9, 10))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert [tuple(r) for r in links.collect()] == [(7, 9)]
+    assert 0 < moved < 1_000_000
+
+
 @pytest.mark.parametrize("width,t", [(3, Fraction(9, 10)), (5, Fraction(4, 5))])
 def test_jaccard(spark, docs, width, t):
     texts = near_copies() | {10_000 + i: x for i, x in docs.text.items()}
