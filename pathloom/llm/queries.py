@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import forest, jaccard, langid, licences, mixing, packing, pivots, quality, sharding, urls
+from . import divergence, forest, infill, jaccard, langid, licences, mixing, packing, pivots, quality, sharding, urls
 
 QUERIES = {
     "op7_temporal_url_list": urls.url_query,
@@ -15,8 +15,12 @@ QUERIES = {
     "op2_hilbert_shards": sharding.shard_query,
     "op4_pack_windows": packing.pack_query,
     "op9_mix_sources": mixing.mix_query,
+    "op11_infill_units": infill.infill_query,
+    "op12_source_divergence": divergence.divergence_query,
 }
 
 ORACLES: dict[str, str] = {
     "op7_temporal_url_list": urls.URL_SQL,
+    "op11_infill_units": infill.INFILL_SQL,
+    "op12_source_divergence": divergence.DIVERGENCE_SQL,
 }
