@@ -75,10 +75,10 @@ def infill(docs: DataFrame, keep: float = 0.9, spm: float = 0.2, block: int = BL
     """doc_id, n, form, prefix, middle, suffix and output of every row of ``docs`` (doc_id, text).
 
     ``keep`` is the share of texts that is cut at all, ``spm`` the share of these whose suffix comes first; both are
-    taken in whole hundredths, and the draws follow from the id alone, so reruns agree. A null text counts as empty. An empty text, and one that
-    holds a mark, stays plain: its parts are null and its output is the text. Nulls of ``doc_id`` draw alike. Repeated
-    rows are answered one by one. Texts of any length are cut whole; equal draws leave the middle empty. Other columns,
-    whatever their names, are not read, and an empty table gives no rows.
+    taken in whole hundredths, and the draws follow from the id alone, so reruns agree. A null text counts as empty. An
+    empty text, and one that holds a mark, stays plain: its parts are null and its output is the text. Rows without an id
+    draw alike. Repeated rows are answered one by one. Texts of any length are cut whole; equal draws leave the middle
+    empty. Other columns, whatever their names, are not read, and an empty table gives no rows.
     """
     planned = _planned(docs, keep, spm)
     rows = planned.join(_offsets(planned, block).hint("shuffle_hash"), KEY, "left")

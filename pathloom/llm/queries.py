@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence, forest, infill, jaccard, langid, licences, mixing, packing, pivots, quality, sharding, urls
+from . import divergence, extract, forest, infill, jaccard, langid, licences, mixing, packing, pivots, quality, sharding, urls
 
 QUERIES = {
     "op7_temporal_url_list": urls.url_query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_mix_sources": mixing.mix_query,
     "op11_infill_units": infill.infill_query,
     "op12_source_divergence": divergence.divergence_query,
+    "op13_min_cut_extract": extract.extract_query,
 }
 
 ORACLES: dict[str, str] = {
