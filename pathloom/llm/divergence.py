@@ -34,12 +34,12 @@ def counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, n) of kept terms and (lang, source) of all groups, written to the shared folder."""
     lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    terms = rows.select("lang", "source", F.split(lower, BETWEEN).alias("t"))
-    # Occurrences and documents of a term are summed in one shuffle, each reduced where it lies first.
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    seen = terms.select("lang", "source", F.explode("t").alias("term"), one.alias("n"), none.alias("docs"))
-    held = terms.select("lang", "source", F.explode(F.array_distinct("t")).alias("term"), none.alias("n"), one.alias("docs"))
-    sums = cut(seen.union(held).where("term <> ''").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    terms = rows.select("lang", "source", F.sort_array(F.split(lower, BETWEEN)).alias("t"))
+    # In a sorted row the first of equal terms counts its document, so that one pass and one shuffle give both sums.
+    seen = terms.select("lang", "source", "t", F.posexplode("t").alias("pos", "term")).where("term <> ''")
+    first = (F.col("pos") == 0) | (F.get("t", F.col("pos") - 1) != F.col("term"))
+    seen = seen.select("lang", "source", "term", first.cast("long").alias("first"))
+    sums = cut(seen.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs")))
     kept = sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term")
     found = cut(sums.join(kept, ["lang", "term"]).select("lang", "source", "term", "n"))
     drop(sums)

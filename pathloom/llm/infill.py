@@ -1,25 +1,24 @@
 """Fill-in-the-middle by relations: units, running sums of their lengths, cuts joined by unit ordinal, substrings.
 
-A text is a row of units, runs of letters or single other characters. Where a cut falls in a text follows from running
-sums of unit lengths. They are taken on two levels, so that what is shuffled stays far below the text: sums of blocks of
-units are combined before the shuffle, and single units travel for the blocks alone that a cut falls into, at most two a
-document.
+A text is a row of units, runs of letters or single other characters. The relations of a document never leave the task
+that holds its text: in Arrow batches units become rows of an array, their lengths are summed along, two cut requests a
+document meet them by ordinal, and the offsets go back beside the text, where Spark takes the substrings. Nothing is
+shuffled. (As exploded rows with windows and joins the texts have to be shuffled to their offsets; see the README.)
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-UNIT = "[A-Za-z]+|[^A-Za-z]"
 MARKS = ("<P>", "<S>", "<M>")
-#: Between two units, and never within a pair of surrogates: splitting here gives the units of a text that has any, in
-#: time in proportion to it, which Spark's extraction of all matches doesn't.
-BETWEEN = r"(?!\z)(?![\udc00-\udfff])(?:(?<=[^A-Za-z])|(?=[^A-Za-z]))"
-#: Units of a block: about as many as a common text has blocks.
-BLOCK = 32
-KEY = ["_g", "_h"]
+#: Characters of the texts whose units are held at a time, but for a longer single text.
+HELD = 1 << 20
 
 
 def draws(doc_id: Column) -> list[Column]:
@@ -28,48 +27,45 @@ def draws(doc_id: Column) -> list[Column]:
     return [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]
 
 
-def _planned(docs: DataFrame, keep: float, spm: float) -> DataFrame:
-    """docs with n, form and the unit ordinals _a <= _b behind which the cuts fall, and the key (_g, _h) of a row."""
-    h1, h2, h3, h4 = draws(F.col("doc_id"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    out = out.withColumn("n", F.regexp_count("text", F.lit(UNIT)).cast("long"))
-    marked = F.lit(False)
-    for m in MARKS:
-        marked = marked | F.contains("text", F.lit(m))
-    plain = (F.col("text") == "") | marked | (h3 % 100 >= round(100 * keep))
-    form = F.when(plain, "plain").when(h4 % 100 < round(100 * spm), "spm").otherwise("psm")
-    x, y = h1 % (F.col("n") + 1), h2 % (F.col("n") + 1)
-    # Rows of one id and one text have the same cuts, so the key may hold several rows.
-    key = {"_g": F.xxhash64("doc_id", "text"), "_h": F.xxhash64("text", F.lit(1))}
-    return out.withColumns({"form": form, "_a": F.least(x, y), "_b": F.greatest(x, y)} | key)
-
-
-def _offsets(planned: DataFrame, block: int) -> DataFrame:
-    """(key, a_chars, b_chars): characters before both cuts, for every row that has a cut behind its first unit."""
-    cuts = planned.where("form <> 'plain' and _b > 0").withColumn("_u", F.split("text", BETWEEN))
-
-    # What the blocks before one hold. Copies of a row are summed along with it and divided out.
-    units = cuts.select(*KEY, "_b", F.posexplode("_u").alias("pos", "unit")).where("pos < _b")
-    units = units.select(*KEY, F.expr(f"pos div {block}").alias("block"), F.expr(f"least({block}, _b - {block} * (pos div {block}))").alias("held"), F.char_length("unit").alias("size"))
-    blocks = units.groupBy(*KEY, "block", "held").agg(F.expr("sum(size) * held div count(*)").alias("size"))
-    before = F.sum("size").over(Window.partitionBy(*KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.select(*KEY, "block", F.coalesce(before, F.lit(0)).alias("before"))
-
-    # The units of the blocks that a cut falls into, as far as the cut, and where each ends in its block.
-    sides = F.array(F.struct(F.lit("a").alias("side"), F.col("_a").alias("ordinal")), F.struct(F.lit("b").alias("side"), F.col("_b").alias("ordinal")))
-    requests = cuts.select(*KEY, "_u", F.explode(sides).alias("r")).select(*KEY, "_u", "r.side", "r.ordinal", F.expr(f"(r.ordinal - 1) div {block}").alias("block")).where("ordinal > 0")
-    own = F.slice("_u", (F.col("block") * block + 1).cast("int"), (F.col("ordinal") - F.col("block") * block).cast("int"))
-    near = requests.select(*KEY, "block", F.posexplode(F.transform(own, lambda u: F.char_length(u))).alias("pos", "size")).groupBy(*KEY, "block", "pos").agg(F.max("size").alias("size"))
-    inside = F.sum("size").over(Window.partitionBy(*KEY, "block").orderBy("pos"))
-    near = near.select(*KEY, "block", (F.col("block") * block + F.col("pos") + 1).alias("ordinal"), inside.alias("inside"))
-
-    found = requests.select(*KEY, "side", "ordinal").distinct().join(near, [*KEY, "ordinal"]).join(blocks, [*KEY, "block"])
-    at = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("before") + F.col("inside"))), F.lit(0))
-    return found.groupBy(*KEY).agg(at("a").alias("_a_chars"), at("b").alias("_b_chars"))
-
-
-def infill(docs: DataFrame, keep: float = 0.9, spm: float = 0.2, block: int = BLOCK) -> DataFrame:
+def unit_ends(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Units of texts whose code points follow each other: how many each text has, and the characters up to each unit's end, by text."""
+    letter = ((codes | 0x20) >= ord("a")) & ((codes | 0x20) <= ord("z"))
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    begins = np.ones(len(codes), bool)
+    begins[1:] = ~(letter[1:] & letter[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(begins)
+    lengths = np.diff(np.append(first, len(codes)))
+    counts = np.bincount(text[first], minlength=len(sizes))
+    before = np.concatenate(([0], np.cumsum(sizes)))[:-1]  # characters of the texts before
+    return counts, np.cumsum(lengths) - np.repeat(before, counts)
+
+
+def _offsets(texts: list[str], h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n, and the characters before the two cuts, of each text."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    counts, ends = unit_ends(codes, sizes)
+    n, first = counts.astype(np.int64), np.concatenate(([0], np.cumsum(counts)))[:-1]
+    requests = np.sort(np.stack((h1 % (n + 1), h2 % (n + 1))), axis=0)
+    found = [np.where(r > 0, np.append(ends, 0)[first + r - 1], 0) for r in requests]  # request r meets the r-th unit of its text
+    return n, *found
+
+
+def _planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, h1, h2, h3, h4) to (doc_id, text, n, a, b, h3, h4), as many texts at a time as HELD allows."""
+    names = ["doc_id", "text", "n", "a", "b", "h3", "h4"]
+    for batch in batches:
+        sizes = np.asarray(pa.compute.utf8_length(batch["text"]))
+        part = np.cumsum(sizes) // HELD
+        for at in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(part)) + 1):
+            if len(at):
+                own = batch.slice(at[0], len(at))
+                found = _offsets(own["text"].to_pylist(), np.asarray(own["h1"]), np.asarray(own["h2"]))
+                columns = [own["doc_id"], own["text"], *(pa.array(x, pa.int64()) for x in found), own["h3"], own["h4"]]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def infill(docs: DataFrame, keep: float = 0.9, spm: float = 0.2) -> DataFrame:
     """doc_id, n, form, prefix, middle, suffix and output of every row of ``docs`` (doc_id, text).
 
     ``keep`` is the share of texts that is cut at all, ``spm`` the share of these whose suffix comes first; both are
@@ -78,9 +74,15 @@ def infill(docs: DataFrame, keep: float = 0.9, spm: float = 0.2, block: int = BL
     draw alike. Repeated rows are answered one by one. Texts of any length are cut whole; equal draws leave the middle
     empty. Other columns, whatever their names, are not read, and an empty table gives no rows.
     """
-    planned = _planned(docs, keep, spm)
-    rows = planned.join(_offsets(planned, block).hint("shuffle_hash"), KEY, "left")
-    a, b = (F.coalesce(f"_{side}_chars", F.lit(0)).cast("int") for side in "ab")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *(h.alias(f"h{i + 1}") for i, h in enumerate(draws(F.col("doc_id")))))
+    rows = own.mapInArrow(_planned, "doc_id long, text string, n long, a long, b long, h3 long, h4 long")
+    marked = F.lit(False)
+    for m in MARKS:
+        marked = marked | F.contains("text", F.lit(m))
+    plain = (F.col("text") == "") | marked | (F.col("h3") % 100 >= round(100 * keep))
+    rows = rows.withColumn("form", F.when(plain, "plain").when(F.col("h4") % 100 < round(100 * spm), "spm").otherwise("psm"))
+    a, b = F.col("a").cast("int"), F.col("b").cast("int")
     cut = F.col("form") != "plain"
     prefix = F.when(cut, F.substr("text", F.lit(1), a))
     middle = F.when(cut, F.substr("text", a + 1, b - a))
