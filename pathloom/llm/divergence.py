@@ -31,19 +31,28 @@ def _share(count: Column, total: Column, terms: Column, prior: int) -> Column:
 
 
 def counted(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term, n) of kept terms and (lang, source) of all groups, written to the shared folder."""
+    """(l, g, term, n) of kept terms and (l, g, lang, source) of all groups, written to the shared folder.
+
+    ``l`` and ``g`` are hashes of language and group, narrower keys than their names; two of one hash are an error.
+    """
     lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    terms = rows.select("lang", "source", F.sort_array(F.split(lower, BETWEEN)).alias("t"))
+    keys = F.xxhash64("lang").alias("l"), F.xxhash64("lang", "source").alias("g")
+    groups = rows.select("lang", "source").distinct().select(*keys, "lang", "source")
+    groups = groups.withColumns({"_g": F.count("*").over(Window.partitionBy("g")), "_l": F.min("lang").over(Window.partitionBy("l"))})
+    clash = F.raise_error(F.concat(F.lit("two groups share a hash: "), "lang", F.lit(" "), "source")).cast("long")
+    groups = cut(groups.select("l", F.when((F.col("_g") == 1) & (F.col("_l") == F.col("lang")), F.col("g")).otherwise(clash).alias("g"), "lang", "source"))
+
     # In a sorted row the first of equal terms counts its document, so that one pass and one shuffle give both sums.
-    seen = terms.select("lang", "source", "t", F.posexplode("t").alias("pos", "term")).where("term <> ''")
+    terms = rows.select(*keys, F.sort_array(F.split(lower, BETWEEN)).alias("t"))
+    seen = terms.select("l", "g", "t", F.posexplode("t").alias("pos", "term")).where("term <> ''")
     first = (F.col("pos") == 0) | (F.get("t", F.col("pos") - 1) != F.col("term"))
-    seen = seen.select("lang", "source", "term", first.cast("long").alias("first"))
-    sums = cut(seen.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs")))
-    kept = sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term")
-    found = cut(sums.join(kept, ["lang", "term"]).select("lang", "source", "term", "n"))
+    seen = seen.select("l", "g", "term", first.cast("long").alias("first"))
+    sums = cut(seen.groupBy("l", "g", "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs")))
+    kept = sums.groupBy("l", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("l", "term")
+    found = cut(sums.join(kept, ["l", "term"]).select("l", "g", "term", "n"))
     drop(sums)
-    return found, cut(rows.select("lang", "source").distinct())
+    return found, groups
 
 
 def divergence(docs: DataFrame, least: int = 30, prior: int = 5, top: int = 50) -> DataFrame:
@@ -57,31 +66,32 @@ def divergence(docs: DataFrame, least: int = 30, prior: int = 5, top: int = 50)
     empty table gives no rows.
     """
     counts, groups = counted(docs, least)
-    by_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    sizes = by_lang.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    own = groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
-    own = own.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"))
+    by_lang = cut(counts.groupBy("l", "term").agg(F.sum("n").alias("lang_n")))
+    sizes = by_lang.groupBy("l").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
+    totals = counts.groupBy("g").agg(F.sum("n").alias("total"))
+    own = groups.select("l", "g").join(totals, "g", "left").join(sizes, "l", "left")
+    own = own.select("l", "g", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "v", "lang_total")))
 
     # Groups x vocabulary: a language's groups go to each salt, its terms to one, so that no task holds a language.
     salted = own.where("v > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     vocabulary = by_lang.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int"))
-    grid = vocabulary.join(salted, ["lang", "salt"]).drop("salt").join(counts, ["lang", "source", "term"], "left")
+    grid = vocabulary.join(salted, ["l", "salt"]).drop("salt").join(counts, ["l", "g", "term"], "left")
     n = F.coalesce("n", F.lit(0))
-    dense = cut(grid.select("lang", "source", "term", n.alias("n"), _share(n, F.col("total"), F.col("v"), prior).alias("p"), _share(F.col("lang_n"), F.col("lang_total"), F.col("v"), prior).alias("q")))
-
-    # Each pair is summed once, from the smaller source, and then told from both sides.
-    a = dense.select("lang", "term", "source", "p")
-    b = dense.select("lang", "term", F.col("source").alias("other"), F.col("p").alias("p2"))
-    sums = a.join(b, ["lang", "term"]).where("source < other").groupBy("lang", "source", "other").agg(F.sum(F.abs(F.col("p") - F.col("p2"))).alias("value"))
-    bare = own.where("v = 0").select("lang", "source")
-    alone = bare.join(bare.withColumnRenamed("source", "other"), "lang").where("source < other").withColumn("value", F.lit(0).cast("long"))
+    dense = cut(grid.select("l", "g", "term", n.alias("n"), _share(n, F.col("total"), F.col("v"), prior).alias("p"), _share(F.col("lang_n"), F.col("lang_total"), F.col("v"), prior).alias("q")))
+
+    # Each pair is summed once, from the smaller hash, and then told from both sides.
+    a = dense.select("l", "term", "g", "p")
+    b = dense.select("l", "term", F.col("g").alias("other"), F.col("p").alias("p2"))
+    sums = a.join(b, ["l", "term"]).where("g < other").groupBy("g", "other").agg(F.sum(F.abs(F.col("p") - F.col("p2"))).alias("value"))
+    bare = own.where("v = 0").select("l", "g")
+    alone = bare.join(bare.withColumnRenamed("g", "other"), "l").where("g < other").select("g", "other", F.lit(0).cast("long").alias("value"))
     half = sums.unionByName(alone)
-    pairs = half.union(half.select("lang", F.col("other").alias("source"), F.col("source").alias("other"), "value"))
-    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), "value")
-    terms = dense.where("n > 0 and p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
-    place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    return pairs.withColumn("rank", place).union(terms.withColumn("rank", place).where(F.col("rank") <= top))
+    pairs = half.union(half.select("other", "g", "value"))
+    pairs = pairs.join(groups.select(F.col("g").alias("other"), F.col("source").alias("item")), "other").select("g", F.lit("pair").alias("part"), "item", "value")
+    terms = dense.where("n > 0 and p > q").select("g", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
+    place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("value"), "item"))
+    ranked = pairs.withColumn("rank", place).union(terms.withColumn("rank", place).where(F.col("rank") <= top))
+    return ranked.join(groups.select("g", "lang", "source"), "g").select("lang", "source", "part", "item", "value", "rank")
 
 
 def divergence_query(spark, sf_dir: str) -> DataFrame:
