@@ -141,8 +141,13 @@ class Mix:
         return own.join(plan, key, "left").select(*docs.columns, uses.alias(self.uses))
 
 
+def _members(membership):
+    """The sources of a membership, sorted; a null one is the null source alone."""
+    return F.array_sort(F.array_distinct(F.coalesce(membership, F.array(F.lit(None).cast("string")))))
+
+
 def _key(membership):
-    return F.to_json(F.array_sort(F.array_distinct(membership)))
+    return F.to_json(_members(membership))
 
 
 def _seeded(seed: int, doc_id: str):
@@ -192,11 +197,11 @@ def solve(docs: DataFrame, doc_id: str = "doc_id", size: str = "size", membershi
     """Fit a mix to ``docs`` (id, size in words, array of sources).
 
     Sources are ordered by code point with null last and take ``weights`` in turn. A null membership counts as the null
-    source. Patterns are summed on the cluster; their table, not the documents, comes to the driver, and more than
+    source; documents of an empty one belong to no source and are never taken. Patterns are summed on the cluster; their table, not the documents, comes to the driver, and more than
     ``max_patterns`` of them is an error. Rows with equal ids share one decision. An empty table gives an empty mix.
     """
     membership = F.array("source") if membership is None else membership
-    base = cut(docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("t"), F.col(size).cast("long").alias("size"), F.array_sort(F.array_distinct(F.coalesce(membership, F.array(F.lit(None).cast("string"))))).alias("m"), _key(membership).alias("key"), _seeded(seed, doc_id).alias("u")))
+    base = cut(docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("t"), F.col(size).cast("long").alias("size"), _members(membership).alias("m"), _key(membership).alias("key"), _seeded(seed, doc_id).alias("u")))
     found = base.groupBy("key", "m").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
