@@ -7,8 +7,10 @@ import math
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one key that a task takes at most when they meet the key's table.
 CHUNK = 4096
@@ -61,7 +63,12 @@ def meet(rows: DataFrame, tables: DataFrame, key: str, by: str, run, schema: str
     asked = rows.groupBy(key).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_chunks"))
     own = rows.join(asked, key).withColumn("_chunk", F.pmod(F.xxhash64(by), F.col("_chunks")).cast("int")).drop("_chunks")
     near = tables.join(asked, key).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
-    return own.groupBy(key, "_chunk").cogroup(near.groupBy(key, "_chunk")).applyInPandas(run, schema)
+    names = StructType.fromDDL(schema).names
+
+    def some(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        return run(asked, table) if len(asked) else pd.DataFrame(columns=names)  # a chunk may have no rows
+
+    return own.groupBy(key, "_chunk").cogroup(near.groupBy(key, "_chunk")).applyInPandas(some, schema)
 
 
 def levels_for(n: int, leaf: int, bits: int) -> int:
