@@ -9,7 +9,7 @@ from ..functions import archive, scalar
 from ..operators import evaluate, fit, graph, paths, predict, reports, shortcuts, stats, validate
 from ..schema import FitOptions
 from ..sources import records
-from . import harness
+from . import harness, streets
 from .queries import ARCS, OD, PRED, _arcs, _edges, _good, _metrics, _predicted, query
 
 
@@ -150,27 +150,30 @@ def greedy_rollout(spark, sf_dir):
 
 @query()
 def random_walks(spark, sf_dir):
-    return predict.walks(_edges(spark).select(F.col("edge_id").alias("edge")), _arcs(spark), 10, 2, p=0.5, q=2.0, seed=7).select("walk", F.array_join("edges", ",").alias("edges"))
+    return predict.walks(streets.edges(spark, sf_dir).select(F.col("edge_id").alias("edge")), streets.arcs(spark, sf_dir), 10, 2, p=0.5, q=2.0, seed=7).select("walk", F.array_join("edges", ",").alias("edges"))
 
 
 # Every least cost: paths of up to 256 arcs, as many as there are edges.
 FAR = DIST + "".join(f", d{i} AS (SELECT x.a, y.b, min(x.w + y.w) AS w FROM d{i - 1} x JOIN d{i - 1} y ON x.b = y.a GROUP BY x.a, y.b)" for i in range(6, 9))
 
 
-@query(FAR + """, v AS (SELECT n.anchor, e.edge_id AS node, coalesce(CAST(1 AS DOUBLE) / (d.w + 1), 0) AS v FROM (SELECT unnest([0, 77, 200]) AS anchor) n CROSS JOIN edges e LEFT JOIN d8 d ON d.a = n.anchor AND d.b = e.edge_id)
-SELECT node, CAST(anchor AS BIGINT) AS anchor, round((v - avg(v) OVER (PARTITION BY anchor)) / stddev_pop(v) OVER (PARTITION BY anchor), 9) AS value FROM v""")
+@query(""", anchor AS (SELECT CAST(unnest([0, 77, 200]) AS BIGINT) AS anchor), far(s, node, d) USING KEY (s, node) AS (SELECT anchor, anchor, CAST(0 AS DOUBLE) FROM anchor
+  UNION SELECT f.s, a.next, min(f.d + a.w0) FROM far f JOIN arcs a ON a.prev = f.node LEFT JOIN recurring.far k ON k.s = f.s AND k.node = a.next WHERE k.d IS NULL OR f.d + a.w0 < k.d GROUP BY f.s, a.next),
+v AS (SELECT n.anchor, e.edge_id AS node, coalesce(CAST(1 AS DOUBLE) / (d.d + 1), 0) AS v FROM anchor n CROSS JOIN edges e LEFT JOIN far d ON d.s = n.anchor AND d.node = e.edge_id)
+SELECT node, anchor, round((v - avg(v) OVER (PARTITION BY anchor)) / stddev_pop(v) OVER (PARTITION BY anchor), 9) AS value FROM v""", streets.SQL)
 def anchor_features(spark, sf_dir):
-    arcs = _arcs(spark)
-    ends = _edges(spark).select(F.col("edge_id").alias("node"))
-    asked = spark.createDataFrame([(a * 1000 + t, [a], [t]) for a in (0, 77, 200) for t in range(256)], "qid long, sources array<long>, targets array<long>")
+    arcs = streets.arcs(spark, sf_dir)
+    ends = streets.edges(spark, sf_dir).select(F.col("edge_id").alias("node"))
+    asked = ends.withColumn("a", F.explode(F.array(*(F.lit(a).cast("long") for a in (0, 77, 200)))))
+    asked = asked.select(paths.pair_key("a", "node").alias("qid"), F.array("a").alias("sources"), F.array("node").alias("targets"))
     found = paths.DijkstraOracle().shortest_paths(arcs, predict.length_metric(arcs), asked)
-    d = found.select(F.expr("qid div 1000").alias("source"), (F.col("qid") % 1000).alias("node"), "distance")
+    d = found.select(F.shiftright("qid", 32).alias("source"), F.col("qid").bitwiseAND(F.lit(2**32 - 1)).alias("node"), "distance")
     return predict.anchor_features(d, ends).withColumn("value", F.round("value", 9))
 
 
 @query()
 def contract_graph(spark, sf_dir):
-    _, sparse, cuts = shortcuts.contract_graph(_edges(spark), _arcs(spark), 0.5)
+    _, sparse, cuts = shortcuts.contract_graph(streets.edges(spark, sf_dir), streets.arcs(spark, sf_dir), 0.5)
     return sparse.join(cuts.withColumn("shortcut", F.lit(True)), ["prev", "next"], "left").withColumn("shortcut", F.coalesce("shortcut", F.lit(False)))
 
 
@@ -256,9 +259,9 @@ def shrunk_speeds(spark, sf_dir):
     return v.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("v").alias("s")).crossJoin(F.broadcast(mean)).select("bucket", "n", F.round(archive.shrunk(F.col("s"), F.col("n"), F.col("mean"), 42), 9).alias("speed"))
 
 
-@query(" SELECT max(abs(greatest(round(w0 / 1000), 1.0) - w0 / 1000) / (w0 / 1000)) AS max_relative_error, sum(CASE WHEN round(w0 / 1000) = 0 THEN 1 ELSE 0 END)::BIGINT AS zero_weights FROM arcs")
+@query(" SELECT max(abs(greatest(round(w0 / 1000), 1.0) - w0 / 1000) / (w0 / 1000)) AS max_relative_error, sum(CASE WHEN round(w0 / 1000) = 0 THEN 1 ELSE 0 END)::BIGINT AS zero_weights FROM arcs", streets.SQL)
 def quantization_diagnostics(spark, sf_dir):
-    return archive.quantization_audit(_arcs(spark).withColumn("w0", F.col("w0") / 1000))
+    return archive.quantization_audit(streets.arcs(spark, sf_dir).withColumn("w0", F.col("w0") / 1000))
 
 
 @query(OD + " SELECT CAST(sum(n) AS BIGINT) AS trips, CAST(coalesce(sum(CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.tail = od.src AND e.head = od.dst) THEN n ELSE 0 END), 0) AS BIGINT) AS exposed FROM od")
@@ -289,9 +292,14 @@ def weighted_bucket_mean(spark, sf_dir):
     return archive.weighted_mean(b, "m", "c").withColumn("m", F.round("m", 9))
 
 
-@query(" SELECT count(*) AS faults FROM (SELECT 1) WHERE false")
+@query(""", m AS (SELECT coord, prev, CASE WHEN coord % 97 = 3 THEN next - 1000000 ELSE next END AS next, CASE WHEN coord % 101 = 5 THEN 0 WHEN coord % 103 = 7 THEN CAST('nan' AS DOUBLE) ELSE w0 END AS weight FROM arcs),
+o AS (SELECT *, lag(prev) OVER (ORDER BY coord) AS p, lag(next) OVER (ORDER BY coord) AS x FROM m)
+SELECT coord FROM o WHERE weight <= 0 OR isnan(weight) OR p > prev OR (p = prev AND x >= next)""", streets.SQL)
 def model_validation(spark, sf_dir):
-    return validate.model_faults(_arcs(spark).withColumn("weight", F.col("w0"))).agg(F.count("*").alias("faults"))
+    """A model of the network with weights and transitions that are out of order."""
+    c = F.col("coord")
+    model = streets.arcs(spark, sf_dir).select("coord", "prev", F.when(c % 97 == 3, F.col("next") - 1_000_000).otherwise(F.col("next")).alias("next"), F.when(c % 101 == 5, 0.0).when(c % 103 == 7, float("nan")).otherwise(F.col("w0")).alias("weight"))
+    return validate.model_faults(model).select("coord")
 
 
 @query(DIST + ENDS + " SELECT DISTINCT fe.s AS src, le.t AS dst, round(d5.w * (1 + le.t % 3 / CAST(2 AS DOUBLE)) / 1000, 6) AS distance FROM fe JOIN le ON fe.k = le.k JOIN d5 ON d5.a = fe.s AND d5.b = le.t")
@@ -315,14 +323,14 @@ def endpoint_validation(spark, sf_dir):
     return validate.endpoint_faults(asked, 250)
 
 
-@query(""", a AS (SELECT coord, prev, CASE WHEN coord % 31 = 0 THEN next + 1 ELSE next END AS next, CASE WHEN coord % 10 = 0 THEN w0 + 1 ELSE w0 END AS initial FROM arcs WHERE coord % 97 <> 0 UNION ALL SELECT 5000, 1, 2, 1)
+@query(""", a AS (SELECT coord, prev, CASE WHEN coord % 31 = 0 THEN next + 1 ELSE next END AS next, CASE WHEN coord % 10 = 0 THEN w0 + 1 ELSE w0 END AS initial FROM arcs WHERE coord % 97 <> 0 UNION ALL SELECT 2000000000, 1, 2, 1)
 SELECT coalesce(g.coord, a.coord) AS coord, CASE WHEN g.coord IS NULL THEN 'unknown' WHEN a.coord IS NULL THEN 'missing' WHEN a.next <> g.next THEN 'transition' ELSE 'baseline' END AS fault
-FROM arcs g FULL JOIN a ON g.coord = a.coord WHERE g.coord IS NULL OR a.coord IS NULL OR a.next <> g.next OR a.initial <> g.w0""")
+FROM arcs g FULL JOIN a ON g.coord = a.coord WHERE g.coord IS NULL OR a.coord IS NULL OR a.next <> g.next OR a.initial <> g.w0""", streets.SQL)
 def artifact_validation(spark, sf_dir):
     """A damaged artifact of the derived network against its line graph."""
-    arcs, c = _arcs(spark), F.col("coord")
+    arcs, c = streets.arcs(spark, sf_dir), F.col("coord")
     made = arcs.where(c % 97 != 0).select("coord", "prev", F.when(c % 31 == 0, F.col("next") + 1).otherwise(F.col("next")).alias("next"), F.when(c % 10 == 0, F.col("w0") + 1).otherwise(F.col("w0")).alias("initial"))
-    more = spark.createDataFrame([(5000, 1, 2, 1.0)], "coord long, prev long, next long, initial double")
+    more = spark.createDataFrame([(2_000_000_000, 1, 2, 1.0)], "coord long, prev long, next long, initial double")
     return validate.artifact_faults(arcs, made.unionByName(more))
 
 

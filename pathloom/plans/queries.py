@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, graph, stats, validate
-from . import harness
+from ..operators.tables import kept
+from . import harness, streets
 
 ARCS = 1024  # transitions of the derived network
 
@@ -16,13 +17,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name; ``sql`` follows the tables of ``harness.SQL``."""
+def query(sql: str | None = None, tables: str = harness.SQL):
+    """Register a query under its function's name; ``sql`` follows ``tables``."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = f"WITH {harness.SQL.strip()}{sql}"
+            ORACLES[f.__name__] = f"WITH RECURSIVE {tables.strip()}{sql}"
         return f
 
     return add
@@ -74,9 +75,9 @@ scored AS (SELECT *, CASE WHEN edge_precision + edge_recall = 0 THEN 0.0 ELSE 2
 """
 
 
-@query("SELECT edge_id, tail, head, length, greatest(round(length * 1000), 1.0) AS baseline FROM edges")
+@query("SELECT edge_id, tail, head, length, greatest(round(length * 1000), 1.0) AS baseline FROM edges", streets.SQL)
 def network_edges(spark, sf_dir):
-    return _edges(spark)
+    return streets.edges(spark, sf_dir)
 
 
 DIRTY = """, allraw AS (SELECT h.k, h.pos, h.edge_id, count(*) OVER (PARTITION BY h.k) AS n FROM hop h),
@@ -106,24 +107,24 @@ def five_edge_filter_report(spark, sf_dir):
     return validate.report(validate.classify(harness.dirty_trips(spark, sf_dir), _edges(spark), min_edges=5))
 
 
-@query("SELECT coord, prev, next, w0 FROM arcs")
+@query("SELECT coord, prev, next, w0 FROM arcs", streets.SQL)
 def line_graph_transitions(spark, sf_dir):
-    return _arcs(spark).select("coord", "prev", "next", "w0")
+    return streets.arcs(spark, sf_dir).select("coord", "prev", "next", "w0")
 
 
-@query("SELECT coord, w0, w0 * 0.5 AS lo, w0 * 2.0 AS hi, CAST(greatest(round(w0), 1.0) AS BIGINT) AS q0, CAST(greatest(round(w0 * 0.5), 1.0) AS BIGINT) AS qlo, CAST(greatest(round(w0 * 2.0), 1.0) AS BIGINT) AS qhi FROM arcs")
+@query("SELECT coord, w0, w0 * 0.5 AS lo, w0 * 2.0 AS hi, CAST(greatest(round(w0), 1.0) AS BIGINT) AS q0, CAST(greatest(round(w0 * 0.5), 1.0) AS BIGINT) AS qlo, CAST(greatest(round(w0 * 2.0), 1.0) AS BIGINT) AS qhi FROM arcs", streets.SQL)
 def transition_bounds_quantized(spark, sf_dir):
-    return graph.quantized_bounds(_arcs(spark))
+    return graph.quantized_bounds(streets.arcs(spark, sf_dir))
 
 
-@query("SELECT edge_id, CAST(0.5 AS FLOAT) * CAST(tail % 8 AS FLOAT) + CAST(0.5 AS FLOAT) * CAST(head % 8 AS FLOAT) AS x, CAST(0.5 AS FLOAT) * CAST(tail // 8 AS FLOAT) + CAST(0.5 AS FLOAT) * CAST(head // 8 AS FLOAT) AS y FROM edges")
+@query("SELECT edge_id, CAST(0.5 AS FLOAT) * CAST(tail % w AS FLOAT) + CAST(0.5 AS FLOAT) * CAST(head % w AS FLOAT) AS x, CAST(0.5 AS FLOAT) * CAST(tail // w AS FLOAT) + CAST(0.5 AS FLOAT) * CAST(head // w AS FLOAT) AS y FROM edges, w", streets.SQL)
 def edge_midpoints(spark, sf_dir):
-    return graph.midpoints(_edges(spark), harness.nodes(spark))
+    return graph.midpoints(streets.edges(spark, sf_dir), streets.nodes(spark, sf_dir))
 
 
-@query(", o AS (SELECT tail AS node_id, string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY edge_id) AS outgoing FROM edges GROUP BY tail), i AS (SELECT head AS node_id, string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY edge_id) AS incoming FROM edges GROUP BY head) SELECT o.node_id, outgoing, incoming FROM o JOIN i ON o.node_id = i.node_id")
+@query(", o AS (SELECT tail AS node_id, string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY edge_id) AS outgoing FROM edges GROUP BY tail), i AS (SELECT head AS node_id, string_agg(CAST(edge_id AS VARCHAR), ',' ORDER BY edge_id) AS incoming FROM edges GROUP BY head) SELECT o.node_id, outgoing, incoming FROM o JOIN i ON o.node_id = i.node_id", streets.SQL)
 def node_adjacency(spark, sf_dir):
-    return graph.adjacency(_edges(spark)).select("node_id", F.array_join("outgoing", ",").alias("outgoing"), F.array_join("incoming", ",").alias("incoming"))
+    return graph.adjacency(streets.edges(spark, sf_dir)).select("node_id", F.array_join("outgoing", ",").alias("outgoing"), F.array_join("incoming", ",").alias("incoming"))
 
 
 @query("SELECT 'order:' || k AS sample_id, string_agg(CAST(coord AS VARCHAR), ',' ORDER BY pos) AS coords FROM steps GROUP BY k")
@@ -156,14 +157,14 @@ def node_query_endpoints(spark, sf_dir):
     return found.select("src", "dst", "n", F.array_join("sources", ",").alias("sources"), F.array_join("targets", ",").alias("targets"))
 
 
-@query("SELECT edge_id, max(edge_id) OVER (PARTITION BY tail, head) AS canonical FROM edges")
+@query("SELECT edge_id, max(edge_id) OVER (PARTITION BY tail, head) AS canonical FROM edges", streets.SQL)
 def parallel_edge_canonical(spark, sf_dir):
-    return graph.canonical_parallel(_edges(spark))
+    return graph.canonical_parallel(streets.edges(spark, sf_dir))
 
 
-@query("SELECT head, tail, min(greatest(round(length * 1000), 1.0)) AS weight FROM edges GROUP BY head, tail")
+@query("SELECT head, tail, min(greatest(round(length * 1000), 1.0)) AS weight FROM edges GROUP BY head, tail", streets.SQL)
 def parallel_edge_min(spark, sf_dir):
-    return graph.parallel_minimum(_edges(spark))
+    return graph.parallel_minimum(streets.edges(spark, sf_dir))
 
 
 @query(", c AS (SELECT a.coord, a.prev, a.next, count(s.k) AS n FROM arcs a LEFT JOIN steps s ON a.coord = s.coord GROUP BY a.coord, a.prev, a.next) SELECT coord, prev, next, CAST(greatest(round(-ln((n + 1.0) / (sum(n) OVER (PARTITION BY prev) + 1.0 * count(*) OVER (PARTITION BY prev))) * 100000), 1.0) AS BIGINT) AS cost FROM c")
@@ -181,12 +182,12 @@ DA = ", da AS (SELECT a.edge_id AS src, b.edge_id AS dst, count(*) AS n FROM tri
 POOL = DA + """, q AS (SELECT DISTINCT a.edge_id AS src, b.edge_id AS dst FROM trip a JOIN trip b ON a.k = b.k AND a.pos = 1 AND b.pos = b.n),
 ranked AS (SELECT q.src, q.dst, x.dst AS edge, least(x.n, y.n) AS strength, row_number() OVER (PARTITION BY q.src, q.dst ORDER BY least(x.n, y.n) DESC, x.dst) AS rank
   FROM q JOIN da x ON x.src = q.src JOIN da y ON y.src = x.dst AND y.dst = q.dst),
-pool AS (SELECT * FROM ranked WHERE rank <= 20)"""
+pool AS (SELECT * FROM ranked WHERE rank <= 100)"""
 
 
 def _pool(trips):
     e = F.col("edges")
-    return stats.candidate_pool(trips.select(F.element_at(e, 1).alias("src"), F.element_at(e, -1).alias("dst")), stats.associations(trips), 20)
+    return stats.candidate_pool(trips.select(F.element_at(e, 1).alias("src"), F.element_at(e, -1).alias("dst")), stats.associations(trips), 100)
 
 
 @query(DA + " SELECT src, dst, n FROM da")
@@ -205,8 +206,8 @@ hits AS (SELECT f.k, p.rank, p.edge, p.strength, row_number() OVER (PARTITION BY
 SELECT 'order:' || k AS sample_id, CAST(edge AS BIGINT) AS edge, CAST(strength AS BIGINT) AS strength FROM hits WHERE i <= greatest(ceil(c * 0.2), 1)""")
 def candidate_labels(spark, sf_dir):
     trips = _good(spark, sf_dir)
-    rows = stats.candidate_rows(trips, _pool(trips))
-    pool = _pool(trips)
+    pool = kept(_pool(trips))
+    rows = stats.candidate_rows(trips, pool)
     pairs = F.filter(F.arrays_zip("candidates", "labels", "weights"), lambda c: c["labels"] == 1)
     on = rows.select("sample_id", F.explode(pairs).alias("c")).select("sample_id", F.col("c.candidates").alias("edge"))
     e = F.col("edges")
