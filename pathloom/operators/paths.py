@@ -37,7 +37,7 @@ class Graph:
         self.prev, self.head, self.coord, self.weight = prev[order], next_[order], coord[order], weight[order]
         count = int(max(self.prev.max(), self.head.max())) + 1 if len(order) else 0
         self.first = np.concatenate(([0], np.cumsum(np.bincount(self.prev, minlength=count)))).astype(np.int64)
-        self.count = count
+        self.nodes = count
         self.limit = INFINITY if np.issubdtype(weight.dtype, np.integer) else float("inf")
         self._lists = None
 
@@ -61,7 +61,7 @@ class Graph:
                 continue
             settled.add(u)
             left.discard(u)
-            if u >= self.count:
+            if u >= self.nodes:
                 continue
             for i in range(first[u], first[u + 1]):
                 far, v = d + weight[i], head[i]
@@ -70,6 +70,17 @@ class Graph:
                     heapq.heappush(heap, (far, v))
         return {u: distance[u] for u in settled}, before
 
+    def count(self, distance: dict, sources: list[int]) -> dict[int, int]:
+        """How many shortest paths lead to each settled node from any of ``sources``, by sums over arcs on shortest paths."""
+        first, head, _, weight = self.lists()
+        ways = dict.fromkeys(distance, 0)
+        ways.update(dict.fromkeys(sources, 1))
+        for u in sorted(distance, key=distance.__getitem__):  # weights are positive: what leads to u comes before it
+            for i in range(first[u], first[u + 1]) if u < self.nodes else ():
+                if distance.get(head[i]) == distance[u] + weight[i]:
+                    ways[head[i]] += ways[u]
+        return ways
+
     def path(self, distance: dict, before: dict, targets) -> tuple:
         """(distance, nodes, coords) of the nearest target, or nulls if none is reached."""
         found = [(distance[t], t) for t in targets if t in distance]
@@ -118,6 +129,27 @@ class DijkstraOracle:
 
         return queries.select("qid", "sources", "targets").mapInPandas(run, PATH)
 
+    def counts_on(self, graph: Graph, queries: DataFrame) -> DataFrame:
+        """(qid, distance, ways): how many shortest paths each query has; 0 and no distance where nothing leads."""
+        shared = queries.sparkSession.sparkContext.broadcast(graph)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            graph = shared.value
+            for batch in batches:
+                groups, out = defaultdict(list), []
+                for qid, sources, targets in zip(batch.qid, batch.sources, batch.targets):
+                    groups[tuple(sorted({int(s) for s in sources}))].append((qid, {int(t) for t in targets}))
+                for sources, asked in groups.items():
+                    distance, _ = graph.search(list(sources), {t for _, own in asked for t in own})
+                    ways = graph.count(distance, list(sources))
+                    for qid, own in asked:
+                        far = min((distance[t] for t in own if t in distance), default=None)
+                        out.append((qid, far, sum(ways[t] for t in own if distance.get(t, -1) == far) if far is not None else 0))
+                yield pd.DataFrame(out, columns=["qid", "distance", "ways"]).astype({"distance": "Int64"})
+
+        parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return queries.select("qid", "sources", "targets").repartition(parts, "sources").mapInPandas(run, "qid long, distance long, ways long")
+
     def shortest_paths(self, arcs: DataFrame, metric: DataFrame, queries: DataFrame) -> DataFrame:
         """(qid, distance, nodes, coords) of each query (qid, sources, targets) under ``metric`` (coord, w)."""
         spark = queries.sparkSession
