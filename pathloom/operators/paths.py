@@ -95,15 +95,25 @@ class Graph:
         return far, nodes[::-1], coords[::-1]
 
 
-def collect_graph(arcs: DataFrame, metric: DataFrame) -> Graph:
-    """The graph on the driver: at most MAX_TRANSITIONS arcs, each with a positive weight below the limit."""
-    rows = arcs.select("coord", "prev", "next").join(metric.select("coord", "w"), "coord", "left").limit(MAX_TRANSITIONS + 1).toPandas()
+def collect_graphs(arcs: DataFrame, metrics: list[DataFrame]) -> list[Graph]:
+    """A graph for each metric, fetched together: at most MAX_TRANSITIONS arcs, each with a positive weight below the limit."""
+    rows = arcs.select("coord", "prev", "next")
+    for i, metric in enumerate(metrics):
+        rows = rows.join(metric.select("coord", F.col("w").alias(f"w{i}")), "coord", "left")
+    rows = rows.limit(MAX_TRANSITIONS + 1).toPandas()
     if len(rows) > MAX_TRANSITIONS:
         raise ValueError("too many transitions")
-    bad = rows[rows.w.isna() | (rows.w < 1) | (rows.w >= INFINITY)].sort_values("coord")
-    if len(bad):
-        raise ValueError(f"coordinate {bad.coord.iloc[0]}: bad weight {bad.w.iloc[0]}")
-    return Graph(*(rows[c].to_numpy(np.int64) for c in ("coord", "prev", "next", "w")))
+    for i in range(len(metrics)):
+        w = rows[f"w{i}"]
+        bad = rows[w.isna() | (w < 1) | (w >= INFINITY)].sort_values("coord")
+        if len(bad):
+            raise ValueError(f"coordinate {bad.coord.iloc[0]}: bad weight {bad[f'w{i}'].iloc[0]}")
+    return [Graph(*(rows[c].to_numpy(np.int64) for c in ("coord", "prev", "next", f"w{i}"))) for i in range(len(metrics))]
+
+
+def collect_graph(arcs: DataFrame, metric: DataFrame) -> Graph:
+    """The graph of one metric on the driver."""
+    return collect_graphs(arcs, [metric])[0]
 
 
 class DijkstraOracle:
@@ -112,22 +122,26 @@ class DijkstraOracle:
     identity = "pathloom-dijkstra-v1"
 
     def on(self, graph: Graph, queries: DataFrame) -> DataFrame:
-        shared = queries.sparkSession.sparkContext.broadcast(graph)
+        return self.on_each([graph], queries.withColumn("at", F.lit(0))).drop("at")
+
+    def on_each(self, graphs: list[Graph], queries: DataFrame) -> DataFrame:
+        """(at, qid, distance, nodes, coords) of queries (at, qid, sources, targets), each on ``graphs[at]``, in one pass."""
+        shared = queries.sparkSession.sparkContext.broadcast(graphs)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            graph = shared.value
+            graphs = shared.value
             for batch in batches:
                 groups, out = defaultdict(list), []
-                for qid, sources, targets in zip(batch.qid, batch.sources, batch.targets):
-                    groups[tuple(sorted(map(int, sources)))].append((qid, [int(t) for t in targets]))
-                for sources, asked in groups.items():
+                for at, qid, sources, targets in zip(batch["at"].tolist(), batch.qid, batch.sources, batch.targets):
+                    groups[at, tuple(sorted(map(int, sources)))].append((qid, [int(t) for t in targets]))
+                for (at, sources), asked in groups.items():
                     if not sources or not all(t for _, t in asked):
                         raise ValueError("a query needs sources and targets")
-                    found = graph.search(list(sources), {t for _, own in asked for t in own})
-                    out += [(qid, *graph.path(*found, own)) for qid, own in asked]
-                yield pd.DataFrame(out, columns=["qid", "distance", "nodes", "coords"]).astype({"distance": "Int64"})
+                    found = graphs[at].search(list(sources), {t for _, own in asked for t in own})
+                    out += [(at, qid, *graphs[at].path(*found, own)) for qid, own in asked]
+                yield pd.DataFrame(out, columns=["at", "qid", "distance", "nodes", "coords"]).astype({"distance": "Int64"})
 
-        return queries.select("qid", "sources", "targets").mapInPandas(run, PATH)
+        return queries.select("at", "qid", "sources", "targets").mapInPandas(run, f"at int, {PATH}")
 
     def counts_on(self, graph: Graph, queries: DataFrame) -> DataFrame:
         """(qid, distance, ways): how many shortest paths each query has; 0 and no distance where nothing leads."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import archive, scalar
 from ..operators import evaluate, fit, graph, paths, predict, reports, shortcuts, stats, validate
+from ..operators.tables import kept
 from ..schema import FitOptions
 from ..sources import records
 from . import harness, streets
@@ -18,8 +19,8 @@ def _counts(trips, arcs):
 
 
 def _small(trips):
-    """Trips without the columns of the classifier."""
-    return trips.select("k", "sample_id", "edges", "src", "dst")
+    """Trips without the columns of the classifier, written once: what follows reads them several times."""
+    return kept(trips.select("k", "sample_id", "edges", "src", "dst"))
 
 
 # All distances of the 256-edge line graph by repeated squaring of (min, +), each cost that of the entered edge.
@@ -54,7 +55,7 @@ def sp_length_predict(spark, sf_dir):
 @query()
 def markov_sp_predict(spark, sf_dir):
     trips, arcs = _small(_good(spark, sf_dir)), _arcs(spark)
-    counts = _counts(trips.where("k % 10 < 7"), arcs)
+    counts = kept(_counts(trips.where("k % 10 < 7"), arcs))
     alpha, _ = predict.select_alpha(trips.where("k % 10 = 7"), arcs, counts, [0.1, 1.0, 10.0])
     test = trips.where("k % 10 > 7")
     found = predict.predict(test, arcs, predict.markov_metric(arcs, counts, alpha))
