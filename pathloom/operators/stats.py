@@ -81,7 +81,8 @@ def candidate_rows(trips: DataFrame, pool: DataFrame, share: float = 0.2) -> Dat
 def skipgrams(trips: DataFrame, reach: int) -> DataFrame:
     """(center, context, n): edges at most ``reach`` places apart in a trip, both ways."""
     e = F.col("edges")
-    near = F.flatten(F.transform(e, lambda a, i: F.filter(F.transform(e, lambda b, j: F.when((F.abs(i - j) <= reach) & (i != j), F.struct(a.alias("center"), b.alias("context")))), lambda p: p.isNotNull())))
+    beside = lambda i: F.concat(F.slice(e, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))), F.slice(e, i + 2, F.lit(reach)))
+    near = F.flatten(F.transform(e, lambda a, i: F.transform(beside(i), lambda b: F.struct(a.alias("center"), b.alias("context")))))
     return trips.select(F.explode(near).alias("p")).groupBy("p.center", "p.context").agg(F.count("*").alias("n"))
 
 
