@@ -11,6 +11,8 @@ from .validate import bounds, quantized
 
 #: Tables with a row for each edge or transition are broadcast below this; larger ones are shuffled.
 SMALL_ROWS = 1_000_000
+#: Transitions are ordered in blocks of 2^BLOCK_BITS edges.
+BLOCK_BITS = 10
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -30,13 +32,19 @@ def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def transitions(edges: DataFrame, lower: float = 0.5, upper: float = 2.0) -> DataFrame:
     """(coord, prev, next, w0, lo, hi): every edge followed by every edge that leaves its head, U-turns and parallels too.
 
-    A transition costs the baseline of the edge it enters. Coordinates are places in (prev, next) order.
+    A transition costs the baseline of the edge it enters. Coordinates are places in (prev, next) order: a transition's
+    place within its block of edges, after the sizes of the blocks before, so that no task orders all.
     """
+    block = F.shiftright("prev", BLOCK_BITS).alias("_block")
     out = edges.select(F.col("edge_id").alias("next"), F.col("tail").alias("via"), F.col("baseline").alias("w0"))
     pairs = edges.select(F.col("edge_id").alias("prev"), F.col("head").alias("via")).join(out, "via")
     lo, hi = bounds(F.col("w0"), lower, upper)
-    coord = F.row_number().over(Window.orderBy("prev", "next")) - 1  # at most MAX_TRANSITIONS rows
-    return pairs.select("prev", "next", "w0", lo.alias("lo"), hi.alias("hi")).withColumn("coord", coord.cast("long")).select("coord", "prev", "next", "w0", "lo", "hi")
+    ways = out.groupBy("via").agg(F.count("*").alias("_n"))
+    sizes = edges.select(F.col("edge_id").alias("prev"), F.col("head").alias("via")).join(ways, "via").groupBy(block).agg(F.sum("_n").alias("_n"))
+    before = sizes.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))  # a row for each block
+    coord = F.row_number().over(Window.partitionBy("_block").orderBy("prev", "next")) - 1 + F.col("_before")
+    rows = pairs.select(block, "prev", "next", "w0", lo.alias("lo"), hi.alias("hi")).join(F.broadcast(before), "_block")
+    return rows.select(coord.cast("long").alias("coord"), "prev", "next", "w0", "lo", "hi")
 
 
 def check_transitions(arcs: DataFrame) -> int:

@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..schema import INFINITY, MAX_ID, MAX_TRANSITIONS
+from ..schema import INFINITY, MAX_ID
+from .tables import kept
+
+#: Networks of at most so many edges are broadcast; the trips of larger ones meet them in a join.
+BROADCAST_EDGES = 200_000
 
 #: Reasons, in the order in which they are looked for.
 ACCEPTED, EMPTY, TOO_SHORT, OUT_OF_BOUNDS, DISCONTINUOUS, CYCLIC = "accepted", "empty", "too_short", "out_of_bounds", "discontinuous", "cyclic"
@@ -21,10 +25,8 @@ def finite(x) -> Column:
 
 
 def edge_ends(edges: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tails and heads of all edges in id order: two longs for each edge, at most MAX_TRANSITIONS edges."""
-    found = edges.select("edge_id", "tail", "head").limit(MAX_TRANSITIONS + 1).toPandas().sort_values("edge_id")
-    if len(found) > MAX_TRANSITIONS:
-        raise ValueError(f"a network has at most {MAX_TRANSITIONS} edges")
+    """Tails and heads of the edges of a small network in id order: two longs for each edge."""
+    found = edges.select("edge_id", "tail", "head").toPandas().sort_values("edge_id")
     return found["tail"].to_numpy(np.int64), found["head"].to_numpy(np.int64)
 
 
@@ -62,10 +64,12 @@ def classify(trips: DataFrame, edges: DataFrame, min_edges: int = 2, cycles: boo
     """``trips`` with reason, src and dst.
 
     Rules in order: empty, fewer than ``min_edges``, an id outside the network, neighbours that don't meet, a node seen
-    twice (unless ``cycles``). The ends of the network's edges are broadcast once to each executor, so trips are neither
-    shuffled nor widened by them; of a trip only its list goes through Arrow. Ids are dense from 0, as network
-    validation makes sure.
+    twice (unless ``cycles``). The ends of a network of at most BROADCAST_EDGES edges are broadcast once to each executor,
+    so trips are neither shuffled nor widened by them; of a trip only its list goes through Arrow. Those of a larger one
+    stay a table. Ids are dense from 0, as network validation makes sure.
     """
+    if edges.count() > BROADCAST_EDGES:
+        return _classify_by_join(trips, edges, min_edges, cycles, split_empty)
     ends = trips.sparkSession.sparkContext.broadcast(edge_ends(edges))
 
     @F.arrow_udf("reason string, src long, dst long")
@@ -77,6 +81,22 @@ def classify(trips: DataFrame, edges: DataFrame, min_edges: int = 2, cycles: boo
     return found.withColumns({c: F.col(f"_fault.{c}") for c in ("reason", "src", "dst")}).drop("_fault")
 
 
+def _classify_by_join(trips: DataFrame, edges: DataFrame, min_edges: int, cycles: bool, split_empty: bool) -> DataFrame:
+    """The same by a join of hops and edges. Rows are numbered in a written table, as rows may be equal."""
+    own = kept(trips.withColumn("_row", F.monotonically_increasing_id()))
+    hops = own.select("_row", F.posexplode("edges").alias("_pos", "edge_id")).join(edges.select("edge_id", "tail", "head"), "edge_id", "left")
+    hops = hops.groupBy("_row").agg(F.count("tail").alias("_known"), F.sort_array(F.collect_list(F.struct("_pos", "tail", "head"))).alias("_h"))
+    t, h, n = F.col("_h.tail"), F.col("_h.head"), F.greatest(F.coalesce(F.size("edges"), F.lit(0)), F.lit(0))
+    seen = F.concat(F.slice(t, 1, 1), h)
+    reason = F.when(n == 0, EMPTY if split_empty else TOO_SHORT).when(n < min_edges, TOO_SHORT).when(F.col("_known") < n, OUT_OF_BOUNDS)
+    reason = reason.when(F.slice(t, F.lit(2), n - 1) != F.slice(h, F.lit(1), n - 1), DISCONTINUOUS)
+    if not cycles:
+        reason = reason.when(F.size(F.array_distinct(seen)) < n + 1, CYCLIC)
+    found = own.join(hops, "_row", "left").withColumn("reason", reason.otherwise(ACCEPTED))
+    end = lambda x: F.when(F.col("reason") == ACCEPTED, x)
+    return found.withColumns({"src": end(F.get(t, F.lit(0))), "dst": end(F.get(h, n - 1))}).select(*trips.columns, "reason", "src", "dst")
+
+
 def accepted(trips: DataFrame, edges: DataFrame, min_edges: int = 2) -> DataFrame:
     return classify(trips, edges, min_edges).where(F.col("reason") == ACCEPTED).drop("reason")
 

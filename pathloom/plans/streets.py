@@ -45,7 +45,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = nodes(spark, sf_dir).agg(F.max("n").alias("n"), F.max("w").alias("w"))
     orders = read("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("long").alias("start")).crossJoin(F.broadcast(w))  # one row
     key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", ((F.col("l_suppkey") + F.col("l_linenumber")) % KINDS).alias("d"))
-    hops = read("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(key)).alias("hops"))
+    hops = read("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(key)).alias("hops"))
     walk = F.aggregate(
         "hops",
         F.struct(F.col("start").alias("at"), F.array().cast("array<long>").alias("edges")),

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import lipschitz, overlay, paths, tables
+from pathloom.operators import graph, lipschitz, overlay, paths, tables, validate
 from pathloom.streaming.ledger import Ledger, assigned
 
 
@@ -158,3 +158,30 @@ def test_ledger_rejects(spark, tmp_path):
     with pytest.raises(ValueError, match="no predictions"):
         run.run(lambda df: df.withColumn("edges", F.array(F.lit(2**32))))
     assert run.commits().count() == 0
+
+
+def test_large_networks_stay_tables(spark, monkeypatch):
+    """What a large network's trips and transitions are made by: joins and blocks, with the results of the small one's way."""
+    rng = np.random.default_rng(3)
+    ends = pd.DataFrame({"edge_id": np.arange(60), "tail": rng.integers(0, 12, 60), "head": rng.integers(0, 12, 60), "baseline": rng.integers(1, 9, 60).astype(float)})
+    edges = spark.createDataFrame(ends)
+    lists = [None, [], [3], [0, None], [-1, 0], [0, 60]] + [[int(x)] for x in rng.integers(0, 60, 3)]
+    for _ in range(400):
+        route = [int(rng.integers(0, 60))]
+        while rng.random() < 0.7:
+            on = np.flatnonzero(ends["tail"] == ends["head"][route[-1]])
+            route.append(int(rng.choice(on)) if len(on) and rng.random() < 0.9 else int(rng.integers(0, 60)))
+        lists += [route, route]  # equal rows
+    own = spark.createDataFrame([(f"t{i % 7}", x) for i, x in enumerate(lists)], "sample_id string, edges array<long>")
+    key = lambda df: sorted(map(str, df.collect()))
+    for options in ({}, {"cycles": True, "min_edges": 3}, {"split_empty": False, "min_edges": 1}):
+        monkeypatch.setattr(validate, "BROADCAST_EDGES", 200_000)
+        small = key(validate.classify(own, edges, **options))
+        monkeypatch.setattr(validate, "BROADCAST_EDGES", 59)
+        monkeypatch.setattr(validate, "edge_ends", None)  # nothing is fetched
+        assert key(validate.classify(own, edges, **options)) == small
+        monkeypatch.undo()
+    monkeypatch.setattr(graph, "BLOCK_BITS", 2)
+    found = [tuple(r) for r in graph.transitions(edges).orderBy("coord").select("coord", "prev", "next").collect()]
+    both = ends.merge(ends, left_on="head", right_on="tail").sort_values(["edge_id_x", "edge_id_y"])
+    assert found == [(i, *p) for i, p in enumerate(zip(both.edge_id_x.tolist(), both.edge_id_y.tolist()))]
