@@ -84,6 +84,24 @@ def held(key, make: Callable[[], object]):
     return _HELD["value"]
 
 
+def forget() -> None:
+    """Let go of what an earlier step of this Python worker held; a step that holds nothing says so here."""
+    if _HELD:
+        _HELD.clear()
+        release()
+
+
+def trimmed(run: Callable) -> Callable:
+    """``run``, a function of two tables, and then what it took of this Python worker's memory is given back: idle workers count beside later steps."""
+
+    def then(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        release()
+        return out
+
+    return then
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """A name for each of ``names`` that no column of ``df`` has, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, cut, drop, free_names, held
+from .common import connected_components, cut, drop, free_names, held, release, trimmed
 
 LEAF, FANOUT, BLOCK = 8, 4, 256
 #: Bits of a bitmap: a power of two, this many for each shingle or more; a larger one folds to a smaller.
@@ -210,6 +210,8 @@ def _postings(rows: DataFrame, width: int, threshold: Fraction, whole: bool) ->
                         chunk = Chunk(number, buckets)
         if chunk.docs:
             yield chunk.batch()
+        del chunk, seen
+        release()
 
     return cut(rows.mapInArrow(run, FOUND))
 
@@ -218,7 +220,7 @@ def _may_link(found: DataFrame, threshold: Fraction) -> DataFrame:
     """(node, keys) of the sets with enough shingles that others hold, and their groups if all shingles were counted."""
     met = found.where("bucket >= 0").select("chunk", "bucket", "keys", "owners", "many", "times").groupBy("bucket").applyInArrow(_meet, REPLY)
     own = found.where("place is not null or bucket = -1").select("chunk", "place", "node", "n", "need", "keys", "owners")
-    return own.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_judged(threshold), "node long, keys array<long>")
+    return own.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(trimmed(_judged(threshold)), "node long, keys array<long>")
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, free_names
+from .common import cut, forget, free_names
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Relative cost of a pattern's first, second and third use: convex, so no third use comes before all second uses.
@@ -156,6 +156,7 @@ def _seeded(seed: int, doc_id: str):
 
 def _try_large(rows):
     """First fit of a pattern's large documents in order; what the smaller ones before a document take is in ``before``."""
+    forget()
     rows = rows.sort_values(["b", "u", "t"]).reset_index(drop=True)
     rest, taken, bits, swap = int(rows["rest"].iloc[0]), [], 0, set()
     for before, size in zip(rows["before"].tolist(), rows["size"].tolist()):
@@ -177,6 +178,8 @@ def _fill(rows):
     """
     import pandas as pd
 
+    forget()
+
     gap = int(rows["gap"].iloc[0]) + int(rows["size"][rows["back"]].sum())
     rows = rows[rows["size"] <= gap].sort_values(["u", "t"])
     more = rows[rows["large"] & ~rows["back"]].head(SWAPS)

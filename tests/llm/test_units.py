@@ -6,10 +6,11 @@ import itertools
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.llm import divergence, extract, infill, mixing
+from pathloom.llm import common, divergence, extract, infill, mixing
 
 LONG = " ".join(f"w{i}é" for i in range(30_000))
 
@@ -151,3 +152,16 @@ def test_null_memberships_are_the_null_source(spark):
     half = mixing.solve(docs, membership=F.col("m"), weights=(3, 1))
     taken = half.apply(docs, "doc_id", F.col("m")).where("doc_id < 200").agg(F.sum(F.col("uses") * 10)).first()[0]
     assert taken == round(half.wanted[None])
+
+
+def test_mixing_lets_go_of_what_a_worker_held(monkeypatch):
+    """Workers are used again: what an earlier step held must not count beside the mix."""
+    freed = []
+    monkeypatch.setattr(common, "release", lambda: freed.append(len(common._HELD)))
+    large = pd.DataFrame({"key": ["k"], "b": [1], "u": [1], "t": ["a"], "size": [3], "rest": [5], "before": [0]})
+    few = pd.DataFrame({"key": ["k"], "u": [1], "t": ["a"], "size": [3], "gap": [4], "back": [False], "large": [False]})
+    for run, rows, column, right in ((mixing._try_large, large, "taken", True), (mixing._fill, few, "now", True)):
+        common._HELD.update(key="an earlier step", value=bytearray(10))
+        assert run(rows)[column].tolist() == [right]
+        assert not common._HELD and freed.pop() == 0
+    assert common.trimmed(lambda a, b: a + b)(1, 2) == 3 and freed == [0]
