@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import evaluate, stats
 from .paths import DijkstraOracle, Graph, collect_graphs, edge_queries, pair_key
-from .tables import kept
+from .tables import drop, kept
 from .validate import quantized
 
 ROUTES = "sample_id string, edges array<long>"
@@ -196,26 +196,45 @@ def shorten(routes: DataFrame, distances: str) -> DataFrame:
 
 
 def walks(starts: DataFrame, arcs: DataFrame, length: int, per_start: int, p: float = 1.0, q: float = 1.0, seed: int = 0) -> DataFrame:
-    """(walk, edges): second-order random walks from each (edge); a walk has its own seed, so partitioning doesn't matter."""
-    near = defaultdict(list)
-    for r in arcs.select("prev", "next").orderBy("prev", "next").toLocalIterator():
-        near[r[0]].append(r[1])
-    shared = starts.sparkSession.sparkContext.broadcast(dict(near))
+    """(walk, edges): second-order random walks from each (edge); a walk has its own seed, so partitioning doesn't matter.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near = shared.value
+    All walks take a step together by a join with the ways on from their last edges, so no task holds the network; a
+    walk carries the ways on from the edge before. It draws one number for each step.
+    """
+    if length < 2:
+        return starts.select("edge", F.explode(F.sequence(F.lit(0), F.lit(per_start - 1))).alias("_i")).select(F.concat_ws(":", "edge", "_i").alias("walk"), F.array(F.col("edge").cast("long")).alias("edges"))
+    near = kept(arcs.groupBy(F.col("prev").cast("long").alias("_at")).agg(F.sort_array(F.collect_list(F.col("next").cast("long"))).alias("_ways")))
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for edge, ordinal in zip(batch.edge, batch.ordinal):
-                rng, walk = np.random.default_rng([seed, int(edge), int(ordinal)]), [int(edge)]
-                while len(walk) < length and near.get(walk[-1]):
-                    ways = near[walk[-1]]
-                    weight = np.array([1 / p if len(walk) > 1 and w == walk[-2] else 1.0 if len(walk) < 2 or w in near.get(walk[-2], ()) else 1 / q for w in ways])
-                    walk.append(ways[int(rng.choice(len(ways), p=weight / weight.sum()))])
-                out.append(walk)
-            yield pd.DataFrame({"walk": batch.edge.astype(str) + ":" + batch.ordinal.astype(str), "edges": out})
-
-    return starts.select("edge", F.explode(F.sequence(F.lit(0), F.lit(per_start - 1))).alias("ordinal")).mapInPandas(run, "walk string, edges array<long>")
+            draws = [np.random.default_rng([seed, e, i]).random(length - 1) for e, i in zip(batch.edge.tolist(), batch.ordinal.tolist())]
+            yield pd.DataFrame({"walk": batch.edge.astype(str) + ":" + batch.ordinal.astype(str), "_at": batch.edge, "edges": [[e] for e in batch.edge.tolist()], "_u": draws})
+
+    def stepped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            routes, at, before = [], [], []
+            for route, last, u, beside, ways in zip(batch.edges, batch._at.tolist(), batch._u, batch._before, batch._ways):
+                route = route.tolist()
+                if ways is not None and not np.isnan(last):
+                    ways, known = ways.tolist(), () if beside is None else beside.tolist()
+                    weight = [1 / p if len(route) > 1 and w == route[-2] else 1.0 if len(route) < 2 or w in known else 1 / q for w in ways]
+                    upto = (np.array(weight) / np.sum(weight)).cumsum()
+                    route.append(ways[int((upto / upto[-1]).searchsorted(u[len(route) - 1], side="right"))])  # as numpy's choice does
+                    at.append(route[-1])
+                else:
+                    at.append(None)  # it has ended
+                routes.append(route)
+                before.append(ways)
+            yield pd.DataFrame({"walk": batch.walk, "_at": pd.array(at, "Int64"), "edges": routes, "_u": batch._u, "_before": before})
+
+    own = starts.select(F.col("edge").cast("long").alias("edge"), F.explode(F.sequence(F.lit(0), F.lit(per_start - 1))).alias("ordinal"))
+    now = own.mapInPandas(drawn, "walk string, _at long, edges array<long>, _u array<double>").withColumn("_before", F.lit(None).cast("array<long>"))
+    for _ in range(length - 1):
+        met = now.join(near, "_at", "left").select("walk", "_at", "edges", "_u", "_before", "_ways")
+        then = kept(met.mapInPandas(stepped, "walk string, _at long, edges array<long>, _u array<double>, _before array<long>"))
+        drop(now)
+        now = then
+    return now.select("walk", "edges")
 
 
 def haversine(lat1, lon1, lat2, lon2):

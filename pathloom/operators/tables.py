@@ -41,7 +41,17 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/pathloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _MADE.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._kept_path = path
+    return made
+
+
+def drop(table: DataFrame) -> None:
+    """Delete what ``kept`` wrote for ``table``, which nothing reads any more."""
+    path = table.__dict__.get("_kept_path")
+    if path:
+        fs, target = file_system(table.sparkSession, path)
+        fs.delete(target, True)
 
 
 @atexit.register

@@ -410,3 +410,25 @@ def test_export_and_stream(spark, n1, tmp_path):
     assert ask({"v": 1}).count() == 3
     with pytest.raises(ValueError, match="another configuration"):
         ask({"v": 2})
+
+
+def test_walks_meet_the_network_in_joins(spark, monkeypatch):
+    """The same walks as by a loop over the whole network, which is never fetched."""
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(a), int(b)) for a, b in rng.integers(0, 14, (40, 2)) if a < 12})
+    near = {}
+    for a, b in rows:
+        near.setdefault(a, []).append(b)
+    right = []
+    for edge, ordinal in ((e, i) for e in range(14) for i in range(4)):
+        draw, walk = np.random.default_rng([9, edge, ordinal]), [edge]
+        while len(walk) < 6 and near.get(walk[-1]):
+            ways = near[walk[-1]]
+            weight = np.array([1 / 0.5 if len(walk) > 1 and w == walk[-2] else 1.0 if len(walk) < 2 or w in near.get(walk[-2], ()) else 1 / 2.0 for w in ways])
+            walk.append(ways[int(draw.choice(len(ways), p=weight / weight.sum()))])
+        right.append((f"{edge}:{ordinal}", walk))
+    arcs, starts = spark.createDataFrame(rows, "prev long, next long"), spark.range(14).withColumnRenamed("id", "edge")
+    monkeypatch.setattr(type(arcs), "toLocalIterator", None)
+    found = predict.walks(starts, arcs, 6, 4, p=0.5, q=2.0, seed=9)
+    assert sorted((r.walk, r.edges) for r in found.collect()) == sorted(right)
+    assert sorted(r.edges for r in predict.walks(starts, arcs, 1, 1).collect()) == [[i] for i in range(14)]
