@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,28 +211,42 @@ def walks(starts: DataFrame, arcs: DataFrame, length: int, per_start: int, p: fl
             draws = [np.random.default_rng([seed, e, i]).random(length - 1) for e, i in zip(batch.edge.tolist(), batch.ordinal.tolist())]
             yield pd.DataFrame({"walk": batch.edge.astype(str) + ":" + batch.ordinal.astype(str), "_at": batch.edge, "edges": [[e] for e in batch.edge.tolist()], "_u": draws})
 
-    def stepped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each value of a list column, and the values; a null list has none."""
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        return np.repeat(np.arange(len(sizes)), sizes), column.flatten().to_numpy(zero_copy_only=False)
+
+    def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            routes, at, before = [], [], []
-            for route, last, u, beside, ways in zip(batch.edges, batch._at.tolist(), batch._u, batch._before, batch._ways):
-                route = route.tolist()
-                if ways is not None and not np.isnan(last):
-                    ways, known = ways.tolist(), () if beside is None else beside.tolist()
-                    weight = [1 / p if len(route) > 1 and w == route[-2] else 1.0 if len(route) < 2 or w in known else 1 / q for w in ways]
-                    upto = (np.array(weight) / np.sum(weight)).cumsum()
-                    route.append(ways[int((upto / upto[-1]).searchsorted(u[len(route) - 1], side="right"))])  # as numpy's choice does
-                    at.append(route[-1])
-                else:
-                    at.append(None)  # it has ended
-                routes.append(route)
-                before.append(ways)
-            yield pd.DataFrame({"walk": batch.walk, "_at": pd.array(at, "Int64"), "edges": routes, "_u": batch._u, "_before": before})
+            walk, last, routes, draws, beside, ways = (batch.column(c) for c in ("walk", "_at", "edges", "_u", "_before", "_ways"))
+            n, (owner, w), (known_owner, known) = batch.num_rows, flat(ways), flat(beside)
+            sizes, count = np.bincount(owner, minlength=n), pc.list_value_length(routes).to_numpy(zero_copy_only=False)
+            own, route = flat(routes)
+            starts_at = np.cumsum(count) - count
+            former = route[starts_at + np.maximum(count - 2, 0)]
+            values, code = np.unique(np.concatenate((w, known)), return_inverse=True)
+            shared = np.isin(owner * len(values) + code[: len(w)], known_owner * len(values) + code[len(w) :])
+            later = count[owner] > 1
+            weight = np.where(later & (w == former[owner]), 1 / p, np.where(~later | shared, 1.0, 1 / q))
+            table = np.zeros((n, max(1, sizes.max(initial=1))))
+            first = np.cumsum(sizes) - sizes
+            table[owner, np.arange(len(w)) - first[owner]] = weight
+            on = np.flatnonzero(sizes)
+            upto = (table[on] / table[on].sum(axis=1, keepdims=True)).cumsum(axis=1)
+            u = draws.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)[on, count[on] - 1]
+            taken = np.minimum((upto / upto[:, -1:] <= u[:, None]).sum(axis=1), sizes[on] - 1)  # as numpy's choice does
+            chosen = w[first[on] + taken].astype(np.int64)
+            at = np.zeros(n, np.int64)
+            at[on] = chosen
+            ends = np.insert(route, (starts_at + count)[on], chosen).astype(np.int64)
+            longer = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count + (sizes > 0))), pa.int32()), pa.array(ends))
+            yield pa.RecordBatch.from_arrays([walk, pa.array(at, mask=sizes == 0), longer, draws, ways], names=["walk", "_at", "edges", "_u", "_before"])
 
     own = starts.select(F.col("edge").cast("long").alias("edge"), F.explode(F.sequence(F.lit(0), F.lit(per_start - 1))).alias("ordinal"))
     now = own.mapInPandas(drawn, "walk string, _at long, edges array<long>, _u array<double>").withColumn("_before", F.lit(None).cast("array<long>"))
     for _ in range(length - 1):
         met = now.join(near, "_at", "left").select("walk", "_at", "edges", "_u", "_before", "_ways")
-        then = kept(met.mapInPandas(stepped, "walk string, _at long, edges array<long>, _u array<double>, _before array<long>"))
+        then = kept(met.mapInArrow(stepped, "walk string, _at long, edges array<long>, _u array<double>, _before array<long>"))
         drop(now)
         now = then
     return now.select("walk", "edges")
