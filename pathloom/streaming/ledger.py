@@ -16,6 +16,7 @@ shard is valid while the file of its last commit is there and has the committed
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Callable
 
@@ -155,22 +156,26 @@ class Ledger:
         ``per_commit`` shards at a time are written and committed, so a run that is stopped loses no more than these.
         A part whose ids aren't those of its input in order, or with a row that isn't a prediction, is an error.
         """
-        pending = [r[0] for r in self.states().where("state <> 'valid'").select("shard").orderBy("shard").collect()]  # a number for each shard
-        for at in range(0, len(pending), per_commit):
-            self._attempt(predict, pending[at : at + per_commit])
-        return len(pending)
-
-    def _attempt(self, predict: Callable[[DataFrame], DataFrame], shards: list[int]) -> None:
+        pending = kept(self.states().where("state <> 'valid'").select("shard"))
+        n = pending.count()
+        # Places in order are only needed where the shards don't go together.
+        batch = F.lit(0) if n <= per_commit else F.floor((F.row_number().over(Window.orderBy("shard")) - 1) / per_commit)
+        pending = kept(pending.withColumn("batch", batch))
+        for at in range(math.ceil(n / per_commit)):
+            self._attempt(predict, pending.where(F.col("batch") == at).select("shard"))
+        return n
+
+    def _attempt(self, predict: Callable[[DataFrame], DataFrame], shards: DataFrame) -> None:
         fs, path = self._at("parts")
         numbers = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if "=" in s.getPath().getName()] if fs.exists(path) else []
         attempt = max(numbers, default=-1) + 1
-        rows = self.spark.read.parquet(f"{self.root}/inputs").where(F.col("shard").isin(shards))
+        rows = self.spark.read.parquet(f"{self.root}/inputs").join(shards, "shard", "left_semi")
         made = predict(rows.select("sample_id", "edges")).select("sample_id", F.col("edges").alias("_e"))
         lines = rows.select("shard", "_k", "sample_id").join(made, "sample_id").select("shard", "_k", line_of(F.col("sample_id"), F.col("_e")).alias("value"))
         text = lines.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("_k", "value"))).alias("_l"))
         text = text.select("shard", F.array_join(F.transform("_l", lambda x: x["value"]), "\n").alias("value"))
         text.write.partitionBy("shard").text(f"{self.root}/parts/attempt={attempt}")
-        plan = self.spark.read.parquet(f"{self.root}/plan").where(F.col("shard").isin(shards))
+        plan = self.spark.read.parquet(f"{self.root}/plan").join(shards, "shard", "left_semi")
         found = self._files(f"parts/attempt={attempt}").withColumn("shard", F.regexp_extract("file", "shard=([0-9]+)/", 1).cast("long"))
         found = kept(plan.select("shard", F.col("ids_sha256").alias("_ids")).join(found, "shard", "left"))
         bad = found.where("ids_sha256 is null or ids_sha256 <> _ids or faults > 0").first()
