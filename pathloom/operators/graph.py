@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import MAX_TRANSITIONS
+from .tables import apart
 from .validate import bounds, quantized
 
 #: Tables with a row for each edge or transition are broadcast below this; larger ones are shuffled.
@@ -16,8 +17,8 @@ BLOCK_BITS = 10
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if its number of rows, which the caller knows, is small."""
-    return F.broadcast(df) if rows <= SMALL_ROWS else df
+    """``df`` marked for broadcast if its number of rows, which the caller knows, is small, else for a shuffle."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else apart(df)
 
 
 def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def transitions(edges: DataFrame, lower: float = 0.5, upper: float = 2.0) -> Dat
     place within its block of edges, after the sizes of the blocks before, so that no task orders all.
     """
     block = F.shiftright("prev", BLOCK_BITS).alias("_block")
-    out = edges.select(F.col("edge_id").alias("next"), F.col("tail").alias("via"), F.col("baseline").alias("w0"))
+    out = apart(edges.select(F.col("edge_id").alias("next"), F.col("tail").alias("via"), F.col("baseline").alias("w0")))
     pairs = edges.select(F.col("edge_id").alias("prev"), F.col("head").alias("via")).join(out, "via")
     lo, hi = bounds(F.col("w0"), lower, upper)
     ways = out.groupBy("via").agg(F.count("*").alias("_n"))
@@ -44,7 +45,7 @@ def transitions(edges: DataFrame, lower: float = 0.5, upper: float = 2.0) -> Dat
     before = sizes.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))  # a row for each block
     coord = F.row_number().over(Window.partitionBy("_block").orderBy("prev", "next")) - 1 + F.col("_before")
     rows = pairs.select(block, "prev", "next", "w0", lo.alias("lo"), hi.alias("hi")).join(F.broadcast(before), "_block")
-    return rows.select(coord.cast("long").alias("coord"), "prev", "next", "w0", "lo", "hi")
+    return apart(rows.select(coord.cast("long").alias("coord"), "prev", "next", "w0", "lo", "hi"))
 
 
 def check_transitions(arcs: DataFrame) -> int:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import kept
+from .tables import apart, kept
 
 #: Numbers of an embedding table that is sent to all executors at most; a larger one is an error.
 MOST_NUMBERS = 64_000_000
@@ -26,16 +26,16 @@ def normalised(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
     d counts what enters a node, its loop included. Arcs that occur twice count twice; ends that are no nodes are left out.
     """
     loops = nodes.select(F.col("node").alias("prev"), F.col("node").alias("next"))
-    known = nodes.select("node").distinct()
+    known = apart(nodes.select("node").distinct())
     every = loops.distinct().union(arcs.select("prev", "next").join(known.withColumnRenamed("node", "prev"), "prev", "left_semi").join(known.withColumnRenamed("node", "next"), "next", "left_semi").select("prev", "next"))
-    degree = every.groupBy("next").agg(F.count("*").alias("d"))
+    degree = apart(every.groupBy("next").agg(F.count("*").alias("d")))
     one = degree.select(F.col("next").alias("prev"), F.col("d").alias("_d"))
     return every.join(degree, "next").join(one, "prev").select("prev", "next", (1 / F.sqrt(F.col("d") * F.col("_d"))).alias("norm"))
 
 
 def propagate(norm: DataFrame, features: DataFrame, width: int) -> DataFrame:
     """The sparse product: (node, features) with features of ``width`` numbers, summed where they lie before the shuffle."""
-    rows = norm.join(features.select(F.col("node").alias("prev"), F.col("features").alias("_x")), "prev")
+    rows = norm.join(apart(features.select(F.col("node").alias("prev"), F.col("features").alias("_x"))), "prev")
     sums = [F.sum(F.col("norm") * F.get("_x", F.lit(i))).alias(f"_{i}") for i in range(width)]
     return rows.groupBy(F.col("next").alias("node")).agg(*sums).select("node", F.array(*(F.col(f"_{i}") for i in range(width))).alias("features"))
 

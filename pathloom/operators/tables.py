@@ -46,6 +46,15 @@ def kept(df: DataFrame) -> DataFrame:
     return made
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` marked to be joined by a shuffle: a table with a row for each place or street, however small Spark takes it to be.
+
+    What Spark goes by is the size of files, narrowed to the columns read and not widened where rows are exploded; a table
+    that it takes to be small goes through the driver.
+    """
+    return df.hint("merge")
+
+
 def drop(table: DataFrame) -> None:
     """Delete what ``kept`` wrote for ``table``, which nothing reads any more."""
     path = table.__dict__.get("_kept_path")

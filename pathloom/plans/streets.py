@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, validate
+from ..operators.tables import apart
 
 KINDS = 5  # right, left, up, down, and a second street to the right
 
@@ -26,7 +27,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = F.col("d"), F.col("node_id")
     each = nodes(spark, sf_dir).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(KINDS - 1))))
     each = each.select((i * KINDS + d).alias("edge_id"), i.alias("tail"), F.pmod(i + step(d, F.col("w")), F.col("n")).cast("long").alias("head"), (F.lit(0.05) + ((F.col("bal") + d * 37) % 101) / 10.0).alias("length"))
-    return each.withColumn("baseline", validate.scaled_baseline(F.col("length")))
+    return apart(each.withColumn("baseline", validate.scaled_baseline(F.col("length"))))
 
 
 def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda acc, h: F.struct(F.pmod(acc["at"] + step(h["d"], F.col("w")), F.col("n")).cast("long").alias("at"), F.concat(acc["edges"], F.array((acc["at"] * KINDS + h["d"]).cast("long"))).alias("edges")),
         lambda acc: acc["edges"],
     )
-    raw = hops.join(orders, "k").select("k", F.concat(F.lit("order:"), "k").alias("sample_id"), walk.alias("edges"))
+    raw = hops.join(apart(orders), "k").select("k", F.concat(F.lit("order:"), "k").alias("sample_id"), walk.alias("edges"))
     return validate.accepted(raw, edges(spark, sf_dir))
 
 
