@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from pathloom.operators import scorers, tables
+from pathloom.operators import joint, scorers, tables
 from pathloom.plans import streets
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +26,10 @@ def test_convolutions_shuffle_their_nodes(spark):
     features = streets.edges(spark, SF).select(F.col("edge_id").alias("node"), F.array("length").alias("features"))
     norm = scorers.normalised(arcs, features)
     assert broadcasts(norm) == 0 and broadcasts(scorers.propagate(norm, tables.kept(features), 1)) == 0
+
+
+def test_joint_steps_shuffle_their_coordinates(spark):
+    arcs = tables.kept(streets.arcs(spark, SF))
+    model = tables.kept(joint.start(arcs, spark.range(2).select(F.col("id").alias("bucket"))))
+    counts = tables.kept(model.select("bucket", "coord", F.lit(1).alias("observed"), F.lit(0).alias("predicted")))
+    assert broadcasts(joint.joint_step(model, counts, 1, 1, 2, joint.JointOptions())) == 0
