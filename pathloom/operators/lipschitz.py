@@ -1,7 +1,7 @@
 """Lipschitz embeddings: what places have in common by their distances to a few anchors.
 
 Distances run along streets to the anchors, so the graph is reversed; of parallel streets the shortest counts. All
-anchors are searched for together over the tables of an overlay.
+anchors are searched for together over blocks of the graph.
 """
 
 from __future__ import annotations
@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import overlay
+from .blocks import WIDE, BlockOracle
 from .graph import parallel_minimum
 from .predict import anchor_features, haversine
+from .tables import kept
 
 #: Lengths are whole millimetres, so that sums don't depend on their order.
 PER_KM = 1_000_000
@@ -38,7 +39,7 @@ def street_lengths(edges: DataFrame, places: DataFrame) -> DataFrame:
     return edges.join(a, "tail").join(b, "head").select("edge_id", "tail", "head", F.greatest(F.round(km * PER_KM), F.lit(1)).cast("long").alias("w"))
 
 
-def embed(edges: DataFrame, places: DataFrame, anchors: DataFrame) -> DataFrame:
+def embed(edges: DataFrame, places: DataFrame, anchors: DataFrame, size: int = WIDE) -> DataFrame:
     """(node, anchor, value) of every node of ``places`` (node, lat, lon) for each of ``anchors`` (node).
 
     With d the kilometres from a node to an anchor along ``edges`` (edge_id, tail, head), its value is 1 / (d + 1), 0
@@ -46,8 +47,7 @@ def embed(edges: DataFrame, places: DataFrame, anchors: DataFrame) -> DataFrame:
     between unknown places are left out.
     """
     shortest = parallel_minimum(street_lengths(edges, places), "w")  # (head, tail, weight): reversed
-    arcs = overlay.kept(shortest.select(F.xxhash64("head", "tail").alias("coord"), F.col("head").alias("prev"), F.col("tail").alias("next"), F.col("weight").alias("w")))
-    oracle = overlay.OverlayOracle(places.select("node", F.col("lon").alias("x"), F.col("lat").alias("y")))
-    net = oracle.customised(arcs, arcs.select("coord", "w"))
-    found = overlay.kept(overlay.distances_from(net, anchors.select(F.col("node").alias("s"))))
+    arcs = kept(shortest.select(F.xxhash64("head", "tail").alias("coord"), F.col("head").alias("prev"), F.col("tail").alias("next"), F.col("weight").alias("w")))
+    oracle = BlockOracle(places.select("node", F.col("lon").alias("x"), F.col("lat").alias("y")))
+    found = kept(oracle.distances_from(arcs, arcs.select("coord", "w"), anchors.select(F.col("node").alias("s")), size))
     return anchor_features(found.select(F.col("s").alias("source"), "node", (F.col("distance") / PER_KM).alias("distance")), places)
