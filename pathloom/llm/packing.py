@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held
+from .common import cut, held, release
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW, END_ID, OPEN_WINDOWS, LEAST_CUT = 2048, 1, 32, 24
@@ -31,7 +31,7 @@ KEPT_WORDS = 250_000
 FAN_IN = 64
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, part int"
 #: Characters that str.split takes as white space and the tokenizer doesn't, and the start of its special tokens.
-ODD = re.compile("[\x1c-\x1f]|<\\|")
+ODD = "\x1c", "\x1d", "\x1e", "\x1f", "<|"
 
 
 #: A word, lower-cased, that is a run of letters and then a run of other signs; both are pieces of the tokenizer.
@@ -73,6 +73,24 @@ def byte_ranks(path: str) -> dict[bytes, int] | None:
     return ranks
 
 
+class Words(dict):
+    """Ids by word. A new word of a plain form is merged when it is first asked for; others are noted in ``odd``, and have none yet."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge, self.tails, self.odd = merge, {"": b""}, []
+
+    def __missing__(self, word: str) -> bytes:
+        if self.merge and (found := PLAIN(word.lower())):
+            letters, signs = found.groups()
+            if (tail := self.tails.get(signs)) is None:
+                tail = self.tails[signs] = array("I", self.merge(signs.encode() + END)).tobytes()
+            ids = self[word] = array("I", self.merge(letters.encode() + END)).tobytes() + tail
+            return ids
+        self.odd.append(word)
+        return b""
+
+
 class Ids:
     """Token ids of whole texts as little-endian 32-bit integers, equal to ``encode(text, add_special_tokens=False).ids``.
 
@@ -85,43 +103,48 @@ class Ids:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        ranks = byte_ranks(path)
+        self.tokenizer, ranks = Tokenizer.from_file(path), byte_ranks(path)
         self.merge = ranks and tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.known = Words(self.merge)
+        del ranks
+        release()  # reading the vocabulary takes more than it leaves
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def learn(self, words: list[str]) -> None:
-        """Encode words that aren't known yet."""
-        known, merge, other = self.known, self.merge, []
-        for w in words:
-            if merge and (found := PLAIN(w.lower())):
-                letters, signs = found.groups()
-                ids = merge(letters.encode() + END)
-                known[w] = array("I", ids + merge(signs.encode() + END) if signs else ids).tobytes()
-            else:
-                other.append(w)
-        for at in range(0, len(other), 2000):
-            some = other[at : at + 2000]
+        """Encode words that aren't plain."""
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids, end, begin = array("I", found.ids), 0, 0
             starts = [a for a, _ in found.offsets]
             for w in some:
                 end += len(w) + 1
                 k = bisect.bisect_left(starts, end, begin)
-                known[w] = ids[begin:k].tobytes()
+                self.known[w] = ids[begin:k].tobytes()
                 begin = k
 
     def many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        split = [None if ODD.search(t) else t.split() for t in texts]
-        words = set().union(*(s for s in split if s))
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        self.learn([w for w in words if w not in self.known])
-        get = self.known.__getitem__
-        return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+        if len(self.known) + len(self.known.tails) > KEPT_WORDS:
+            self.known = Words(self.merge)
+        known, out, again = self.known, [], []
+        get = known.__getitem__
+        for i, text in enumerate(texts):
+            if any(x in text for x in ODD):
+                out.append(self.whole(text))
+                continue
+            before, words = len(known.odd), text.split()
+            out.append(b"".join(map(get, words)))
+            if len(known.odd) > before:
+                again.append((i, words))
+        if again:
+            self.learn(list(dict.fromkeys(known.odd)))
+            known.odd.clear()
+            for i, words in again:
+                out[i] = b"".join(map(get, words))
+        return out
 
 
 def ids_of(path: str) -> Ids:
