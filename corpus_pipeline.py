@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.llm import jaccard, langid, mixing, packing, quality
-from pathloom.llm.common import cut
+from pathloom.llm.common import cut, short_batches
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +46,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
+#: Texts that go to a Python worker together.
+BATCH = 1024
+
 #: The stages are learned models, a similarity join, a flow and a packing; the tests hold them against plain Python.
 ORACLE_SQL = None
 
@@ -53,8 +56,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = cut(docs)
+    with short_batches(spark, BATCH):  # whatever reads texts is run in here
+        for at, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if at < len(STAGES) - 1:
+                docs = cut(docs)
     return docs

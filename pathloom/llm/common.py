@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +92,18 @@ def forget() -> None:
         release()
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int):
+    """Arrow batches of ``rows`` at most for what is run inside: a batch of texts lies in the JVM's buffers, which it keeps, and again in the Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def trimmed(run: Callable) -> Callable:
     """``run``, a function of two tables, and then what it took of this Python worker's memory is given back: idle workers count beside later steps."""
 
