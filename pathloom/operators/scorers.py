@@ -78,11 +78,6 @@ class TwoTowers:
     candidate: list[tuple[np.ndarray, np.ndarray]]
     offsets: tuple[float, float] = (1.0, 1.0)
 
-    @staticmethod
-    def _encoded(x: np.ndarray, layers) -> np.ndarray:
-        (a, b), (c, d) = layers
-        return np.maximum(x @ a + b, 0) @ c + d
-
     def _rows(self, nodes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, nodes), len(self.keys) - 1)
         if not (self.keys[at] == nodes).all():
@@ -90,10 +85,34 @@ class TwoTowers:
         return at
 
     def __call__(self, at: np.ndarray, candidate: np.ndarray, destination: np.ndarray) -> np.ndarray:
-        one = np.ones((len(at), 1))
-        query = np.hstack((self.features[self._rows(at)], one * self.offsets[0], self.features[self._rows(destination)], one * self.offsets[1]))
-        own = self._rows(candidate)
-        return (self._encoded(query, self.query) * self._encoded(np.hstack((self.features[own], self.popularity[own, None])), self.candidate)).sum(1)
+        at, candidate, destination = (self._rows(x) for x in (at, candidate, destination))
+        own = np.hstack((self.features[candidate], self.popularity[candidate, None]))
+        return Towers(self.query, self.candidate, self.offsets)(self.features[at], own, self.features[destination])
+
+
+@dataclass
+class Towers:
+    """The product of both towers for rows of features; a row of the candidate ends with its popularity, and others may."""
+
+    query: list[tuple[np.ndarray, np.ndarray]]
+    candidate: list[tuple[np.ndarray, np.ndarray]]
+    offsets: tuple[float, float] = (1.0, 1.0)
+
+    @staticmethod
+    def _encoded(x: np.ndarray, layers) -> np.ndarray:
+        (a, b), (c, d) = layers
+        return np.maximum(x @ a + b, 0) @ c + d
+
+    def __call__(self, at: np.ndarray, candidate: np.ndarray, destination: np.ndarray) -> np.ndarray:
+        one, width = np.ones((len(at), 1)), candidate.shape[1] - 1
+        query = np.hstack((at[:, :width], one * self.offsets[0], destination[:, :width], one * self.offsets[1]))
+        return (self._encoded(query, self.query) * self._encoded(candidate, self.candidate)).sum(1)
+
+
+def tower_rows(features: DataFrame, popularity: DataFrame) -> DataFrame:
+    """(node, x): ``features`` (node, features) followed by ``popularity`` (node, popularity); lacking popularity is 0."""
+    rows = features.join(apart(popularity), "node", "left")
+    return rows.select("node", F.concat("features", F.array(F.coalesce("popularity", F.lit(0.0)))).alias("x"))
 
 
 def two_towers(features: DataFrame, popularity: DataFrame, query, candidate, most: int = MOST_NUMBERS) -> TwoTowers:
